@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from .packing import op9_packing
+from .quality_rules import OP4_SQL, op4_quality_rules
 from .token_counts import op7_token_counts
 from .token_output import op2_token_output
 
 QUERIES = {
     "op2_token_output": op2_token_output,
+    "op4_quality_rules": op4_quality_rules,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_quality_rules": OP4_SQL,
+}
