@@ -6,13 +6,19 @@ from .packing import op9_packing
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .token_counts import op7_token_counts
 from .token_output import op2_token_output
+from .topk_search import OP10_SQL, op10_topk_search
+from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op2_token_output": op2_token_output,
     "op4_quality_rules": op4_quality_rules,
+    "op5_warc": op5_warc,
     "op7_token_counts": op7_token_counts,
     "op9_packing": op9_packing,
+    "op10_topk_search": op10_topk_search,
 }
 SQL: dict[str, str] = {
     "op4_quality_rules": OP4_SQL,
+    "op5_warc": OP5_SQL,
+    "op10_topk_search": OP10_SQL,
 }

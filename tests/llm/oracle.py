@@ -20,7 +20,7 @@ def duck(sf_dir=None, **frames):
 
 def canonical(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else round(float(v), 6) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else v
+    plain = lambda v: None if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, (float, np.floating)) and v != v) else round(float(v), 6) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else v
     return list(frame.columns), sorted((tuple(plain(v) for v in r) for r in frame.itertuples(index=False)), key=repr)
 
 
