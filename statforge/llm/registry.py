@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .packing import op9_packing
 from .quality_rules import OP4_SQL, op4_quality_rules
+from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op7_token_counts
 from .token_output import op2_token_output
 from .topk_search import OP10_SQL, op10_topk_search
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_output": op2_token_output,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
