@@ -64,7 +64,7 @@ class PieceEncoder:
     both are the same. About ``limit`` pieces are remembered.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -113,6 +113,8 @@ class PieceEncoder:
             if any(s in text for s in self.special):
                 out.append(self._library(text))
                 continue
+            if not self.line and text.isascii():
+                text = text.lower()
             first, *others = pieces_of(text)
             out.append((self.head[first] if first else b"") + b"".join(map(self.rest.__getitem__, others)))
         return out

@@ -70,11 +70,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows plus ``start``, the number of ids before the document. Ids are
-    read only if ``tokens`` is selected."""
-    rows = spark.read.schema(FILE_SCHEMA).parquet(path)
+    """The files' rows. Ids are read only if ``tokens`` is selected."""
+    return spark.read.schema(FILE_SCHEMA).parquet(path)
+
+
+def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``start``, the number of ids before the document, to rows with ``shard`` and
+    ``local_start``. Drop ids from ``rows`` first, as rows are joined with shards."""
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total")).select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    bases = files.groupBy("shard").agg(F.sum("n_tokens").alias("total")).select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     return rows.join(bases, "shard").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
@@ -91,5 +95,6 @@ def ids_crc32(column: str = "tokens"):
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
-    rows = read_token_files(spark, path)
-    return rows.select("doc_id", "start", F.size("tokens").cast("long").alias("n_tokens"), ids_crc32().alias("ids_crc32"))
+    files = read_token_files(spark, path)
+    rows = files.select("doc_id", "shard", "local_start", F.size("tokens").cast("long").alias("n_tokens"), ids_crc32().alias("ids_crc32"))
+    return with_starts(rows, files).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -9,7 +9,7 @@ import pytest
 from statforge.llm.packing import assign, pack_documents
 from statforge.llm.token_counts import count_tokens, merged_count
 from statforge.llm.token_ids import tokenizer_path
-from statforge.llm.token_output import ids_crc32, read_token_files, write_token_files
+from statforge.llm.token_output import ids_crc32, read_token_files, with_starts, write_token_files
 
 from .cases import EDGE_TEXTS, SCHEMA, edge_documents
 
@@ -32,7 +32,7 @@ def test_token_files(spark, tmp_path, from_files):
     docs = spark.read.parquet(f"{SF}/documents.parquet") if from_files else edge_documents(spark)
     path = str(tmp_path / "ids")
     write_token_files(docs, path, tokenizer_path("word_bpe_49k.json"), end_id=2)
-    got = {r.doc_id: (r.start, r.n, r.c) for r in read_token_files(spark, path).selectExpr("doc_id", "start", "size(tokens) n", "tokens").select("doc_id", "start", "n", ids_crc32().alias("c")).collect()}
+    got = {r.doc_id: (r.start, r.n, r.c) for r in with_starts(read_token_files(spark, path).selectExpr("*", "size(tokens) n").withColumn("c", ids_crc32()).drop("tokens"), read_token_files(spark, path)).collect()}
     rows = sorted(docs.select("doc_id", "text").collect())
     start = 0
     for r, ids in zip(rows, brute("word_bpe_49k.json", [r.text for r in rows]), strict=True):
@@ -45,7 +45,7 @@ def test_token_files(spark, tmp_path, from_files):
 def test_metadata_reads_leave_ids_alone(spark, tmp_path):
     path = str(tmp_path / "ids")
     write_token_files(edge_documents(spark), path, tokenizer_path("word_bpe_49k.json"), end_id=2)
-    plan = read_token_files(spark, path).select("doc_id", "start")._jdf.queryExecution().executedPlan().toString()
+    plan = with_starts(read_token_files(spark, path).drop("tokens"), read_token_files(spark, path)).select("doc_id", "start")._jdf.queryExecution().executedPlan().toString()
     assert " tokens#" not in plan and ",tokens#" not in plan and "[tokens#" not in plan
 
 
