@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .minhash_dedup import OP3_SQL, op3_minhash_dedup
 from .packing import op9_packing
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .suffix_dedup import op1_suffix_dedup
@@ -13,6 +14,7 @@ from .warc import OP5_SQL, op5_warc
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_token_output": op2_token_output,
+    "op3_minhash_dedup": op3_minhash_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_warc": op5_warc,
     "op7_token_counts": op7_token_counts,
@@ -20,6 +22,7 @@ QUERIES = {
     "op10_topk_search": op10_topk_search,
 }
 SQL: dict[str, str] = {
+    "op3_minhash_dedup": OP3_SQL,
     "op4_quality_rules": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op10_topk_search": OP10_SQL,
