@@ -19,6 +19,8 @@ import numpy as np
 #: White space besides space and line feed, as Unicode has it.
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+#: What str.split() takes for white space and the tokenizers library does not.
+NOT_SPACE_IN_TOKENIZERS = "\x1c\x1d\x1e\x1f"
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Byte-level vocabularies write each byte as a printable sign: itself where it has one,
 #: else the next free code point from 256 on.
@@ -107,14 +109,16 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if len(self.head) + len(self.rest) > self.limit:
+            if len(self.rest) + (0 if self.head is self.rest else len(self.head)) > self.limit:
                 self.head.clear()
                 self.rest.clear()
             if any(s in text for s in self.special):
                 out.append(self._library(text))
                 continue
-            if not self.line and text.isascii():
-                text = text.lower()
+            if not self.line and not any(c in text for c in NOT_SPACE_IN_TOKENIZERS):
+                text = text.lower() if text.isascii() else text
+                out.append(b"".join(map(self.rest.__getitem__, text.split())))
+                continue
             first, *others = pieces_of(text)
             out.append((self.head[first] if first else b"") + b"".join(map(self.rest.__getitem__, others)))
         return out
