@@ -53,6 +53,19 @@ def reels_of(states: list[str], openers: set[str], closers: set[str]) -> list[in
     return out
 
 
+def reel_groups(df: DataFrame, key: str, order: str, state: str, openers: set[str], closers: set[str]) -> DataFrame:
+    """key, reel, first and last segment, and which markers the reel has; no segment is
+    dropped, a reel without opener or closer is only flagged."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        rows = rows.assign(reel=reels_of(rows[state].tolist(), openers, closers))
+        g = rows.groupby("reel")
+        return pd.DataFrame({key: rows[key].iloc[0], "reel": g[order].first().index, "first_segment": g[order].first().to_numpy(), "last_segment": g[order].last().to_numpy(), "segments": g.size().to_numpy(), "has_opener": g[state].agg(lambda s: s.isin(openers).any()).to_numpy(), "has_closer": g[state].agg(lambda s: s.isin(closers).any()).to_numpy()})
+
+    return df.select(key, order, state).groupBy(key).applyInPandas(run, f"{key} long, reel long, first_segment long, last_segment long, segments long, has_opener boolean, has_closer boolean")
+
+
 def viterbi(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> list[int]:
     """Most likely state path in log space; the lower state on ties."""
     score, back = start + emit[0], []
