@@ -61,3 +61,27 @@ def resolve_cascade(probes: DataFrame, names: DataFrame, key: Column, block: Col
     w = Window.partitionBy("id").orderBy("step")
     best = found.filter("step < 3 OR hits = 1").withColumn("_r", F.row_number().over(w)).filter("_r = 1")
     return probes.select("id").join(best.select("id", "step", "name_id"), "id", "left")
+
+
+def lineup_gate(actors: DataFrame, lineup: DataFrame, unit: str, who: str) -> DataFrame:
+    """``gate`` for each actor: ok, roster_mismatch, or empty_lineup_passthrough where the
+    unit has no lineup at all."""
+    known = lineup.filter(F.col(who).isNotNull()).select(unit, who, F.lit(True).alias("_in")).distinct()
+    any_one = known.select(unit, F.lit(True).alias("_any")).distinct()
+    rows = actors.join(any_one, unit, "left").join(known, [unit, who], "left")
+    return rows.withColumn("gate", F.when(F.col("_any").isNull(), "empty_lineup_passthrough").when(F.col("_in").isNull(), "roster_mismatch").otherwise("ok")).drop("_any", "_in")
+
+
+def bound_alone(left: DataFrame, right: DataFrame, bucket: str, a: str, b: str) -> DataFrame:
+    """Pairs of buckets in which exactly one row is left on either side."""
+    one = lambda rows, c: rows.groupBy(bucket).agg(F.max(c).alias(c), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+    return one(left, a).join(one(right, b), bucket)
+
+
+def far_from(rows: DataFrame, others: DataFrame, keys: list[str], x: str, width: int) -> DataFrame:
+    """Rows without any of ``others`` that has their keys and lies within ``width``. The
+    others go to three buckets of values each, so the join is on equality."""
+    cell = F.floor(F.col(x) / width)
+    near = others.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(x).alias("_x"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell")).distinct()
+    on = reduce(lambda c, d: c & d, [F.col(k) == F.col(f"_{k}") for k in keys], (cell == F.col("_cell")) & (F.abs(F.col(x) - F.col("_x")) <= width))
+    return rows.join(near, on, "left_anti")
