@@ -2,12 +2,14 @@
 
 1. Each text's shingle set gets a signature of ``BANDS * ROWS`` minima and one key a band.
    Texts with equal sets are linked at once and only the smallest doc_id goes on.
-2. Each band key links its documents with the smallest of them (a star, not all pairs).
+2. Each band key links its documents with the smallest of them (a star, not all pairs): at
+   first only the star a document shares most keys with, then those of other components.
    Candidate pairs are compared a batch of minima at a time; a pair is dropped as soon as
    the posterior chance of reaching the threshold, given the matches so far and a uniform
    prior, is below ``MISS``. Survivors are confirmed on their full sets.
 3. Documents of one key that still lie in different components are compared pair by pair
-   in the same way, in blocks of bounded size, so no link between different components is
+   in the same way, in blocks of bounded size, and those left are held against 32-bit folds
+   of their sets there, which lets no similar pair go: no link between different components is
    left out. Pairs in one component need no test: it could not change the result.
 
 With 32 bands of 5 rows, a pair at similarity 0.8 shares no key with chance 3e-6.
@@ -36,6 +38,7 @@ MINIMA = BANDS * ROWS
 BATCH = 32
 MISS = 1e-7
 BLOCK = 512
+FOLDS = 1 << 20
 #: fixed pseudo-random 32-bit multipliers and offsets, one pair for each minimum
 SEEDS = mix(np.arange(1, 2 * MINIMA + 1, dtype=U)).astype(np.uint32).reshape(2, MINIMA, 1)
 SKETCH = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, signature binary"
@@ -144,40 +147,81 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """doc_id, shingles (64-bit hashes), short (their distinct 32-bit folds) and n."""
+
     def run(batches):
         for batch in text_batches(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), k)], pa.binary())], ["doc_id", "shingles"])
+            sets = shingle_sets(batch.column(1), k)
+            short = [np.unique((s ^ s >> U(32)).astype("<u4")).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(short, pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "shingles", "short", "n"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary")
-
-
-def across(members: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs between different components within each key (key, doc_id,
-    component). Keys of many documents are dealt into pairs of blocks."""
+    return rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary, short binary, n long")
+
+
+def common_at_most(x: np.ndarray, lost: int, others: list[np.ndarray], lost_others: np.ndarray) -> np.ndarray:
+    """No fewer than the shingles that a set shares with each other one, from their sorted
+    folds and how many shingles each lost by folding."""
+    out, a = np.zeros(len(others), np.int64), 0
+    edges = np.cumsum([0, *map(len, others)])
+    while a < len(others):  # a few megabytes at a time
+        b = max(a + 1, int(np.searchsorted(edges, edges[a] + FOLDS, side="right")) - 1)
+        flat = np.concatenate(others[a:b])
+        hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+        out[a:b] = np.add.reduceat(hit, edges[a:b] - edges[a])
+        a = b
+    return out + np.minimum(lost, lost_others)
+
+
+def in_components(rows: DataFrame, part: DataFrame) -> DataFrame:
+    """doc_id, component and bands of each row; alone where no link is known."""
+    named = rows.select("doc_id", "bands").join(part.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    return named.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "bands")
+
+
+def star_members(rows: DataFrame, name: str) -> DataFrame:
+    """doc_id and ``first``, the smallest doc_id of a shared key, for each key of a document
+    whose first document lies in another component. Only keys that span components are
+    written and joined, so that a key of very many rows may be split."""
+    keyed = rows.select("doc_id", "component", F.explode("bands").alias("key"))
+    spanning = keyed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min(F.struct("doc_id", "component")).alias("f")).filter("x < y")
+    firsts = staged(spanning.select("key", F.col("f.doc_id").alias("first"), F.col("f.component").alias("own")), name + "-keys")
+    return keyed.join(firsts, "key").filter("component <> own").select("doc_id", "first")
+
+
+def across(documents: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs between different components within each key of the documents (doc_id,
+    component, bands) that signatures leave and whose folded sets may be similar enough.
+    Keys of many documents are dealt into pairs of blocks."""
     least = least_matches(percent)
+    members = documents.select("doc_id", "component", F.explode("bands").alias("key"))
     sizes = staged(members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed-keys")
-    rows = members.join(sizes, "key").join(signatures.select("doc_id", "signature"), "doc_id")
+    rows = members.join(sizes, "key").join(signatures.select("doc_id", "signature"), "doc_id").join(sets.select("doc_id", "short", "n"), "doc_id")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    rows = rows.select("key", "doc_id", "component", "signature", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("key", "doc_id", "component", "signature", "short", "n", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
 
     def run(group: pa.Table) -> pa.Table:
         ids, parts, blocks = (group.column(c).to_numpy() for c in ("doc_id", "component", "block"))
         key, low, high = (group.column(c)[0].as_py() for c in ("key", "low", "high"))
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint32).reshape(-1, MINIMA)
+        short = [np.frombuffer(x, "<u4") for x in group.column("short").to_pylist()]
+        n = group.column("n").to_numpy()
+        lost = n - np.array([len(x) for x in short])
         keys = band_keys(sig)
-        band = int(np.flatnonzero(keys[0] == key)[0])
+        band = int(np.flatnonzero((keys == key).any(axis=0))[0])
         left, right = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
         a, b = [], []
         for i in left:
             j = right[(parts[right] != parts[i]) & ((ids[right] > ids[i]) | (low != high))]
             j = j[~(keys[j, :band] == keys[i, :band]).any(axis=1)]  # pairs of an earlier key are tested there
             matches = np.zeros(len(j), np.int64)
-            for n, m in least.items():
-                matches = matches + (sig[j, n - BATCH : n] == sig[i, n - BATCH : n]).sum(axis=1)
+            for upto, m in least.items():
+                matches = matches + (sig[j, upto - BATCH : upto] == sig[i, upto - BATCH : upto]).sum(axis=1)
                 go = matches >= m
                 j, matches = j[go], matches[go]
+            common = common_at_most(short[i], lost[i], [short[x] for x in j], lost[j])
+            j = j[100 * common >= percent * (n[i] + n[j] - common)]
             a.append(np.minimum(ids[i], ids[j]))
             b.append(np.maximum(ids[i], ids[j]))
         return pa.table({"a": np.concatenate(b) if b else np.zeros(0, np.int64), "b": np.concatenate(a) if a else np.zeros(0, np.int64)})
@@ -193,18 +237,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     shared = firsts(linked.select("doc_id", "s1", "s2"), ["s1", "s2"], "equal-sets")
     equal = staged(linked.select("doc_id", "s1", "s2").join(shared, ["s1", "s2"]).filter("doc_id > first").select("doc_id", F.col("first").alias("rep")).distinct(), "equal")
     one = linked.join(equal, "doc_id", "left_anti")
-    # stars of the band keys
-    keyed = one.select("doc_id", F.explode("bands").alias("key"))
-    members = staged(keyed.join(firsts(keyed, ["key"], "keys"), "key"), "members")
-    ids = members.select("doc_id").distinct()
-    signatures = staged(one.select("doc_id", "signature").join(ids, "doc_id", "left_semi"), "signatures")
+    # stars of the band keys: first each document's closest one, then those that still join components
+    members = staged(star_members(one.select("doc_id", F.col("doc_id").alias("component"), "bands"), "members"), "members")
+    ids = staged(members.select("doc_id").unionByName(members.select(F.col("first").alias("doc_id"))).distinct(), "ids")
+    signatures = staged(one.join(ids, "doc_id", "left_semi").select("doc_id", "signature", "bands"), "signatures")
     sets = staged(full_sets(docs, ids, k), "sets")
-    stars = members.filter("doc_id > first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    links = staged(confirmed(plausible(stars, signatures, percent), sets, percent), "links")
+    closest = members.groupBy("doc_id", "first").agg(F.count("*").alias("n")).groupBy(F.col("doc_id").alias("a")).agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("b"))
+    links = staged(confirmed(plausible(closest, signatures, percent), sets, percent), "links")
+    again = star_members(in_components(signatures, components(links)), "members-again").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
+    links = links.unionByName(staged(confirmed(plausible(again, signatures, percent), sets, percent), "links-again"))
     part = components(links)
     # documents of a key in different components
-    named = members.select("key", "doc_id").distinct().join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    more = staged(confirmed(across(staged(named, "named"), signatures, percent), sets, percent), "more-links")
+    more = staged(confirmed(across(in_components(signatures, part), signatures, sets, percent), sets, percent), "more-links")
     if more.limit(1).count():
         part = components(links.unionByName(more))
     # copies follow the document that stands for them
