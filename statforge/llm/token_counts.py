@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_batches
-from .token_ids import BYTE_SIGNS, LONG, STOPS, Pieces, pieces_of, tokenizer_path
+from .token_ids import BYTE_SIGNS, LONE_FEED, LONG, STOPS, Pieces, pieces_of, tokenizer_path
 
 #: Fixed value: how the byte-level vocabulary splits text before merging.
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -77,8 +77,8 @@ class PieceCounter:
 
     def _learn(self, piece: str, known: Pieces, lead: str) -> int:
         if "\n" in piece:
-            lines = piece.split("\n")
-            if "" not in lines:  # a lone line feed between other characters is a token of its own
+            lines = LONE_FEED.split(piece)
+            if len(lines) > 1:  # a line feed between characters other than white space is a token of its own
                 return known[lines[0]] + sum(1 + self.head[x] for x in lines[1:])
         word = piece.rstrip(STOPS)
         if not word.isalpha() or max(word) > "\xff":

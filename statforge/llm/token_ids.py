@@ -22,6 +22,8 @@ ASCII_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
 #: What str.split() takes for white space and the tokenizers library does not.
 NOT_SPACE_IN_TOKENIZERS = "\x1c\x1d\x1e\x1f"
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: Next to other white space a line feed may share a token with it (line feed and U+00A0 do).
+LONE_FEED = re.compile(r"(?<=\S)\n(?=\S)")
 #: Byte-level vocabularies write each byte as a printable sign: itself where it has one,
 #: else the next free code point from 256 on.
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -2,12 +2,13 @@
 
 import zlib
 from collections import defaultdict
+from itertools import product
 
 import numpy as np
 import pytest
 
 from statforge.llm.packing import assign, pack_documents
-from statforge.llm.token_counts import count_tokens, merged_count
+from statforge.llm.token_counts import PieceCounter, count_tokens, merged_count
 from statforge.llm.token_ids import tokenizer_path
 from statforge.llm.token_output import ids_crc32, read_token_files, with_starts, write_token_files
 
@@ -59,6 +60,18 @@ def test_counts(spark, from_files):
         assert (g.n_tokens, g.n_bytes, g.over_limit) == (len(ids), len((r.text or "").encode()), len(ids) > 1024)
 
 
+#: Every string of up to 4 of these signs; among them lines that hold U+00A0 only.
+SIGNS = ["a", ".", "\n", " ", "\u00a0", "\u3000", "\t", "\r"]
+FEED_TEXTS = ["Hello\n\u00a0\nworld", "Hello\n\u00a0", *("".join(t) for n in range(1, 5) for t in product(SIGNS, repeat=n))]
+
+
+def test_counts_around_line_feeds():
+    counter = PieceCounter(tokenizer_path("byte_bpe_50k.json"))
+    got = [counter.count(t) for t in FEED_TEXTS]
+    assert got[:2] == [4, 2]
+    assert got == [len(ids) for ids in brute("byte_bpe_50k.json", FEED_TEXTS)]
+
+
 def test_merged_count():
     ranks = {("a", "b"): 0, ("ab", "c"): 1, ("b", "c"): 2, ("a", "a"): 3}
     assert merged_count(list("abc"), ranks) == 1
