@@ -1,8 +1,8 @@
 """Token ids of whole texts, exactly as the tokenizers library gives them.
 
 Both vocabularies never merge across a single space that stands between two
-characters other than white space, so a text may be cut there and each piece be
-encoded alone. Pieces repeat, and a bounded cache keeps the ids of those seen;
+characters other than white space, nor across a line feed that does, so a text may
+be cut there and each piece be encoded alone. Pieces repeat, and a bounded cache keeps the ids of those seen;
 only new pieces reach the library. Texts with other white space around spaces are
 cut by a look-around pattern, and texts that hold the string of a special token are
 encoded whole, so that the library's own handling of them applies.
@@ -94,8 +94,8 @@ class PieceEncoder:
 
     def _learn(self, piece: str, known: Pieces, lead: str) -> bytes:
         if "\n" in piece:
-            lines = piece.split("\n")
-            if "" not in lines:
+            lines = LONE_FEED.split(piece)
+            if len(lines) > 1:
                 return known[lines[0]] + b"".join([self.line + self.head[x] for x in lines[1:]])
         word = piece.rstrip(STOPS)
         if not word.isalpha() or max(word) > "\xff":

@@ -9,7 +9,7 @@ import pytest
 
 from statforge.llm.packing import assign, pack_documents
 from statforge.llm.token_counts import PieceCounter, count_tokens, merged_count
-from statforge.llm.token_ids import tokenizer_path
+from statforge.llm.token_ids import PieceEncoder, tokenizer_path
 from statforge.llm.token_output import ids_crc32, read_token_files, with_starts, write_token_files
 
 from .cases import EDGE_TEXTS, SCHEMA, edge_documents
@@ -72,6 +72,12 @@ def test_counts_around_line_feeds():
     assert got == [len(ids) for ids in brute("byte_bpe_50k.json", FEED_TEXTS)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_around_line_feeds(name):
+    got = PieceEncoder(tokenizer_path(name)).encode(FEED_TEXTS)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == brute(name, FEED_TEXTS)
+
+
 def test_merged_count():
     ranks = {("a", "b"): 0, ("ab", "c"): 1, ("b", "c"): 2, ("a", "a"): 3}
     assert merged_count(list("abc"), ranks) == 1
