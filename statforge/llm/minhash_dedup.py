@@ -1,7 +1,7 @@
 """Operator 3: near-duplicate components by MinHash with sequential Bayesian verification.
 
 1. Each text's shingle set gets a signature of ``BANDS * ROWS`` minima and one key a band.
-   Texts with equal sets are linked at once and only the smallest doc_id goes on.
+   Texts with equal sets are linked at once and only the smallest doc_id's goes on.
 2. Each band key links its documents with the smallest of them (a star, not all pairs): at
    first only the star a document shares most keys with, then those of other components.
    Candidate pairs are compared a batch of minima at a time; a pair is dropped as soon as
@@ -235,15 +235,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     linked = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # equal sets
     shared = firsts(linked.select("doc_id", "s1", "s2"), ["s1", "s2"], "equal-sets")
-    equal = staged(linked.select("doc_id", "s1", "s2").join(shared, ["s1", "s2"]).filter("doc_id > first").select("doc_id", F.col("first").alias("rep")).distinct(), "equal")
-    one = linked.join(equal, "doc_id", "left_anti")
+    equal = staged(linked.select("doc_id", "s1", "s2").join(shared, ["s1", "s2"]).filter("doc_id > first").distinct(), "equal")
+    one = linked.join(equal, ["doc_id", "s1", "s2"], "left_anti")
+    # a document of copies of one other alone follows it; one with further texts is a node linked with each
+    more_texts = one.select("doc_id").join(equal, "doc_id", "left_semi")
+    reps = equal.groupBy("doc_id").agg(F.min("first").alias("rep"), F.max("first").alias("last")).filter("rep = last")
+    follows = staged(reps.select("doc_id", "rep").join(more_texts, "doc_id", "left_anti"), "follows")
+    copied = staged(equal.join(follows, "doc_id", "left_anti").select(F.col("doc_id").alias("a"), F.col("first").alias("b")), "copied")
     # stars of the band keys: first each document's closest one, then those that still join components
     members = staged(star_members(one.select("doc_id", F.col("doc_id").alias("component"), "bands"), "members"), "members")
     ids = staged(members.select("doc_id").unionByName(members.select(F.col("first").alias("doc_id"))).distinct(), "ids")
     signatures = staged(one.join(ids, "doc_id", "left_semi").select("doc_id", "signature", "bands"), "signatures")
     sets = staged(full_sets(docs, ids, k), "sets")
     closest = members.groupBy("doc_id", "first").agg(F.count("*").alias("n")).groupBy(F.col("doc_id").alias("a")).agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("b"))
-    links = staged(confirmed(plausible(closest, signatures, percent), sets, percent), "links")
+    links = copied.unionByName(staged(confirmed(plausible(closest, signatures, percent), sets, percent), "links"))
     again = star_members(in_components(signatures, components(links)), "members-again").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
     links = links.unionByName(staged(confirmed(plausible(again, signatures, percent), sets, percent), "links-again"))
     part = components(links)
@@ -252,7 +257,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     if more.limit(1).count():
         part = components(links.unionByName(more))
     # copies follow the document that stands for them
-    nodes = sketch.select("doc_id", "n_shingles").join(equal, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    nodes = sketch.select("doc_id", "n_shingles").join(follows, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     ends = nodes.join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     return ends.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 

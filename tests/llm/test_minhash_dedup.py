@@ -61,6 +61,16 @@ def test_empty_and_null_ids(spark):
     assert [(r.component_id, r.kept) for r in near_duplicates(docs).collect()] == [(None, True)] * 2
 
 
+def test_doc_ids_with_several_texts(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    near = c + " end"
+    rows = [(3, a), (4, b), (9, a), (9, b), (12, d), (20, c), (25, d), (25, near), (30, a), (31, near), (31, near), (40, ""), (40, b), (50, "q r s t u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs, 4, 80).collect())
+    parts = {3: 3, 4: 3, 9: 3, 30: 3, 40: 3, 12: 12, 20: 12, 25: 12, 31: 12, 50: 50}
+    assert got == sorted((i, parts[i], parts[i] == i) for i, _ in rows)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100, 140)] + [(7, 3), (3, 3), (7, 3)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
