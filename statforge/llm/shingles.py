@@ -56,9 +56,10 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     """Each text's set of k-word shingles as sorted distinct hashes; a text of fewer words
     is one shingle, a text without words has none."""
     words, first = word_hashes(column)
-    h = np.full(max(0, len(words) - k + 1), U(k))
+    m = max(0, len(words) - k + 1)
+    h = np.full(m, U(k))
     for i in range(k):
-        h = mix((h ^ words[i : len(words) - k + 1 + i]) * U(0x9FB21C651E98DF25))
+        h = mix((h ^ words[i : i + m]) * U(0x9FB21C651E98DF25))
     out = []
     for a, b in zip(first.tolist(), first[1:].tolist(), strict=False):
         if b - a >= k:

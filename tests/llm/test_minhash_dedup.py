@@ -3,8 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
+import pytest
+
 from statforge.llm.components import components
 from statforge.llm.minhash_dedup import OP3_SQL, keep_one, least_matches, near_duplicates, op3_minhash_dedup
+from statforge.llm.shingles import shingle_sets
 
 from .cases import EDGE_TEXTS, SCHEMA, edge_documents
 from .oracle import duck, same_rows
@@ -77,6 +81,13 @@ def test_components_of_a_chain(spark):
     assert got == {i: 100 for i in range(100, 141)} | {3: 3, 7: 3}
 
 
+@pytest.mark.parametrize("k", range(1, 7))
+def test_shingles_of_few_words(k):
+    for n in range(7):
+        (got,) = shingle_sets(pa.array([" ".join("abcdef"[:n])]), k)
+        assert len(got) == (n - k + 1 if n >= k else min(n, 1)), n
+
+
 def test_pruning_bounds():
     bounds = least_matches(80)
     assert list(bounds) == [32, 64, 96, 128, 160] and all(0 < m < 0.8 * n for n, m in bounds.items())
