@@ -1,17 +1,20 @@
 """Operator 1: removal of byte strings that also start in an earlier document.
 
-A distributed difference-cover method, bounded to prefixes of ``SPAN`` bytes, which is
-all that the question needs. The cover holds 5 of every 21 positions such that any two
-positions i, j have a shift d < 21 with i + d and j + d both in it; equal windows at i and
-j thus hold an aligned pair of sampled positions, each starting the same 30 bytes.
+Hash matching on a difference cover, in place of suffix sorting: names are hashes and keep
+no order, nothing recurses, and no order of suffixes is built or merged. The question asks
+only which ``SPAN``-byte windows are equal, not how suffixes compare, so equality of names
+is enough; a window's own hash decides, hence order could not change the result. The cover
+holds 5 of every 21 positions such that any two positions i, j have a shift d < 21 with
+i + d and j + d both in it; equal windows at i and j thus hold an aligned pair of sampled
+positions, each starting the same 30 bytes.
 
 1. Sampled tuples: the 30 bytes at each sampled position get a name (a hash) and names
-   are sorted; only names found in two documents or more go on.
-2. Recursion on names: each surviving sample is named by the 70 bytes that hold every
+   are matched; only names found in two documents or more go on.
+2. Contexts: each surviving sample is named by the 70 bytes that hold every
    window it may decide. If all occurrences of a name share that context, the smallest
    document decides for all of its windows at once.
-3. Remaining suffixes: the windows of samples whose contexts differ are named by their own
-   50 bytes, merged and sorted; equal neighbours give the smallest document.
+3. Windows: those of samples whose contexts differ are named by their own
+   50 bytes and matched; equal names give the smallest document.
 
 Documents are dealt into homes by a hash and each step asks, for sorted lists of names, in
 which documents else they occur: a home sends one packed list for each range of names and
