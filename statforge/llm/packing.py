@@ -11,7 +11,10 @@ Packs are formed within a task as rows stream by, so nothing is shuffled and a t
 one pack at a time. A sequence's id has the task's partition in its upper bits.
 
 Nulls: a null text is empty and has its end id alone. Repeated rows are packed each on
-its own; an empty table gives no pieces; other columns are ignored.
+its own; of pieces of equal cost the one met first goes first, to the first of equally cheap
+sequences; a very long text is encoded whole, in memory of its own size, and cut into as
+many sequences as it needs; an empty table gives no pieces; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_batches
-from .token_ids import PieceEncoder, tokenizer_path
+from .token_ids import tokenizer_path, worker_encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -84,7 +87,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, size: int = 204
         return pa.RecordBatch.from_arrays(columns, names), used
 
     def run(batches):
-        encoder = PieceEncoder(tokenizer)
+        encoder = worker_encoder(tokenizer)
         end, next_id = np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId() << 32
         packed, held = [], 0
         for batch in text_batches(batches):

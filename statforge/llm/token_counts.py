@@ -6,12 +6,15 @@ is popped, and a popped pair counts if both its symbols still stand. Pieces betw
 single spaces are counted apart and a bounded cache keeps their counts.
 
 Nulls: a null text is empty and has no tokens. Repeated rows and doc_ids are each
-counted; other columns are ignored. Special strings are one token each, as the library's
+counted; a very long text is counted whole, on its own, in memory of its own size; equal
+ranks (there are none in a vocabulary) fall to the leftmost pair; an empty table gives no
+rows; other columns are ignored, whatever their names. Special strings are one token each, as the library's
 default has it, and split the text around them.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
@@ -54,6 +57,12 @@ def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return left
 
 
+@functools.lru_cache(maxsize=2)
+def worker_counter(path: str) -> PieceCounter:
+    """The counter of a Python worker, which keeps the pieces it knows from task to task."""
+    return PieceCounter(path)
+
+
 class PieceCounter:
     """``count(text)``: tokens of a text; about ``limit`` pieces are remembered."""
 
@@ -109,7 +118,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) per row."""
 
     def run(batches):
-        counter = PieceCounter(tokenizer)
+        counter = worker_counter(tokenizer)
         for batch in text_batches(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts = [counter.count(t) for t in texts]

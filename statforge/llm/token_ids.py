@@ -10,11 +10,14 @@ encoded whole, so that the library's own handling of them applies.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
 #: White space besides space and line feed, as Unicode has it.
 OTHER_SPACE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
@@ -60,6 +63,12 @@ class Pieces(dict):
         return self.learn(piece)
 
 
+@functools.lru_cache(maxsize=2)
+def worker_encoder(path: str) -> PieceEncoder:
+    """The encoder of a Python worker, which keeps the pieces it knows from task to task."""
+    return PieceEncoder(path)
+
+
 class PieceEncoder:
     """``encode(texts)`` gives the ids of each text as little-endian bytes.
 
@@ -108,12 +117,39 @@ class PieceEncoder:
             known[piece] = value
         return value
 
+    def _make_room(self) -> None:
+        if len(self.rest) + (0 if self.head is self.rest else len(self.head)) > self.limit:
+            self.head.clear()
+            self.rest.clear()
+
+    def encode_column(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, each closed by ``end_id``; where each text
+        starts, and the end). For a vocabulary that drops white space: the column is split
+        into words at once, each distinct word is encoded once, and its ids are gathered."""
+        if self.line:
+            raise ValueError("only for a vocabulary that drops white space")
+        self._make_room()
+        words = pa.compute.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        edges = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        known = [*map(self.rest.__getitem__, coded.dictionary.to_pylist()), struct.pack("<I", end_id)]
+        ids = np.frombuffer(b"".join(known), "<i4")
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(lengths) - lengths
+        ends = edges[1:] - edges[0] + np.arange(len(texts))
+        codes = np.full(len(coded) + len(texts), len(known) - 1)
+        inner = np.ones(len(codes), bool)
+        inner[ends] = False
+        codes[inner] = coded.indices.to_numpy()
+        size = lengths[codes]
+        upto = np.cumsum(size)
+        flat = ids[np.repeat(starts[codes] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)]
+        return flat, np.concatenate([[0], upto[ends]]).astype(np.int64)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out = []
         for text in texts:
-            if len(self.rest) + (0 if self.head is self.rest else len(self.head)) > self.limit:
-                self.head.clear()
-                self.rest.clear()
+            self._make_room()
             if any(s in text for s in self.special):
                 out.append(self._library(text))
                 continue

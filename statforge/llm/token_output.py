@@ -11,7 +11,9 @@ hold ids in document order. Places across shards come from a prefix sum over one
 shard, read from the metadata columns alone.
 
 Nulls: a null text is empty; a null doc_id sorts first and is kept. Repeated doc_ids are
-kept, in text order. An empty table gives an empty file set. Other columns are ignored.
+kept, in text order. A very long text is encoded whole, on its own; its task holds the text
+and its ids. An empty table gives an empty file set. Other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import scratch_path, table, text_batches
-from .token_ids import PieceEncoder, tokenizer_path
+from .token_ids import tokenizer_path, worker_encoder
 
 FILE_SCHEMA = "doc_id long, shard long, local_start long, n_tokens long, tokens array<int>"
+#: Text bytes encoded at a time; a longer text is encoded on its own.
+SLICE = 16 << 20
 WRITER = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -42,20 +46,17 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of the file format for ``docs`` (doc_id, text), in ascending doc_id order."""
 
     def run(batches):
-        encoder = PieceEncoder(tokenizer)
-        shard, place, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
-        for batch in text_batches(batches):
-            ids = [x + end for x in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
-            lengths = np.array([len(x) // 4 for x in ids], dtype=np.int64)
-            offsets = np.concatenate([[0], np.cumsum(lengths)])
-            values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
+        encoder = worker_encoder(tokenizer)
+        shard, place = TaskContext.get().partitionId(), 0
+        for batch in text_batches(batches, SLICE):
+            ids, offsets = encoder.encode_column(batch.column(1), end_id)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(np.full(len(ids), shard, dtype=np.int64)),
+                    pa.array(np.full(batch.num_rows, shard, dtype=np.int64)),
                     pa.array(place + offsets[:-1]),
-                    pa.array(lengths),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values),
+                    pa.array(np.diff(offsets)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                 ],
                 ["doc_id", "shard", "local_start", "n_tokens", "tokens"],
             )
@@ -85,9 +86,11 @@ def with_starts(rows: DataFrame, files: DataFrame) -> DataFrame:
 def ids_crc32(column: str = "tokens"):
     """Unsigned CRC-32 of a list of ids as little-endian unsigned 32-bit integers."""
 
-    @F.pandas_udf("long")
-    def crc(lists):
-        return lists.map(lambda x: zlib.crc32(np.asarray(x, dtype="<i4").tobytes()))
+    @F.arrow_udf("long")
+    def crc(lists: pa.Array) -> pa.Array:
+        ids = memoryview(np.ascontiguousarray(lists.flatten().to_numpy().astype("<i4", copy=False))).cast("B")
+        ends = (4 * np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).tolist()
+        return pa.array([zlib.crc32(ids[a:b]) for a, b in zip([0, *ends], ends, strict=False)], pa.int64())
 
     return crc(F.col(column))
 

@@ -5,6 +5,7 @@ from collections import defaultdict
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from statforge.llm.packing import assign, pack_documents
@@ -125,3 +126,44 @@ def test_empty_table(spark, tmp_path):
 def test_repeated_rows(spark):
     docs = edge_documents(spark, EDGE_TEXTS[18:20]).unionByName(edge_documents(spark, EDGE_TEXTS[18:20]))
     assert count_tokens(docs, tokenizer_path("byte_bpe_50k.json"), 5).count() == 4
+
+
+def test_column_of_words_against_library():
+    """Random strings over signs that split words in odd ways."""
+    rng = np.random.default_rng(5)
+    signs = np.array(["a", "B", "é", "ß", "Σ", "'s", ".", ",", "1", " ", "\n", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x85", " ", " ", "　", "́", "<|endoftext|>", "the", "中"])
+    texts = [None, *("".join(rng.choice(signs, rng.integers(0, 9))) for _ in range(20_000))]
+    ids, edges = PieceEncoder(tokenizer_path("word_bpe_49k.json")).encode_column(pa.array(texts), 2)
+    want = brute("word_bpe_49k.json", texts)
+    assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)] == [[*x, 2] for x in want]
+    assert PieceEncoder(tokenizer_path("word_bpe_49k.json")).encode_column(pa.array([], pa.string()), 2)[1].tolist() == [0]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_random_strings_against_library(name):
+    rng = np.random.default_rng(6)
+    signs = np.array(["a", "B", "é", "'s", ".", "1", " ", "\n", "\t", "\r", "\x1c", "\x85", " ", " ", "　", "́", "<|endoftext|>", "the", "中"])
+    texts = ["".join(rng.choice(signs, rng.integers(0, 9))) for _ in range(100_000)]
+    want = brute(name, texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in PieceEncoder(tokenizer_path(name)).encode(texts)] == want
+    counter = PieceCounter(tokenizer_path(name))
+    assert [counter.count(t) for t in texts] == list(map(len, want))
+
+
+def test_long_text_null_and_repeated_ids(spark, tmp_path):
+    """A text above a batch slice; a null doc_id; a doc_id with two texts."""
+    long = "some words and more, " * 900_000
+    docs = spark.createDataFrame([(1, long), (None, "x y"), (2, "b a"), (2, "a b"), (2, "a b")], "doc_id long, text string")
+    path = str(tmp_path / "ids")
+    write_token_files(docs, path, tokenizer_path("word_bpe_49k.json"), end_id=2)
+    rows = with_starts(read_token_files(spark, path).withColumn("c", ids_crc32()).drop("tokens"), read_token_files(spark, path)).orderBy("start").collect()
+    texts = ["x y", long, "a b", "a b", "b a"]
+    want = [[*x, 2] for x in brute("word_bpe_49k.json", texts)]
+    assert [r.doc_id for r in rows] == [None, 1, 2, 2, 2]
+    assert [(r.n_tokens, r.c) for r in rows] == [(len(x), crc(x)) for x in want]
+    assert [r.start for r in rows] == np.cumsum([0, *map(len, want)])[:-1].tolist()
+    counts = {(r.doc_id, r.n_tokens) for r in count_tokens(docs, tokenizer_path("byte_bpe_50k.json"), 5).collect()}
+    byte = brute("byte_bpe_50k.json", [long, "x y"])
+    assert {(1, len(byte[0])), (None, len(byte[1]))} <= counts
+    pieces = pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), 1).collect()
+    assert sum(p.length for p in pieces if p.doc_id == 1) == len(byte[0]) + 1
