@@ -12,8 +12,11 @@ third of all pages is no hot key. Each task writes its own files; only the paths
 finished tasks report are read, so a repeated or lost task leaves no half archive behind.
 
 Nulls: a null html is an empty payload, a null url leaves the target out, a null page_id
-is written as such and never revisits. Rows repeated with the same page_id are each
-written. An empty table writes no file and gives no rows. Other columns are ignored.
+is written as such and never revisits. Rows that repeat a page_id are each written, with
+their own payloads: as responses where theirs is the smallest page_id of its payload, else
+as revisits. The writer holds one page and its compressed record at a time, so a very long
+page takes memory of its own size. An empty table writes no file and gives no rows. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,14 +46,23 @@ class BadArchive(ValueError):
 
 
 def open_folder(uri: str):
-    """(file system, path) of a folder in any store pyarrow knows."""
+    """(file system, path) of a folder in any store pyarrow knows, Hadoop's names for them
+    included; ``dbfs:/`` is read where it is mounted."""
     from pyarrow import fs
 
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if uri.startswith("dbfs:"):
+        return fs.LocalFileSystem(), "/dbfs/" + uri[5:].lstrip("/")
     if "://" not in uri:
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+
+
+def record_id(page_id, digest: str) -> str:
+    """A page_id may stand for several payloads; with its digest it names one."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
 
 
 def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -59,13 +71,13 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     if not revisit:
         block += payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", "WARC-Date: 1970-01-01T00:00:00Z"]
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c.isprintable() else f"%{ord(c):02X}" for c in url))
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", f"WARC-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n") + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
@@ -161,8 +173,8 @@ def with_references(pages: DataFrame) -> DataFrame:
     salted = keys.groupBy("digest", "salt").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     firsts = salted.groupBy("digest").agg(F.min("first").alias("refers_to"), F.max("last").alias("last")).filter("refers_to < last").select("digest", "refers_to")
     firsts = salted.select("digest", "salt").join(firsts, "digest")
-    references = keys.join(firsts, ["digest", "salt"]).filter("page_id > refers_to").select("page_id", "refers_to").distinct()
-    return rows.join(references, "page_id", "left")
+    references = keys.join(firsts, ["digest", "salt"]).filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
+    return rows.join(references, ["page_id", "digest"], "left")
 
 
 def write_archives(pages: DataFrame, folder: str, most: int = 256 << 20) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators 5 and 10."""
 
+import hashlib
 import io
 
 import numpy as np
@@ -29,9 +30,17 @@ def test_warc_edges(spark, tmp_path):
     assert read_archives(write_archives(empty, f"file:{tmp_path}/e"), f"file:{tmp_path}/e").count() == 0
 
 
-def test_reader_round_trip_and_damage():
-    import hashlib
+def test_warc_repeated_ids(spark, tmp_path):
+    """A page_id with several payloads loses none of them."""
+    a, b = "a" * 120, "b" * 120
+    pages = spark.createDataFrame([(1, "u", a), (2, "u", a), (2, "u", b), (3, "u", b), (3, "u", a), (3, "u", a)], "page_id long, url string, html string")
+    got = read_archives(write_archives(pages, f"file:{tmp_path}/w"), f"file:{tmp_path}/w").collect()
+    digest = {x: hashlib.sha256(x.encode()).hexdigest() for x in (a, b)}
+    want = [(1, digest[a], None), (2, digest[a], 1), (2, digest[b], None), (3, digest[b], 2), (3, digest[a], 1), (3, digest[a], 1)]
+    assert sorted(((r.page_id, r.payload_digest, r.refers_to) for r in got), key=repr) == sorted(want, key=repr)
+
 
+def test_reader_round_trip_and_damage():
     payloads = [b"", b"a", bytes(range(256)) * 2000]
     data = b"".join(record_bytes(i, "u", p, hashlib.sha256(p).hexdigest(), None) for i, p in enumerate(payloads))
     for step in (1, 7, 1 << 16):
