@@ -10,23 +10,27 @@ the start of a block permutation: documents are dealt into blocks and ordered in
 hash of document and epoch, and a cut in that order spends the rest of the quota.
 
 Only (source, block) totals and the rows of the block with the cut are summed in order, so
-a source on most rows is many blocks, and documents themselves are never shuffled. What
-stands for all sources at once is one row a source.
+a source on most rows is many blocks, and documents themselves are never shuffled. Sources
+are a table too: only sums over them stand in one row.
 
 Nulls: a null source is a source of its own; a null text has no tokens; sources without
 tokens keep their documents once; a null doc_id hashes as empty. Repeated rows fall on the
-same side of the cut. An empty table gives no rows. Other columns are carried along.
+same side of the cut, and documents with equal hashes (ties) too. A very long text counts
+whole. An empty table gives no rows. Other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import packed, staged, table, unpacked
 from .quality_rules import SPACES
 
 ROUNDS = 60
+WAYS, ENTROPY_ROUNDS = 16, 15
 BLOCK_ROWS = 1024
 MOST_BROADCAST = 100_000
 REPETITION = 1.5
@@ -47,42 +51,49 @@ def order_hash(epoch: Column) -> Column:
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
-def bisected(shares: str, too_low) -> Column:
-    """Smallest exponent in [0, 1], to 60 halvings, at which ``too_low`` fails."""
+def repetition_exponent(top: Column, low: Column, limit: float) -> Column:
+    """Smallest exponent in [0, 1], to 60 halvings, at which the smallest source (share
+    ``low``) is repeated no more than ``limit`` times as often as the largest (``top``)."""
     start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
 
     def halve(at, _):
         mid = (at["lo"] + at["hi"]) / 2
-        low = too_low(F.col(shares), mid)
-        return F.struct(F.when(low, mid).otherwise(at["lo"]).alias("lo"), F.when(low, at["hi"]).otherwise(mid).alias("hi"))
+        over = F.pow(top / low, 1 - mid) > limit
+        return F.struct(F.when(over, mid).otherwise(at["lo"]).alias("lo"), F.when(over, at["hi"]).otherwise(mid).alias("hi"))
 
     found = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, halve, lambda at: at["hi"])
-    return F.when(~too_low(F.col(shares), F.lit(0.0)), F.lit(0.0)).otherwise(found)
-
-
-def repeats_over(limit: float):
-    return lambda p, a: F.pow(F.array_max(p) / F.array_min(p), 1 - a) > limit
-
+    return F.when(F.pow(top / low, 1) > limit, found).otherwise(F.lit(0.0))
 
-def entropy_over(target: float):
-    def over(p, a):
-        total = F.aggregate(p, F.lit(0.0), lambda s, x: s + F.pow(x, a))
-        weighted = F.aggregate(p, F.lit(0.0), lambda s, x: s + F.pow(x, a) * F.ln(F.pow(x, a)))
-        return F.ln(total) - weighted / total > target
 
-    return over
+def entropy_exponent(live: DataFrame, total: int, target: float) -> float:
+    """The exponent in [0, 1] at which the weights' entropy falls to ``target``. A bisection
+    of ``WAYS`` parts a round: each round is one aggregate over the table of sources, so
+    their number has no bound. Only sums reach the driver."""
+    share, lo, hi = F.col("tokens") / F.lit(total), 0.0, 1.0
+    for _ in range(ENTROPY_ROUNDS):
+        tries = [lo + (hi - lo) * i / WAYS for i in range(WAYS + 1)]
+        sums = [f for a in tries for f in (F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * a * F.ln(share)))]
+        got = live.agg(*[f.alias(str(i)) for i, f in enumerate(sums)]).first()
+        over = sum(math.log(got[2 * i]) - got[2 * i + 1] / got[2 * i] > target for i in range(WAYS + 1))
+        if over in (0, WAYS + 1):  # below the target at the start, above it at the end
+            return lo if over == 0 else hi
+        lo, hi = tries[over - 1], tries[over]
+    return hi
 
 
 def quotas(sources: DataFrame, repetition: float | None, entropy: float | None, budget: int | None) -> DataFrame:
     """key, docs, tokens, weight, epochs and rest (tokens of the last part of an epoch)
-    from key, docs and tokens of each source."""
+    from key, docs and tokens of each source (a written table)."""
     live = sources.filter("tokens > 0")
-    one = live.agg(F.sum("tokens").alias("total"), F.sort_array(F.collect_list("tokens")).alias("all"))
-    one = one.withColumn("shares", F.transform("all", lambda t: t / F.col("total")))
-    found = [bisected("shares", f) for f in ([repeats_over(repetition)] if repetition else []) + ([entropy_over(entropy)] if entropy is not None else [])]
-    one = one.withColumn("exponent", F.greatest(*found, F.lit(0.0)) if found else F.lit(1.0))
-    powers = F.transform("shares", lambda p: F.pow(p, F.col("exponent")))
-    one = one.select("total", "exponent", F.aggregate(powers, F.lit(0.0), lambda s, x: s + x).alias("norm"), F.array_max("shares").alias("top"))
+    one = live.agg(F.sum("tokens").alias("total"), F.max("tokens").alias("most"), F.min("tokens").alias("least"))
+    one = one.withColumns({"top": F.col("most") / F.col("total"), "low": F.col("least") / F.col("total")})
+    found = [repetition_exponent(F.col("top"), F.col("low"), repetition)] if repetition else []
+    if entropy is not None:
+        total = live.agg(F.sum("tokens")).first()[0]
+        found.append(F.lit(entropy_exponent(live, total, entropy) if total else 0.0))
+    one = one.withColumn("exponent", F.greatest(*found, F.lit(0.0)) if found else F.lit(1.0)).select("total", "exponent", "top")
+    power = F.pow(F.col("tokens") / F.col("total"), F.col("exponent"))
+    one = live.join(F.broadcast(one), how="left").groupBy("total", "exponent", "top").agg(F.sum(power).alias("norm"))  # one row
     # the largest source is the least repeated: used once, it sets the budget
     whole = F.col("top") * F.col("total") / (F.pow("top", "exponent") / F.col("norm"))
     one = one.withColumn("budget", F.lit(float(budget)) if budget is not None else whole)
@@ -97,7 +108,7 @@ def mixing_plan(docs: DataFrame, repetition: float | None = REPETITION, entropy:
     """One row a source: key, weight, whole epochs, blocks, and the cut of the last epoch
     (documents up to ``cut_hash`` of ``cut_block``; -1: none)."""
     narrow = staged(docs.select("doc_id", source_key().alias("key"), n_words("text").alias("n")), "mix-lengths")
-    sources = narrow.groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"))
+    sources = staged(narrow.groupBy("key").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens")), "mix-sources")
     plan = staged(quotas(sources, repetition, entropy, budget).withColumn("blocks", F.ceil(F.col("docs") / BLOCK_ROWS)), "mix-quotas")
     rows = joined(narrow, plan.filter("rest > 0").select("key", "epochs", "blocks", "rest"))
     rows = rows.withColumn("hash", order_hash(F.col("epochs"))).withColumn("block", F.expr("hash % blocks"))
@@ -118,25 +129,26 @@ def joined(rows: DataFrame, sources: DataFrame, on: list[str] | str = "key") ->
 
 
 def mix(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as the plan uses them, with ``_epoch`` and ``_block``."""
-    rows = joined(docs.withColumn("_key", source_key()), plan.select(*[F.col(c).alias(f"_{c}") for c in plan.columns]), "_key")
-    last = order_hash(F.col("_epochs"))
-    block = F.pmod(last, F.col("_blocks"))
-    more = (block < F.col("_cut_block")) | ((block == F.col("_cut_block")) & (last <= F.col("_cut_hash")))
-    times = F.col("_epochs") + F.when(more, F.lit(1)).otherwise(F.lit(0))
-    rows = rows.withColumn("_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1))))
-    return rows.withColumn("_block", F.pmod(order_hash(F.col("_epoch")), F.col("_blocks"))).select(*docs.columns, "_epoch", "_block")
+    """The rows of ``docs`` as often as the plan uses them: each as struct ``own``, with its
+    epoch and block."""
+    rows = joined(docs.select(packed(docs.columns).alias("own"), "doc_id", source_key().alias("key")), plan)
+    last = order_hash(F.col("epochs"))
+    block = F.pmod(last, F.col("blocks"))
+    more = (block < F.col("cut_block")) | ((block == F.col("cut_block")) & (last <= F.col("cut_hash")))
+    times = F.col("epochs") + F.when(more, F.lit(1)).otherwise(F.lit(0))
+    rows = rows.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1))))
+    return rows.select("own", "epoch", F.pmod(order_hash(F.col("epoch")), F.col("blocks")).alias("block"))
 
 
 def mix_documents(docs: DataFrame, repetition: float | None = REPETITION, entropy: float | None = None, budget: int | None = None) -> DataFrame:
     """``docs`` mixed, its own columns."""
-    return mix(docs, mixing_plan(docs, repetition, entropy, budget)).select(*docs.columns)
+    return unpacked(mix(docs, mixing_plan(docs, repetition, entropy, budget)), "own", docs.columns)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = mix(docs.select("doc_id", "source"), mixing_plan(docs))
-    return rows.select("doc_id", "source", F.col("_epoch").alias("epoch"), F.col("_block").alias("block"))
+    return rows.select("own.doc_id", "own.source", "epoch", "block")
 
 
 def mix_sql(docs: str, repetition: float) -> str:

@@ -17,7 +17,7 @@ def test_sql(spark):
 def test_edges_sql(spark):
     docs = edge_documents(spark, EDGE_TEXTS)
     docs = docs.unionByName(docs.filter("doc_id < 14"))
-    rows = mix(docs, mixing_plan(docs)).selectExpr("doc_id", "source", "_epoch AS epoch", "_block AS block")
+    rows = mix(docs, mixing_plan(docs)).selectExpr("own.doc_id", "own.source", "epoch", "block")
     same_rows(rows.toPandas(), duck(documents=docs).execute(OP6_SQL).df())
     out = mix_documents(docs)
     assert out.columns == docs.columns
@@ -39,5 +39,11 @@ def test_targets(spark):
     assert 300 <= part.count() <= 303 and part.distinct().count() == part.count()
 
 
+def test_entropy_beyond_reach(spark):
+    docs = sources(spark, [50, 50])
+    for entropy in (0.0, 5.0):
+        assert {round(r.weight, 9) for r in mixing_plan(docs, repetition=None, entropy=entropy).collect()} == {0.5}
+
+
 def test_empty(spark):
     assert mix_documents(spark.createDataFrame([], SCHEMA)).count() == 0
