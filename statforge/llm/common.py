@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Where that is unset (local
-    tests) a temporary folder is made once and set as the checkpoint folder.
+    A cluster names it in ``spark.checkpoint.dir`` and must: a folder of one machine is no
+    use to others. Where that is unset and all runs on this machine (tests) a temporary
+    folder is made once and set as the checkpoint folder.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="statforge-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -45,6 +49,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(columns: list[str], *more: Column) -> Column:
+    """Columns as one struct, so that names of working columns can't clash with theirs."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`").alias(c) for c in columns], *more)
+
+
+def unpacked(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """The columns that ``packed`` put into the struct ``name``."""
+    return rows.select(*[F.col(name).getField(c).alias(c) for c in columns])
+
+
 def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenated UTF-8 bytes and row offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table, text_batches
+from .common import packed, staged, table, text_batches, unpacked
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -265,8 +265,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document is kept; its own columns. Further rows with
     the doc_id of a kept document stay with it."""
-    gone = near_duplicates(docs, k, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, k, percent).filter("NOT kept").select("doc_id").distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), packed(docs.columns).alias("own"))
+    return unpacked(rows.join(gone, "doc_id", "left_anti"), "own", docs.columns)
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ Measurements are per text, so nothing is shuffled. Repeated 5-word windows are f
 hashing each window, and only where hashes repeat within the text are they sorted to
 mark the words they cover.
 
-Nulls: a null text has no words and fails ``few_words``. Repeated rows are judged each
-on its own, an empty table gives an empty ledger, and other columns are ignored.
+Nulls: a null text has no words and fails ``few_words``; a null doc_id is carried. Repeated
+rows are judged each on its own, a very long text is measured whole in one task's memory, an
+empty table gives an empty ledger, and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table, unpacked
 
 SPACES = " \t\n\x0b\f\r"
 WINDOW = 5
@@ -112,9 +113,7 @@ def keep_documents(docs: DataFrame, version: int = CURRENT) -> DataFrame:
     condition = F.lit(False)
     for r in dict.fromkeys([*BASE, *POLICIES[version]]):
         condition = condition | F.expr(RULES[r])
-    clash = {c: f"_own_{c}" for c in names if c in MEASURES}
-    rows = measured(docs.withColumnsRenamed(clash)).filter(~condition)
-    return rows.drop(*MEASURES).withColumnsRenamed({v: k for k, v in clash.items()}).select(*names)
+    return unpacked(measured(docs.select(packed(docs.columns).alias("own"), "text")).filter(~condition), "own", names)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

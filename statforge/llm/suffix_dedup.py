@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table, utf8_column
+from .common import packed, table, utf8_column
 
 SPAN = 50
 PERIOD = 21
@@ -287,7 +287,8 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     homes = max(256, total >> 26)
     buckets = max(128, homes)
-    own = F.struct(*[F.col(c) for c in schema.names if c not in ("doc_id", "text")], F.lit(0).alias("_")) if with_text else F.lit(0)
+    filler = "_" * (1 + max(map(len, schema.names)))  # longer than any name; a struct needs a field
+    own = packed([c for c in schema.names if c not in ("doc_id", "text")], F.lit(0).alias(filler)) if with_text else F.lit(0)
     text = F.col("text").cast("string")
     dealt = docs.select(F.pmod(F.xxhash64(F.col("doc_id"), F.octet_length(text)), F.lit(homes)).cast("int").alias("home"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), own.alias("own"))
 
@@ -331,7 +332,7 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     if not with_text:
         return last.applyInArrow(result, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     rows = last.applyInArrow(result, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("own", dealt.schema["own"].dataType)]))
-    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"own.`{c}`").alias(c) for c in schema.names])
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col("own").getField(c).alias(c) for c in schema.names])
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
