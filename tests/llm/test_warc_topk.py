@@ -6,7 +6,7 @@ import io
 import numpy as np
 import pytest
 
-from statforge.llm.topk_search import OP10_SQL, op10_topk_search, top_k
+from statforge.llm.topk_search import NONE, OP10_SQL, Search, op10_topk_search, top_k
 from statforge.llm.warc import OP5_SQL, BadArchive, op5_warc, read_archives, read_records, record_bytes, write_archives
 
 from .oracle import duck, same_rows
@@ -71,3 +71,47 @@ def test_topk_edges(spark):
             want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert top_k(df.limit(0)).count() == 0
+
+
+def brute_top(fine, k=10):
+    want = []
+    for q in fine:
+        if q % 100 == 0:
+            best = sorted(((-int(sum(int(a) * int(b) for a, b in zip(fine[q], x, strict=True))), i) for i, x in fine.items() if i != q))[:k]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(want)
+
+
+def test_topk_scores_above_2_53(spark):
+    """Integer scores far beyond what floating point holds exactly."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.integers(1 << 29, 1 << 30, 4) / 1024.0).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k(df, least_blocks=2).collect())
+    assert got == brute_top({i: [int(np.floor(1024 * x)) for x in v] for i, v in rows})
+    assert min(s for *_, s in got) > 1 << 59
+
+
+def test_topk_few_rows_and_repeated_rows(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (7, [1.0, 1.0]), (7, [1.0, 1.0]), (100, [0.5, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in top_k(df).collect())
+    # query 0 stands for two equal rows, each with three candidates
+    assert [g for g in got if g[0] == 100] == [(100, 1, 7), (100, 2, 7), (100, 3, 0), (100, 4, 0)]
+    assert [g[2] for g in got if g[0] == 0] == [7, 7, 7, 7, 100, 100]
+
+
+def test_dual_tree_prunes_clusters():
+    """On clustered vectors most pairs are dropped by bounds; the result stays exact."""
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(30, 16)) * 3000
+    x = np.floor(centers[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 16)) * 20)
+    ids = np.arange(6000)
+    q = x[:200]
+    search = Search(q, ids[:200], np.full(200, NONE), x, ids, 10)
+    q_ids, found, score = search.run()
+    s = (q @ x.T).astype(np.int64)
+    s[np.arange(200), np.arange(200)] = NONE
+    want = np.lexsort((np.broadcast_to(ids, s.shape), ~s), axis=1)[:, :10]
+    assert found.reshape(200, 10).tolist() == want.tolist()
+    assert search.scored < 0.35 * 200 * 6000
