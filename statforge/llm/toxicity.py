@@ -1,29 +1,37 @@
 """Operator 8: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Features are words and the first 4 and 5 letters of longer words. From a bounded sample
-of labelled rows outside the held-out fold (at most ``SAMPLE`` of each label, by hash),
-features that go with toxic labels are chosen by a likelihood ratio; document
-frequencies of the chosen ones are counted over all documents. Sampled rows become unit
-vectors in an inverted index of blocks, each feature keeping its largest weight per block.
-A query bounds every block by these, scores blocks from the highest bound on, and stops
-when no block can reach its k-th best: the k nearest are exact. Their votes, weighted by
-cosine and by how many labelled rows each sampled row stands for, give the score; the
-nearest ids are its evidence. A text without chosen features gets the rate of label 1
-among such sampled rows.
-
-What is collected or broadcast is bounded by ``SAMPLE`` and ``FEATURES`` alone. All texts are
-read whole, in tasks that hold a few megabytes.
+Terms are words cut to their first ``STEM`` letters, which joins forms of one word in any
+of the languages. A few toxic words in a long text hardly move the cosine of the whole, so
+a text is asked for in windows of ``WINDOW`` words. Examples are whole labelled texts from a
+bounded sample outside the held-out fold (at most ``SAMPLE`` rows of each label by hash,
+texts of at most ``LONGEST`` bytes); their unit vectors hold every term they have, none is
+screened out, and document frequencies of these terms are counted over all documents.
+
+The examples stand in blocks of an inverted index. Lists of frequent terms are kept as
+rows, others as postings; each term has its largest weight per block. For a batch of
+windows these give a bound for every block; blocks are visited from the highest bounds on,
+for the windows whose k-th best cosine the bound still reaches, so the k nearest of each
+window are exact. All examples at the k-th cosine vote. Votes are weighted by cosine and by
+how many labelled rows an example stands for; neighbours short of k count as clean. The
+``LEADING`` windows with the largest shares of toxic votes speak for their text by their
+mean, and the nearest ids of the first are the evidence. Isotonic regression of the labels
+of the sample on their own shares (each without itself) turns shares into scores.
+
+What is collected or broadcast is bounded by ``SAMPLE`` and ``LONGEST`` alone. All texts are
+read whole, in tasks that hold a few megabytes (a longer text on its own).
 
 Nulls: a null text is empty; a null or unlabelled doc_id is scored but teaches nothing; of
-rows with one doc_id in labels the larger label holds. Ties at the k-th cosine go to the
-example met first in index order. Without labelled rows every score is 0. An empty table
-gives no rows. Only the text is an input of the score.
+rows with one doc_id in labels the larger label holds, of rows with one doc_id in documents
+the smallest text teaches. Texts without a term of the examples have no neighbours and get
+the score of share 0. Ties between windows go to the first one. Without labelled rows every
+score is 0. An empty table gives no rows. Other columns, whatever their names, are no input.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,198 +40,251 @@ from pyspark.sql import functions as F
 
 from .common import staged, table, text_batches
 
-SAMPLE = 4096
-FEATURES = 2048
+SAMPLE = 768
+LONGEST = 1 << 16
+STEM = 4
+WINDOW = 8
+LEADING = 3
 NEIGHBOURS = 16
-EVIDENCE = 24.0
-BLOCK = 32
+BLOCK = 256
+#: Windows compared at a time, and ids given as evidence.
+BATCH, EVIDENCE = 256, 8
 WORDS = re.compile(r"\w+")
+SCORED = "doc_id long, held_out boolean, score double, predicted int, share double, evidence array<long>"
 
 
-def features(text: str) -> Counter:
-    """Counts of words and of marked prefixes of longer words."""
-    out = Counter()
-    for word, n in Counter(WORDS.findall(text.lower())).items():
-        out[word] += n
-        for k in (4, 5):
-            if len(word) > k:
-                out[word[:k] + "*"] += n
-    return out
+def words_of(text: str | None) -> list[str]:
+    return [w[:STEM] for w in WORDS.findall((text or "").lower())]
 
 
 def fold() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, toxic) of the sampled training rows, and labelled rows by label."""
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def sample_rows(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list, dict[int, int]]:
+    """(doc_id, toxic, text) of the sampled training rows, and labelled rows by label."""
     train = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     train = train.filter(fold() != 0)
     sizes = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
     picks = [train.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     ids = staged(picks[0].unionByName(picks[1]), "toxic-sample")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return staged(rows.join(F.broadcast(ids), "doc_id"), "toxic-examples"), sizes  # at most 2 * most ids
-
+    rows = texts_of(docs).join(F.broadcast(ids), "doc_id")  # at most 2 * most ids
+    rows = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    return sorted(rows.select("doc_id", "toxic", "text").collect(), key=lambda r: r.doc_id), sizes
 
-def chosen_features(examples: DataFrame, most: int) -> list[str]:
-    """Features that go with label 1, by descending likelihood ratio."""
 
-    def run(batches):
-        seen = {0: Counter(), 1: Counter()}
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[y].update(features(text or "").keys())
-        names = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([seen[1][x] for x in names], pa.int64()), pa.array([seen[0][x] for x in names], pa.int64())], ["feature", "a", "b"])
-
-    sizes = {r.toxic: float(r["count"]) for r in examples.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return []
-    n1, n0 = sizes[1], sizes[0]
-    counts = examples.select("text", "toxic").mapInArrow(run, "feature string, a long, b long").groupBy("feature").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    part = lambda x, e: F.when(x > 0, x * F.ln(x / e)).otherwise(F.lit(0.0))
-    a, b = F.col("a"), F.col("b")
-    rate = (a + b) / (n1 + n0)
-    ratio = 2 * (part(a, n1 * rate) + part(b, n0 * rate) + part(n1 - a, n1 * (1 - rate)) + part(n0 - b, n0 * (1 - rate)))
-    strong = counts.filter((a >= 2) & ((a + 0.5) / n1 > 4 * (b + 0.5) / n0)).withColumn("g", ratio).filter(F.col("g") >= EVIDENCE)
-    return [r.feature for r in strong.orderBy(F.desc("g"), "feature").limit(most).collect()]
-
-
-class Vocabulary:
-    """Chosen features of texts; ``of(text)`` gives feature numbers and counts."""
-
-    def __init__(self, names: list[str]):
-        self.number = {x: i for i, x in enumerate(names)}
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        found: dict[int, int] = {}
-        if self.number:
-            if len(self.words) > 300_000:
-                self.words.clear()
-            known = self.words
-            for word in WORDS.findall(text.lower()):
-                hit = known.get(word)
-                if hit is None:
-                    marks = [word, *(word[:k] + "*" for k in (4, 5) if len(word) > k)]
-                    hit = known[word] = tuple(self.number[m] for m in marks if m in self.number)
-                for f in hit:
-                    found[f] = found.get(f, 0) + 1
-        keys = np.array(sorted(found), np.int64)
-        return keys, np.array([found[k] for k in keys.tolist()], np.float64)
-
-
-def frequencies(docs: DataFrame, names: list[str]) -> tuple[int, np.ndarray]:
-    """Number of all documents, and of those with each feature."""
-    m = len(names)
+def frequencies(docs: DataFrame, number) -> tuple[int, np.ndarray]:
+    """Number of all documents, and of those with each word (``number``: a broadcast dict)."""
+    m = len(number.value)
 
     def run(batches):
-        vocabulary, seen, n = Vocabulary(names), np.zeros(m, np.int64), 0
+        known, seen, n = number.value, np.zeros(m + 1, np.int64), 0
         for batch in text_batches(batches):
-            for text in batch.column(0).to_pylist():
-                seen[vocabulary.of(text or "")[0]] += 1
-                n += 1
-        keys = np.append(np.flatnonzero(seen), m)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.append(seen[keys[:-1]], n))], ["feature", "n"])
-
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "feature long, n long")
+            texts = batch.column(0).to_pylist()
+            n += len(texts)
+            for text in texts:
+                seen[[known.get(w, m) for w in set(words_of(text))]] += 1
+        keys = np.flatnonzero(seen[:m])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, m)), pa.array(np.append(seen[keys], n))], ["word", "n"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long")
+    got = rows.groupBy("word").agg(F.sum("n").alias("n")).toArrow()  # one row a word of the sample
     out = np.zeros(m + 1, np.int64)
-    for r in rows.groupBy("feature").agg(F.sum("n").alias("n")).collect():
-        out[r.feature] = r.n
+    out[got.column("word").to_numpy()] = got.column("n").to_numpy()
     return int(out[m]), out[:m]
 
 
-def unit(keys: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(counts)) * idf[keys]
+def unit(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(counts)) * idf
     return w / np.linalg.norm(w) if len(w) else w
 
 
 class BlockMaxIndex:
-    """Inverted lists over blocks of examples with each feature's largest weight a block."""
+    """Inverted lists over blocks of examples with each word's largest weight a block.
+    ``vectors``: words and unit weights of each example; ``idf``: weights of query words."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], m: int, block: int = BLOCK):
-        order = sorted(range(len(vectors)), key=lambda i: (vectors[i][0][np.argmax(vectors[i][1])], len(vectors[i][0])))
-        self.order, self.block, self.n = np.array(order, np.int64), block, len(order)
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, block: int = BLOCK):
+        self.order = np.array(sorted(range(len(vectors)), key=lambda i: len(vectors[i][0])), np.int64)
+        self.n, self.block = len(vectors), block
         self.blocks = -(-self.n // block)
-        example = np.concatenate([np.full(len(vectors[i][0]), at) for at, i in enumerate(order)] or [np.zeros(0, np.int64)])
-        feature = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
-        by = np.lexsort((example, feature))
-        self.example, self.weight = example[by].astype(np.int64), weight[by]
-        self.start = np.searchsorted(feature[by], np.arange(m + 1))
-        self.top = {}
-        for f in np.unique(feature).tolist():
-            a, b = self.start[f], self.start[f + 1]
-            where, first = np.unique(self.example[a:b] // block, return_index=True)
-            self.top[f] = (where, np.maximum.reduceat(self.weight[a:b], first), a + np.append(first, b - a))
-
-    def nearest(self, keys: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k largest positive cosines."""
-        lists = [(w, self.top[f]) for f, w in zip(keys.tolist(), weights.tolist(), strict=True) if f in self.top]
-        bounds = np.zeros(self.blocks)
-        for w, (where, top, _) in lists:
-            bounds[where] += w * top
-        scores = np.zeros(self.n)
-        best = np.zeros(0)
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best) == k and bounds[b] + 1e-12 < best[0]):
-                break
-            for w, (where, _, edges) in lists:
-                i = int(np.searchsorted(where, b))
-                if i < len(where) and where[i] == b:
-                    s = slice(edges[i], edges[i + 1])
-                    scores[self.example[s]] += w * self.weight[s]
-            best = np.sort(np.concatenate([best, scores[b * self.block : (b + 1) * self.block]]))[-k:]
-        top = np.argsort(-scores, kind="stable")[:k]
-        top = top[scores[top] > 0]
-        return self.order[top], scores[top]
-
-
-def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = FEATURES, k: int = NEIGHBOURS) -> DataFrame:
-    """doc_id, held_out, score, predicted and evidence (nearest ids) for each row."""
-    examples, sizes = sample_rows(docs, labels, sample)
-    names = chosen_features(examples, most)
-    n, df = frequencies(docs, names)
-    idf = np.log((1 + n) / (1 + df)) + 1
-    vocabulary = Vocabulary(names)
-
-    def vectors(batches):
-        own = Vocabulary(names)
+        self.width = self.blocks * block
+        example = np.concatenate([np.full(len(vectors[i][0]), at) for at, i in enumerate(self.order)] or [np.zeros(0, np.int64)]).astype(np.int64)
+        word = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, np.int64)]).astype(np.int64)
+        weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)]) * idf[word]
+        size = np.bincount(word, minlength=len(idf))
+        frequent = np.flatnonzero(size > max(8, self.n // 8))
+        self.row = np.full(len(idf), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        dense = self.row[word] >= 0
+        rows = np.zeros((len(frequent), self.width), np.float32)
+        rows[self.row[word[dense]], example[dense]] = weight[dense]
+        self.rows = [np.ascontiguousarray(rows[:, b * block : (b + 1) * block]) for b in range(self.blocks)]
+        self.top = np.array([r.max(axis=1, initial=0) for r in self.rows], np.float32).reshape(self.blocks, len(frequent)).T.copy()
+        by = np.lexsort((example[~dense], word[~dense]))
+        self.example, self.weight = example[~dense][by], weight[~dense][by].astype(np.float32)
+        self.start = np.searchsorted(word[~dense][by], np.arange(len(idf) + 1))
+
+    def cosines(self, words: np.ndarray, window: np.ndarray, n: int, k: int, own: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """For n windows (``words`` and the window of each): cosines with all examples, up
+        to each window's own norm (-inf in blocks that can't hold one of the k largest and
+        for example ``own``), and the k-th of them."""
+        frequent = self.row[words] >= 0
+        at = window[frequent] * len(self.top) + self.row[words[frequent]]
+        x = np.bincount(at, minlength=n * len(self.top)).astype(np.float32).reshape(n, len(self.top)) if len(self.top) else np.zeros((n, 0), np.float32)
+        rare, where = words[~frequent], window[~frequent]
+        size = self.start[rare + 1] - self.start[rare]
+        upto = np.cumsum(size)
+        posting = np.repeat(self.start[rare] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
+        base = np.bincount(np.repeat(where * self.width, size) + self.example[posting], self.weight[posting], n * self.width).astype(np.float32).reshape(n, self.blocks, self.block)
+        bounds = (x @ self.top + base.max(axis=2)) * np.float32(1.0001)
+        out = np.full((n, self.width), -np.inf, np.float32)
+        best = np.full((n, k), -np.inf, np.float32)
+        for b in np.argsort(-bounds.sum(axis=0), kind="stable").tolist():
+            go = np.flatnonzero(bounds[:, b] >= best[:, 0])
+            if not len(go):
+                continue
+            s = x[go] @ self.rows[b] + base[go, b]
+            a, z = b * self.block, min(self.n, (b + 1) * self.block)
+            s[:, z - a :] = -np.inf
+            if a <= own < z:
+                s[:, own - a] = -np.inf
+            out[go, a : a + self.block] = s
+            best[go] = np.partition(np.concatenate([best[go], s], axis=1), self.block, axis=1)[:, self.block :]
+        return out, best[:, 0]
+
+
+class Scorer:
+    """Shares of toxic votes and evidence of texts. Built on the driver, used in tasks."""
+
+    def __init__(self, rows: list, sizes: dict[int, int], number: dict[str, int], idf: np.ndarray, k: int):
+        vectors = []
+        for r in rows:
+            counts = Counter(words_of(r.text))
+            keys = np.array([number[w] for w in counts], np.int64)
+            vectors.append((keys, unit(np.array(list(counts.values()), np.float64), idf[keys])))
+        self.number, self.k = number, max(1, min(k, len(rows)))
+        self.index = BlockMaxIndex(vectors, idf)
+        toxic = np.array([r.toxic for r in rows], np.float32)
+        have = np.bincount(toxic.astype(np.int64), minlength=2)
+        mass = np.array([sizes.get(int(y), 0) / have[int(y)] for y in toxic], np.float32)
+        pad = self.index.width - len(rows)
+        self.mass = np.append(mass[self.index.order], np.zeros(pad, np.float32))
+        self.toxic_mass = np.append((mass * toxic)[self.index.order], np.zeros(pad, np.float32))
+        self.ids = np.array([r.doc_id for r in rows], np.int64)[self.index.order]
+        self.labels, self.weights = toxic, mass
+        self.knots = (np.zeros(1), np.zeros(1))
+
+    def windows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known words of all texts, the window of each, and the text of each window."""
+        get, found, sizes = self.number.get, [], []
+        for text in texts:
+            words = words_of(text)
+            sizes.append(len(words))
+            found.extend(map(get, words, repeat(-1)))
+        words, sizes = np.array(found, np.int64), np.array(sizes, np.int64)
+        spans = -(-sizes // WINDOW)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        window = np.repeat(np.cumsum(spans) - spans, sizes) + place // WINDOW
+        known = words >= 0
+        words, window = words[known], window[known]
+        which, window = np.unique(window, return_inverse=True)
+        return words, window, np.searchsorted(np.cumsum(spans), which, side="right")
+
+    def shares(self, texts: list[str | None], own: int = -1) -> tuple[np.ndarray, list[list[int]]]:
+        """Each text's mean share of toxic votes in its leading windows, and the nearest ids
+        of the first of them."""
+        most, evidence = np.zeros(len(texts)), [[] for _ in texts]
+        if not self.index.n:
+            return most, evidence
+        words, window, text = self.windows(texts)
+        shares = np.zeros(len(text))
+        edges = np.searchsorted(window, np.arange(0, len(text) + BATCH, BATCH))
+        for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            first, n = i * BATCH, min(BATCH, len(text) - i * BATCH)
+            s, kth = self.index.cosines(words[a:b], window[a:b] - first, n, self.k, own)
+            votes = np.where(s >= np.maximum(kth, np.float32(1e-9))[:, None], s, np.float32(0))
+            total = votes @ self.mass
+            toxic = np.where(total > 0, votes @ self.toxic_mass / np.maximum(total, 1e-30), 0)
+            toxic = toxic * np.minimum(1, (votes > 0).sum(axis=1) / self.k)
+            shares[first : first + n] = toxic
+            of = text[first : first + n]
+            for at, t in self.leading(toxic, of):
+                if not evidence[t] or toxic[at] > most[t]:
+                    near = np.flatnonzero(votes[at])
+                    near = near[np.argsort(-votes[at][near], kind="stable")][:EVIDENCE]
+                    most[t], evidence[t] = toxic[at], self.ids[near].tolist()
+        order = np.lexsort((-shares, text))
+        of = text[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        lead = order[rank < LEADING]
+        total, n = (np.bincount(text[lead], w, len(texts)) for w in (shares[lead], None))
+        return np.clip(total / np.maximum(n, 1), 0, 1), evidence
+
+    @staticmethod
+    def leading(toxic: np.ndarray, of: np.ndarray):
+        """(window, text) of the largest share of each text in a batch, the first of ties."""
+        order = np.lexsort((np.arange(len(of)), -toxic, of))
+        first = order[np.flatnonzero(np.diff(of[order], prepend=-1))]
+        return zip(first.tolist(), of[first].tolist(), strict=True)
+
+    def scores(self, shares: np.ndarray) -> np.ndarray:
+        return np.clip(np.interp(shares, *self.knots), 0.0, 1.0)
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing fit of y on x by pooling adjacent violators."""
+    pools: list[list[float]] = []
+    for a, b, w in sorted(zip(x.tolist(), y.tolist(), weight.tolist(), strict=True)):
+        pools.append([a * w, b * w, w, a, a])
+        while len(pools) > 1 and (pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2] or pools[-2][4] == pools[-1][3]):
+            last = pools.pop()
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2] + last[2], pools[-1][3], last[4]]
+    at = [e for p in pools for e in (p[3], p[4])]
+    return np.array(at), np.array([p[1] / p[2] for p in pools for _ in (0, 1)])
+
+
+def fitted(docs: DataFrame, labels: DataFrame, sample: int, k: int) -> Scorer:
+    spark = docs.sparkSession
+    rows, sizes = sample_rows(docs, labels, sample)
+    number = {w: i for i, w in enumerate(sorted({w for r in rows for w in words_of(r.text)}))}
+    known = spark.sparkContext.broadcast(number)  # words of the bounded sample
+    n, df = frequencies(docs, known) if number else (0, np.zeros(0))
+    scorer = Scorer(rows, sizes, number, np.log((1 + n) / (1 + df)) + 1, k)
+    if not rows:
+        return scorer
+    shared, place = spark.sparkContext.broadcast(scorer), np.argsort(scorer.index.order)
+
+    def own_shares(batches):
         for batch in batches:
-            got = [own.of(t or "") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([g[0].tolist() for g in got], pa.list_(pa.int64())), pa.array([g[1].tolist() for g in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "keys", "counts"])
-
-    rows = sorted(examples.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, keys array<long>, counts array<double>").collect())
-    have = {y: sum(r.toxic == y for r in rows) for y in (0, 1)}
-    stands = {y: sizes.get(y, 0) / have[y] if have[y] else 0.0 for y in (0, 1)}
-    with_any = [r for r in rows if r["keys"]]
-    bare = Counter(r.toxic for r in rows if not r["keys"])
-    total = bare[0] * stands[0] + bare[1] * stands[1]
-    bare_score = bare[1] * stands[1] / total if total else 0.0
-    ids = np.array([r.doc_id for r in with_any], np.int64)
-    toxic = np.array([r.toxic for r in with_any], np.float64)
-    mass = np.array([stands[r.toxic] for r in with_any])
-    packed = [(np.array(r["keys"], np.int64), np.array(r["counts"])) for r in with_any]
-    index = BlockMaxIndex([(a, unit(a, c, idf)) for a, c in packed], len(names))
+            got = [float(shared.value.shares([t], int(place[i]))[0][0]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["i", "share"])
+
+    own = spark.createDataFrame([(i, r.text) for i, r in enumerate(rows)], "i long, text string").repartition(32).mapInArrow(own_shares, "i long, share double").collect()
+    shares = np.zeros(len(rows))
+    for r in own:
+        shares[r.i] = r.share
+    scorer.knots = isotonic(shares, scorer.labels, scorer.weights)
+    return scorer
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, k: int = NEIGHBOURS) -> DataFrame:
+    """doc_id, held_out, score, predicted, share (of toxic votes) and evidence (nearest ids)
+    for each row."""
+    scorer = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample, k))
 
     def run(batches):
-        own = vocabulary
-        for batch in text_batches(batches):
-            scores, evidence = [], []
-            for text in batch.column(1).to_pylist():
-                keys, counts = own.of(text or "")
-                near, cosines = index.nearest(keys, unit(keys, counts, idf), k) if len(keys) else (np.zeros(0, np.int64), np.zeros(0))
-                if len(near):
-                    votes = cosines * mass[near]
-                    scores.append(min(1.0, max(0.0, float((votes * toxic[near]).sum() / votes.sum()))))
-                else:
-                    scores.append(bare_score)
-                evidence.append(ids[near].tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "evidence"])
-
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(fold() == 0, F.lit(False)).alias("held_out"))
-    return out.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<long>")
+        own = scorer.value
+        for batch in text_batches(batches, 1 << 20):
+            shares, evidence = own.shares(batch.column(1).to_pylist())
+            scores = own.scores(shares)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(shares), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "predicted", "share", "evidence"])
+
+    out = texts_of(docs).withColumn("held_out", F.coalesce(fold() == 0, F.lit(False)))
+    return out.mapInArrow(run, SCORED)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
