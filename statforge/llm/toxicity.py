@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import staged, table, text_batches
 
-SAMPLE = 768
+SAMPLE = 512
 LONGEST = 1 << 16
 STEM = 4
 WINDOW = 8
@@ -48,7 +48,7 @@ LEADING = 3
 NEIGHBOURS = 16
 BLOCK = 256
 #: Windows compared at a time, and ids given as evidence.
-BATCH, EVIDENCE = 256, 8
+BATCH, EVIDENCE = 128, 8
 WORDS = re.compile(r"\w+")
 SCORED = "doc_id long, held_out boolean, score double, predicted int, share double, evidence array<long>"
 
@@ -116,14 +116,14 @@ class BlockMaxIndex:
         word = np.concatenate([vectors[i][0] for i in self.order] or [np.zeros(0, np.int64)]).astype(np.int64)
         weight = np.concatenate([vectors[i][1] for i in self.order] or [np.zeros(0)]) * idf[word]
         size = np.bincount(word, minlength=len(idf))
-        frequent = np.flatnonzero(size > max(8, self.n // 8))
+        frequent = np.flatnonzero(size > max(8, self.n // 16))
         self.row = np.full(len(idf), -1)
         self.row[frequent] = np.arange(len(frequent))
         dense = self.row[word] >= 0
-        rows = np.zeros((len(frequent), self.width), np.float32)
+        rows = np.zeros((len(frequent) + 1, self.width), np.float32)  # the last one stays empty
         rows[self.row[word[dense]], example[dense]] = weight[dense]
         self.rows = [np.ascontiguousarray(rows[:, b * block : (b + 1) * block]) for b in range(self.blocks)]
-        self.top = np.array([r.max(axis=1, initial=0) for r in self.rows], np.float32).reshape(self.blocks, len(frequent)).T.copy()
+        self.top = np.array([r.max(axis=1) for r in self.rows], np.float32).reshape(self.blocks, len(rows)).T.copy()
         by = np.lexsort((example[~dense], word[~dense]))
         self.example, self.weight = example[~dense][by], weight[~dense][by].astype(np.float32)
         self.start = np.searchsorted(word[~dense][by], np.arange(len(idf) + 1))
@@ -133,21 +133,31 @@ class BlockMaxIndex:
         to each window's own norm (-inf in blocks that can't hold one of the k largest and
         for example ``own``), and the k-th of them."""
         frequent = self.row[words] >= 0
-        at = window[frequent] * len(self.top) + self.row[words[frequent]]
-        x = np.bincount(at, minlength=n * len(self.top)).astype(np.float32).reshape(n, len(self.top)) if len(self.top) else np.zeros((n, 0), np.float32)
+        # the rows of each window's frequent terms, side by side; no matrix product, as its
+        # threads would wait for one another within a task
+        of = window[frequent]
+        place = np.arange(len(of)) - np.searchsorted(of, of)
+        slots = np.full((int(place.max(initial=-1)) + 1, n), len(self.top) - 1)
+        slots[place, of] = self.row[words[frequent]]
         rare, where = words[~frequent], window[~frequent]
         size = self.start[rare + 1] - self.start[rare]
         upto = np.cumsum(size)
         posting = np.repeat(self.start[rare] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
-        base = np.bincount(np.repeat(where * self.width, size) + self.example[posting], self.weight[posting], n * self.width).astype(np.float32).reshape(n, self.blocks, self.block)
-        bounds = (x @ self.top + base.max(axis=2)) * np.float32(1.0001)
+        base = np.zeros((n, self.blocks, self.block), np.float32)
+        np.add.at(base.reshape(-1), np.repeat(where * self.width, size) + self.example[posting], self.weight[posting])
+        bounds = base.max(axis=2)
+        for slot in slots:
+            bounds += self.top[slot]
+        bounds *= np.float32(1.0001)
         out = np.full((n, self.width), -np.inf, np.float32)
         best = np.full((n, k), -np.inf, np.float32)
         for b in np.argsort(-bounds.sum(axis=0), kind="stable").tolist():
             go = np.flatnonzero(bounds[:, b] >= best[:, 0])
             if not len(go):
                 continue
-            s = x[go] @ self.rows[b] + base[go, b]
+            s = base[go, b]
+            for slot in slots:
+                s += np.take(self.rows[b], slot[go], axis=0)
             a, z = b * self.block, min(self.n, (b + 1) * self.block)
             s[:, z - a :] = -np.inf
             if a <= own < z:
@@ -170,10 +180,10 @@ class Scorer:
         self.index = BlockMaxIndex(vectors, idf)
         toxic = np.array([r.toxic for r in rows], np.float32)
         have = np.bincount(toxic.astype(np.int64), minlength=2)
-        mass = np.array([sizes.get(int(y), 0) / have[int(y)] for y in toxic], np.float32)
+        mass = np.array([sizes.get(int(y), 0) / have[int(y)] for y in toxic])
         pad = self.index.width - len(rows)
-        self.mass = np.append(mass[self.index.order], np.zeros(pad, np.float32))
-        self.toxic_mass = np.append((mass * toxic)[self.index.order], np.zeros(pad, np.float32))
+        self.mass = np.append(mass[self.index.order], np.zeros(pad))
+        self.toxic_mass = np.append((mass * toxic)[self.index.order], np.zeros(pad))
         self.ids = np.array([r.doc_id for r in rows], np.int64)[self.index.order]
         self.labels, self.weights = toxic, mass
         self.knots = (np.zeros(1), np.zeros(1))
@@ -206,17 +216,17 @@ class Scorer:
         for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             first, n = i * BATCH, min(BATCH, len(text) - i * BATCH)
             s, kth = self.index.cosines(words[a:b], window[a:b] - first, n, self.k, own)
-            votes = np.where(s >= np.maximum(kth, np.float32(1e-9))[:, None], s, np.float32(0))
-            total = votes @ self.mass
-            toxic = np.where(total > 0, votes @ self.toxic_mass / np.maximum(total, 1e-30), 0)
-            toxic = toxic * np.minimum(1, (votes > 0).sum(axis=1) / self.k)
+            voter, example = np.nonzero(s >= np.maximum(kth, np.float32(1e-9))[:, None])
+            cosine = s[voter, example].astype(np.float64)
+            total, toxic = (np.bincount(voter, cosine * m[example], n) for m in (self.mass, self.toxic_mass))
+            ends = np.cumsum(np.bincount(voter, minlength=n))
+            toxic = toxic / np.maximum(total, 1e-30) * np.minimum(1, np.diff(ends, prepend=0) / self.k)
             shares[first : first + n] = toxic
             of = text[first : first + n]
             for at, t in self.leading(toxic, of):
                 if not evidence[t] or toxic[at] > most[t]:
-                    near = np.flatnonzero(votes[at])
-                    near = near[np.argsort(-votes[at][near], kind="stable")][:EVIDENCE]
-                    most[t], evidence[t] = toxic[at], self.ids[near].tolist()
+                    near = slice(ends[at - 1] if at else 0, ends[at])
+                    most[t], evidence[t] = toxic[at], self.ids[example[near][np.argsort(-cosine[near], kind="stable")][:EVIDENCE]].tolist()
         order = np.lexsort((-shares, text))
         of = text[order]
         rank = np.arange(len(of)) - np.searchsorted(of, of)
