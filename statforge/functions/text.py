@@ -38,3 +38,18 @@ def fuzzy_contains(text: Column, part: Column, most: int) -> Column:
 
 def record_text(w: Column, losses: Column, o: Column) -> Column:
     return F.concat_ws("-", w.cast("string"), losses.cast("string"), o.cast("string"))
+
+
+def one_letter_keys(c: Column) -> Column:
+    """A text and all of it with one letter left out. Two texts at most one edit apart
+    share one of these, so they meet in a join on equality."""
+    gone = F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1)))
+    return F.array_distinct(F.concat(F.array(c), F.when(F.length(c) > 0, gone).otherwise(F.array().cast("array<string>"))))
+
+
+def stretches(c: Column) -> Column:
+    """All non-empty stretches of a short text: what is contained in it meets it in a join
+    on equality."""
+    n = F.length(c)
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.substr(c, i, j - i + 1)))
+    return F.array_distinct(F.when(n > 0, F.flatten(cut)).otherwise(F.array().cast("array<string>")))

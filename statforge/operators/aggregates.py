@@ -31,10 +31,12 @@ def rollup_modes(df: DataFrame, group: str, mode: str, *aggs: Column) -> DataFra
     return df.groupingSets([[F.col(group)], [F.col(group), F.col(mode)]], group, mode).agg(*aggs, F.grouping(mode).cast("int").alias("is_total"))
 
 
-def upper_median(values: Column) -> Column:
-    """sorted[n // 2], not interpolated."""
-    s = F.sort_array(F.collect_list(values))
-    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+def upper_median(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """group and the value at place n // 2 (from 0) of its sorted values, not interpolated.
+    Places come from windows, which spill, so a large group is no array."""
+    w = Window.partitionBy(*group)
+    rows = df.filter(F.col(value).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(value)), "_n": F.count(F.lit(1)).over(w)})
+    return rows.filter("_r = _n DIV 2 + 1").drop("_r", "_n")
 
 
 def element_sums(df: DataFrame, group: str, array: str, width: int, scale: int) -> DataFrame:

@@ -7,10 +7,19 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import one_letter_keys
+
 
 def whole_number(c: Column) -> Column:
-    """Missing or empty is 0; anything else must be a number."""
-    return F.when(c.isNull() | (F.trim(c) == ""), F.lit(0)).otherwise(F.trim(c).try_cast("long"))
+    """Missing or empty is 0; anything else must be a number, or the query fails."""
+    n = F.trim(c).try_cast("long")
+    bad = F.raise_error(F.concat(F.lit("expected a whole number, got: "), c)).cast("long")
+    return F.when(c.isNull() | (F.trim(c) == ""), F.lit(0).cast("long")).when(n.isNotNull(), n).otherwise(bad)
+
+
+def whole_number_or_null(c: Column) -> Column:
+    """The number a text starts with; null if there is none."""
+    return F.nullif(F.regexp_extract(c.cast("string"), r"^\s*([+-]?\d+)", 1), F.lit("")).cast("long")
 
 
 def hex_channel(color: Column, i: int) -> Column:
@@ -49,11 +58,10 @@ def promotion(candidates: DataFrame, group: list[str], value: str, trusted: floa
     return ranked.withColumn("verdict", verdict)
 
 
-def first_valid(df: DataFrame, group: list[str], order: list[Column], columns: list[str]) -> DataFrame:
-    """For each column the first non-null value in the given order."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = df.select(*group, *[F.first(c, ignorenulls=True).over(w).alias(c) for c in columns])
-    return rows.dropDuplicates(group)
+def first_valid(df: DataFrame, group: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """For each column the first non-null value in ascending order of ``order``."""
+    place = F.struct(*order)
+    return df.groupBy(*group).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns])
 
 
 def clusters(df: DataFrame, group: list[str], x: str, gap: float) -> DataFrame:
@@ -71,6 +79,21 @@ def grade(truth: DataFrame, guess: DataFrame, key: str, columns: list[str], tole
     return t.join(g, key).select(F.inline(fields)).groupBy("field").agg(F.count("*").alias("compared"), F.count_if("ok").cast("long").alias("matched"))
 
 
+def phantoms(rows: DataFrame, bucket: list[str]) -> DataFrame:
+    """phantom, canonical and kind of pairs in a bucket (rows: id, clock, placed) of which
+    just one is placed and whose clocks differ by a lost first or last digit or by one edit.
+    Rows meet on the digits, those with one end left out, and one-letter deletions."""
+    digits = F.regexp_replace("clock", ":", "")
+    ends = F.array(digits, F.expr("substr(regexp_replace(clock, ':', ''), 2)"), F.expr("left(regexp_replace(clock, ':', ''), length(clock) - 2)"))
+    keys = F.array_distinct(F.concat(F.transform(ends, lambda x: F.concat(F.lit("d"), x)), F.transform(one_letter_keys(F.col("clock")), lambda x: F.concat(F.lit("c"), x))))
+    keyed = rows.filter("clock IS NOT NULL AND clock <> ''").withColumns({"digits": digits, "_key": F.explode(keys)})
+    a = keyed.filter("placed").select(*bucket, "_key", F.col("id").alias("canonical"), F.col("clock").alias("ca"), F.col("digits").alias("da"))
+    b = keyed.filter("NOT placed").select(*bucket, "_key", F.col("id").alias("phantom"), F.col("clock").alias("cb"), F.col("digits").alias("db"))
+    lost = (F.abs(F.length("da") - F.length("db")) == 1) & (F.contains("da", "db") | F.contains("db", "da"))
+    met = a.join(b, [*bucket, "_key"]).withColumn("kind", F.when(lost, "substring").when(F.levenshtein("ca", "cb") <= 1, "levenshtein-1"))
+    return met.filter("kind IS NOT NULL").select("phantom", "canonical", "kind").distinct()
+
+
 def exactly_one_edit(a: Column, b: Column) -> Column:
     """Two-argument distance: the three-argument form gives -1 beyond its bound."""
     return (F.abs(F.length(a) - F.length(b)) <= 1) & (F.levenshtein(a, b) == 1)

@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import one_letter_keys, snapshot_name, stretches
+
+#: The steps of ``resolve_cascade``, in order.
+VIA = ["gamertag_exact", "gamertag_history_exact", "display_alias_exact", "gamertag_substring", "gamertag_levenshtein", "unresolved"]
+
 
 def unordered_pairs(df: DataFrame, group: str, member: str, keep: list[str]) -> DataFrame:
     """Pairs a < b of distinct members of a group. Quadratic in a group's members, which a
@@ -49,18 +54,50 @@ def neighbours(df: DataFrame, group: list[str], ts: str, ident: str) -> DataFram
     return df.join(steps, [*group, ts])
 
 
-def resolve_cascade(probes: DataFrame, names: DataFrame, key: Column, block: Column) -> DataFrame:
-    """probe_id -> name_id by the first step that answers: equal name, equal tag, then a
-    tag one edit away if only one name is. Candidates meet on equal tags or in a block;
-    steps before the last answer with the smallest id."""
-    p = probes.withColumns({"_tag": key, "_block": block})
-    n = names.withColumns({"_tag": key, "_block": block}).select(F.col("id").alias("name_id"), F.col("name").alias("_name"), F.col("_tag").alias("_other"), "_block")
-    found = p.join(n, "_block")
-    step = F.when(F.col("name") == F.col("_name"), 1).when(F.col("_tag") == F.col("_other"), 2).when((F.abs(F.length("_tag") - F.length("_other")) <= 1) & (F.levenshtein("_tag", "_other") <= 1), 3)
-    found = found.withColumn("step", step).filter("step IS NOT NULL").groupBy("id", "step").agg(F.min("name_id").alias("name_id"), F.countDistinct("name_id").alias("hits"))
-    w = Window.partitionBy("id").orderBy("step")
-    best = found.filter("step < 3 OR hits = 1").withColumn("_r", F.row_number().over(w)).filter("_r = 1")
-    return probes.select("id").join(best.select("id", "step", "name_id"), "id", "left")
+def within_one_edit(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """Pairs of rows whose texts ``a`` and ``b`` are at most one edit apart: both sides meet
+    on their one-letter deletions and are then compared."""
+    met = left.withColumn("_key", F.explode(one_letter_keys(F.col(a)))).join(right.withColumn("_key", F.explode(one_letter_keys(F.col(b)))), "_key").drop("_key")
+    return met.filter(F.levenshtein(a, b) <= 1).distinct()
+
+
+def resolve_cascade(probes: DataFrame, players: DataFrame, history: DataFrame, aliases: DataFrame) -> DataFrame:
+    """id, player_id and via of each probe (id, snapshot) by the first step that answers:
+    equal gamertag, equal tag in use of the history, equal display alias, the only active
+    gamertag that contains the snapshot or is contained in it, the only active gamertag one
+    edit away; else unresolved. Of several equal names the smallest player_id answers.
+
+    players (player_id, gamertag, is_active), history (player_id, gamertag, in_use) and
+    aliases (player_id, alias); every step is a join on equality."""
+    named = probes.select("id", F.lower(snapshot_name(F.col("snapshot"))).alias("name"))
+    known = players.select(F.lower("gamertag").alias("name"), F.lit(1).alias("step"), "player_id")
+    known = known.unionByName(history.filter("in_use").select(F.lower("gamertag").alias("name"), F.lit(2).alias("step"), "player_id"))
+    known = known.unionByName(aliases.select(F.lower("alias").alias("name"), F.lit(3).alias("step"), "player_id"))
+    known = known.filter("name IS NOT NULL AND name <> ''").groupBy("name").agg(F.min(F.struct("step", "player_id")).alias("hit"))
+    equal = named.join(known, "name", "left")
+    left = equal.filter("hit IS NULL AND name <> ''").select("id", "name")
+    tags = players.filter("is_active").select("player_id", F.lower("gamertag").alias("tag")).filter("tag <> ''")
+    inside = left.select("id", F.explode(stretches(F.col("name"))).alias("tag")).join(tags, "tag").select("id", "player_id")
+    around = left.join(tags.select("player_id", F.explode(stretches(F.col("tag"))).alias("name")), "name").select("id", "player_id")
+    near = within_one_edit(left, tags, "name", "tag").select("id", "player_id")
+    votes = inside.unionByName(around).withColumn("step", F.lit(4)).unionByName(near.withColumn("step", F.lit(5)))
+    only = votes.groupBy("id", "step").agg(F.min("player_id").alias("player_id"), F.max("player_id").alias("_last")).filter("player_id = _last")
+    only = only.groupBy("id").agg(F.min(F.struct("step", "player_id")).alias("only"))
+    found = equal.join(only, "id", "left").withColumn("found", F.coalesce("hit", "only"))
+    via = F.element_at(F.array(*[F.lit(v) for v in VIA]), F.coalesce(F.col("found.step"), F.lit(len(VIA))))
+    return found.select("id", F.col("found.player_id").alias("player_id"), via.alias("via"))
+
+
+def resolve_persona(probes: DataFrame, aliases: DataFrame) -> DataFrame:
+    """id, canonical and via: an equal alias, else the smallest alias one edit away, else
+    the cleaned snapshot itself; no row for snapshots that are empty after cleaning."""
+    named = probes.select("id", snapshot_name(F.col("snapshot")).alias("cleaned")).filter("cleaned <> ''").withColumn("name", F.lower("cleaned"))
+    known = aliases.select(F.lower("alias").alias("alias"), "canonical")
+    met = within_one_edit(named.select("id", "name"), known, "name", "alias")
+    best = met.groupBy("id").agg(F.min(F.struct((F.col("name") != F.col("alias")).alias("far"), "alias", "canonical")).alias("b"))
+    rows = named.join(best, "id", "left")
+    via = F.when(F.col("b").isNull(), "raw").when(F.col("b.far"), "fuzzy_alias").otherwise("exact_alias")
+    return rows.select("id", F.coalesce("b.canonical", "cleaned").alias("canonical"), via.alias("via"))
 
 
 def lineup_gate(actors: DataFrame, lineup: DataFrame, unit: str, who: str) -> DataFrame:

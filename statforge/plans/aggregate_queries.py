@@ -209,7 +209,7 @@ def strict_sum_total(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT user_id, CAST(list_sort(list(value))[count(*) // 2 + 1] AS DOUBLE) AS median FROM ev GROUP BY 1")
 def upper_median_value(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(upper_median(F.col("value")).cast("double").alias("median"))
+    return upper_median(events(spark, sf_dir).select("user_id", F.col("value").cast("double").alias("median")), ["user_id"], "median")
 
 
 @query(f"""WITH {EVENTS}, d AS (SELECT DISTINCT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day FROM ev), b AS (SELECT user_id, max(day) + 1 AS expected FROM d GROUP BY 1)
@@ -248,12 +248,12 @@ def pair_member_avg(spark, sf_dir):
 
 
 @query(f"""WITH {EVENTS}, t AS (SELECT DISTINCT event_type FROM ev), d AS (SELECT unnest(range(0, 3)) AS day),
-c AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, event_type, count(*) AS n FROM ev WHERE user_id % 2 = 0 GROUP BY 1, 2)
+c AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, event_type, count(*) AS n FROM ev WHERE value > 50 GROUP BY 1, 2)
 SELECT d.day, t.event_type, coalesce(n, 0) AS n FROM d CROSS JOIN t LEFT JOIN c ON c.day = d.day AND c.event_type = t.event_type""")
 def faceted_counts(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("day", F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")).cast("long"))
     facets = e.select("event_type").distinct().withColumn("day", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
-    counts = e.filter("user_id % 2 = 0").groupBy("day", "event_type").agg(F.count("*").alias("n"))
+    counts = e.filter("value > 50").groupBy("day", "event_type").agg(F.count("*").alias("n"))
     return facets.join(counts, ["day", "event_type"], "left").select("day", "event_type", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 

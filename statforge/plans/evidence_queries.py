@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import count_where
-from ..operators.evidence import clusters, exactly_one_edit, first_valid, fuzzy_jaccard, grade, identity_key, is_gray, promotion, support, whole_number
+from ..operators.evidence import clusters, first_valid, fuzzy_jaccard, grade, identity_key, is_gray, phantoms, promotion, support, whole_number
 from ..sources.tables import EVENTS, MATCHES, events, matches, read
 from .registry import query
 
@@ -35,7 +35,7 @@ def first_valid_merge(spark, sf_dir):
     e = events(spark, sf_dir)
     v = F.col("value").cast("double")
     e = e.withColumns({"click": F.when(F.col("event_type") == "click", v), "view": F.when((F.col("event_type") == "view") & (v > 20), v)})
-    return first_valid(e, ["user_id"], [F.asc("event_id")], ["click", "view"])
+    return first_valid(e, ["user_id"], ["event_id"], ["click", "view"])
 
 
 @query("""WITH x AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) END AS id, CASE WHEN o_orderkey % 2 = 0 THEN upper(o_orderpriority) ELSE lower(o_orderpriority) END AS tag, CAST(o_totalprice AS DECIMAL(18,2)) AS v FROM orders)
@@ -77,14 +77,16 @@ def truth_grading(spark, sf_dir):
     return grade(t, s, "k", ["a", "b"], tolerance=20)
 
 
-@query("""WITH x AS (SELECT o_orderkey, o_custkey, lpad(CAST(o_orderkey % 20 AS VARCHAR), 2, '0') || ':' || lpad(CAST(o_orderkey * 7 % 60 AS VARCHAR), 2, '0') AS clock, o_orderkey % 2 = 0 AS placed FROM orders)
-SELECT a.o_orderkey AS a, b.o_orderkey AS b FROM x a JOIN x b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND levenshtein(a.clock, b.clock) = 1 AND a.placed <> b.placed""")
+@query("""WITH x AS (SELECT event_id, user_id, event_type, CAST(event_id % 23 AS VARCHAR) || ':' || lpad(CAST(event_id * 7 % 60 AS VARCHAR), 2, '0') AS clock, value > 50 AS placed FROM events),
+p AS (SELECT a.event_id AS a, b.event_id AS b, a.placed, levenshtein(a.clock, b.clock) <= 1 AS near, replace(a.clock, ':', '') AS da, replace(b.clock, ':', '') AS db
+      FROM x a JOIN x b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.event_id < b.event_id AND a.placed <> b.placed)
+SELECT CASE WHEN placed THEN b ELSE a END AS phantom, CASE WHEN placed THEN a ELSE b END AS canonical, CASE WHEN abs(len(da) - len(db)) = 1 AND (contains(da, db) OR contains(db, da)) THEN 'substring' ELSE 'levenshtein-1' END AS kind
+FROM p WHERE near OR (abs(len(da) - len(db)) = 1 AND (contains(da, db) OR contains(db, da)))""")
 def phantom_pairs(spark, sf_dir):
-    k = F.col("o_orderkey")
-    clock = F.concat(F.lpad((k % 20).cast("string"), 2, "0"), F.lit(":"), F.lpad((k * 7 % 60).cast("string"), 2, "0"))
-    x = read(spark, sf_dir, "orders").select("o_custkey", k.alias("a"), clock.alias("ca"), (k % 2 == 0).alias("pa"))
-    y = x.select("o_custkey", F.col("a").alias("b"), F.col("ca").alias("cb"), F.col("pa").alias("pb"))
-    return x.join(y, "o_custkey").filter((F.col("a") < F.col("b")) & exactly_one_edit(F.col("ca"), F.col("cb")) & (F.col("pa") != F.col("pb"))).select("a", "b")
+    n = F.col("event_id")
+    clock = F.concat((n % 23).cast("string"), F.lit(":"), F.lpad((n * 7 % 60).cast("string"), 2, "0"))
+    x = read(spark, sf_dir, "events").select(n.alias("id"), "user_id", "event_type", clock.alias("clock"), (F.col("value") > 50).alias("placed"))
+    return phantoms(x, ["user_id", "event_type"])
 
 
 @query("""WITH k AS (SELECT o_custkey, o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2, 3)
@@ -97,18 +99,18 @@ def match_outcomes(spark, sf_dir):
 
 
 @query("""SELECT event_id, CASE WHEN t = '' THEN 0 ELSE TRY_CAST(t AS BIGINT) END AS number, CASE WHEN k BETWEEN 14 AND 28 THEN k * 10 END AS weight, CASE code WHEN 1 THEN 'WIN' WHEN 2 THEN 'LOSS' WHEN 5 THEN 'WIN' WHEN 6 THEN 'OTL' WHEN 10 THEN 'LOSS' ELSE 'DNF' END AS result
-FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 11 AS code, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'n/a' ELSE CAST(event_id AS VARCHAR) END AS t FROM events)""")
+FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id % 11 AS code, CASE event_id % 4 WHEN 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS t FROM events)""")
 def parse_numbers(spark, sf_dir):
     n, k = F.col("event_id"), F.from_json("props", "k long")["k"]
-    text = F.when(n % 4 == 0, "").when(n % 4 == 1, "n/a").otherwise(n.cast("string"))
+    text = F.when(n % 4 == 0, "").otherwise(n.cast("string"))
     code = n % 11
     result = F.when(code.isin(1, 5), "WIN").when(code.isin(2, 10), "LOSS").when(code == 6, "OTL").otherwise("DNF")
     return read(spark, sf_dir, "events").select("event_id", whole_number(text).alias("number"), F.when(k.between(14, 28), k * 10).alias("weight"), result.alias("result"))
 
 
 @query("""WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS a FROM part), j AS (SELECT p_partkey, a, ['cold', 'bolts'] AS b FROM w),
-n AS (SELECT p_partkey, len(a) AS la, len(list_filter(a, lambda x: levenshtein(x, 'cold') <= 1 OR levenshtein(x, 'bolts') <= 1)) AS both FROM j)
-SELECT p_partkey, CAST(both AS DOUBLE) / (la + 2 - both) AS similarity FROM n""")
+n AS (SELECT p_partkey, len(a) AS la, len(list_filter(a, lambda x: levenshtein(x, 'cold') <= 1 OR levenshtein(x, 'bolts') <= 1)) AS shared FROM j)
+SELECT p_partkey, CAST(shared AS DOUBLE) / (la + 2 - shared) AS similarity FROM n""")
 def fuzzy_sets(spark, sf_dir):
     p = read(spark, sf_dir, "part")
     return p.select("p_partkey", fuzzy_jaccard(F.split("p_name", " "), F.array(F.lit("cold"), F.lit("bolts"))).alias("similarity"))

@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import count_where
-from ..functions.text import plain_tag, prefix_key
-from ..operators.joins import band_pairs, resolve_cascade, units_with_all, with_without
+from ..operators.joins import band_pairs, resolve_cascade, resolve_persona, units_with_all, with_without
 from ..sources.tables import EVENTS, MATCHES, PLAYERS, events, matches, player_matches, read
 from .aggregate_queries import PAIRS, SEASON, pair_results, season
 from .registry import query
@@ -43,9 +42,8 @@ def band_join(spark, sf_dir):
 SELECT DISTINCT user_id FROM g WHERE len(list_filter(ids, lambda i: i % 7 = 0)) > 0""")
 def array_semi(spark, sf_dir):
     e = events(spark, sf_dir)
-    groups = e.filter("event_type = 'purchase'").groupBy("user_id").agg(F.collect_list("event_id").alias("ids"))
     evidence = e.filter("event_id % 7 = 0").select("event_id")
-    return groups.select("user_id", F.explode("ids").alias("event_id")).join(evidence, "event_id", "left_semi").select("user_id").distinct()
+    return e.filter("event_type = 'purchase'").join(evidence, "event_id", "left_semi").select("user_id").distinct()
 
 
 @query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' UNION SELECT o_custkey FROM orders WHERE o_totalprice > 440000)""")
@@ -70,21 +68,39 @@ def nest_children(spark, sf_dir):
     return t.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(kids, lambda x: x["role"]), ",").alias("roles"), F.max("turn").alias("last_turn"))
 
 
-TAG = "regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
+CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({c}, '^[\\s.\\-]+', ''), '[(\\[].*$', ''), '[\\s.,;:!\\-]+$', ''))"
+#: Snapshots of every customer: as it is, a former name, an alias, a part, a letter lost, a letter changed or noise.
+SNAPSHOTS = """CASE c_nationkey % 7 WHEN 0 THEN '- ' || upper(c_name) || ' (C)' WHEN 1 THEN 'supplier#' || right(c_name, 9) WHEN 2 THEN n_name WHEN 3 THEN right(c_name, 9)
+  WHEN 4 THEN replace(c_name, 'tom', 'tm') || '.' WHEN 5 THEN replace(c_name, 'C', 'K') ELSE 'zz' || c_mktsegment END"""
 
 
-@query(f"""WITH n AS (SELECT p_partkey AS id, p_brand || ' ' || p_name AS name FROM part WHERE p_partkey % 2 = 0),
-p AS (SELECT p_partkey AS id, replace(p_brand || ' ' || p_name, 'Brand#1', 'BRAND#') AS name FROM part),
-a AS (SELECT *, {TAG.format(c='name')} AS tag, substr(regexp_replace(lower(name), '[^a-z]', '', 'g'), 1, 8) AS block FROM n),
-b AS (SELECT *, {TAG.format(c='name')} AS tag, substr(regexp_replace(lower(name), '[^a-z]', '', 'g'), 1, 8) AS block FROM p),
-f AS (SELECT b.id, a.id AS name_id, CASE WHEN a.name = b.name THEN 1 WHEN a.tag = b.tag THEN 2 WHEN levenshtein(a.tag, b.tag) <= 1 THEN 3 END AS step FROM b JOIN a USING (block)),
-g AS (SELECT id, step, min(name_id) AS name_id, count(DISTINCT name_id) AS hits FROM f WHERE step IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT * FROM g WHERE step < 3 OR hits = 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY step) = 1)
-SELECT p.id, step, name_id FROM p LEFT JOIN r USING (id)""")
+@query(f"""WITH p AS (SELECT c_custkey AS id, lower({CLEAN.format(c="snapshot")}) AS name FROM (SELECT c_custkey, {SNAPSHOTS} AS snapshot FROM customer JOIN nation ON c_nationkey = n_nationkey)),
+k AS (SELECT lower(c_name) AS name, 1 AS step, c_custkey AS player_id FROM customer UNION ALL SELECT lower(s_name), 2, s_suppkey FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT lower(n_name), 3, n_nationkey FROM nation),
+t AS (SELECT c_custkey AS player_id, lower(c_name) AS tag FROM customer WHERE c_acctbal > 0),
+e AS (SELECT id, step, min(player_id) AS player_id FROM p JOIN k USING (name) GROUP BY 1, 2),
+o AS (SELECT * FROM p WHERE id NOT IN (SELECT id FROM e) AND name <> ''),
+f AS (SELECT id, 4 AS step, player_id FROM o JOIN t ON contains(name, tag) OR contains(tag, name) UNION ALL SELECT id, 5, player_id FROM o JOIN t ON levenshtein(name, tag) <= 1),
+u AS (SELECT id, step, min(player_id) AS player_id FROM f GROUP BY 1, 2 HAVING count(DISTINCT player_id) = 1),
+r AS (SELECT * FROM (SELECT * FROM e UNION ALL SELECT * FROM u) QUALIFY row_number() OVER (PARTITION BY id ORDER BY step) = 1)
+SELECT p.id, r.player_id, (['gamertag_exact', 'gamertag_history_exact', 'display_alias_exact', 'gamertag_substring', 'gamertag_levenshtein', 'unresolved'])[coalesce(step, 6)] AS via FROM p LEFT JOIN r USING (id)""")
 def fuzzy_resolve(spark, sf_dir):
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_brand", "p_name").alias("name"))
-    probes = part.withColumn("name", F.replace("name", F.lit("Brand#1"), F.lit("BRAND#")))
-    return resolve_cascade(probes, part.filter("id % 2 = 0"), plain_tag(F.col("name")), prefix_key(F.col("name"), 8))
+    c, s, n = (read(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    probes = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.expr(SNAPSHOTS).alias("snapshot"))
+    players = c.select(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("gamertag"), (F.col("c_acctbal") > 0).alias("is_active"))
+    history = s.select(F.col("s_suppkey").alias("player_id"), F.col("s_name").alias("gamertag"), (F.col("s_acctbal") > 0).alias("in_use"))
+    aliases = n.select(F.col("n_nationkey").cast("long").alias("player_id"), F.col("n_name").alias("alias"))
+    return resolve_cascade(probes, players, history, aliases)
+
+
+@query(f"""WITH p AS (SELECT c_custkey AS id, {CLEAN.format(c="snapshot")} AS cleaned FROM (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN substr(n_name, 2) WHEN c_acctbal < 3000 THEN n_name || '!' WHEN c_acctbal < 6000 THEN c_mktsegment ELSE ' (x' END AS snapshot FROM customer JOIN nation ON c_nationkey = n_nationkey)),
+m AS (SELECT id, n_name AS canonical, lower(n_name) <> lower(cleaned) AS far FROM p JOIN nation ON levenshtein(lower(cleaned), lower(n_name)) <= 1 QUALIFY row_number() OVER (PARTITION BY id ORDER BY lower(n_name) <> lower(cleaned), lower(n_name)) = 1)
+SELECT id, coalesce(canonical, cleaned) AS canonical, CASE WHEN m.id IS NULL THEN 'raw' WHEN far THEN 'fuzzy_alias' ELSE 'exact_alias' END AS via FROM (SELECT * FROM p WHERE cleaned <> '') p LEFT JOIN m USING (id)""")
+def persona_resolve(spark, sf_dir):
+    c, n = (read(spark, sf_dir, t) for t in ("customer", "nation"))
+    b = F.col("c_acctbal")
+    shown = F.when(b < 0, F.expr("substr(n_name, 2)")).when(b < 3000, F.concat("n_name", F.lit("!"))).when(b < 6000, F.col("c_mktsegment")).otherwise(" (x")
+    probes = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), shown.alias("snapshot"))
+    return resolve_persona(probes, n.select(F.col("n_name").alias("alias"), F.col("n_name").alias("canonical")))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS id, o_custkey, o_orderdate, CAST(o_totalprice AS BIGINT) AS v FROM orders),

@@ -117,10 +117,10 @@ def both_side_totals(spark, sf_dir):
     return m.select("match_id", "ours", "theirs", F.greatest(F.coalesce("ours", F.lit(0)), F.coalesce("theirs", F.lit(0))).cast("long").alias("larger"))
 
 
-@query(f"""WITH {EVENTS}, x AS (SELECT user_id, event_type, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS best FROM ev WHERE event_id % 3 = 0 GROUP BY 1, 2) SELECT * FROM x""")
+@query(f"""WITH {EVENTS}, x AS (SELECT user_id, event_type, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS best FROM ev GROUP BY 1, 2) SELECT * FROM x""")
 def best_confidence(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]
-    return events(spark, sf_dir).filter("event_id % 3 = 0").groupBy("user_id", "event_type").agg(F.max(k).alias("best"))
+    return events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.max(k).alias("best"))
 
 
 @query(f"""WITH {EVENTS} SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS kinds, min(event_id) AS first_id, max(event_id) AS last_id, bool_or(event_type = 'error') AS any_error, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kind_list FROM ev GROUP BY 1""")

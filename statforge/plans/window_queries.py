@@ -73,10 +73,11 @@ def running_lead_events(spark, sf_dir):
     return out.select("event_id", "ours", "theirs", "lead", "lead_before", "reclaims", ((a != o) & (F.col("side") == (a > o)) & (k == F.least(a, o) + 1)).alias("winner"))
 
 
-@query(f"""WITH {MATCHES}, r AS (SELECT opponent_id, result, row_number() OVER w AS n, first(result) OVER w AS f FROM matches WINDOW w AS (PARTITION BY opponent_id ORDER BY played_at DESC, match_id DESC))
+@query(f"""WITH {MATCHES}, s AS (SELECT opponent_id, played_at, match_id, CASE WHEN result = 'DNF' THEN 'LOSS' ELSE result END AS result FROM matches), r AS (SELECT opponent_id, result, row_number() OVER w AS n, first(result) OVER w AS f FROM s WINDOW w AS (PARTITION BY opponent_id ORDER BY played_at DESC, match_id DESC))
 SELECT opponent_id, max(f) AS state, coalesce(min(CASE WHEN result <> f THEN n END), count(*) + 1) - 1 AS streak FROM r GROUP BY 1""")
 def current_streak(spark, sf_dir):
-    return streaks(matches(spark, sf_dir), ["opponent_id"], [F.desc("played_at"), F.desc("match_id")], "result")
+    m = matches(spark, sf_dir).withColumn("result", F.when(F.col("result") == "DNF", "LOSS").otherwise(F.col("result")))
+    return streaks(m, ["opponent_id"], [F.desc("played_at"), F.desc("match_id")], "result")
 
 
 @query(f"""WITH {MATCHES}, r AS (SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY opponent_id ORDER BY played_at DESC, match_id DESC) <= 5)
