@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def segments_of(states: list[str], times: list[float], opening: int = 3, outliers: int = 1, shortest: float = 3.0) -> list[tuple[str, int, int]]:
@@ -55,15 +56,15 @@ def reels_of(states: list[str], openers: set[str], closers: set[str]) -> list[in
 
 def reel_groups(df: DataFrame, key: str, order: str, state: str, openers: set[str], closers: set[str]) -> DataFrame:
     """key, reel, first and last segment, and which markers the reel has; no segment is
-    dropped, a reel without opener or closer is only flagged."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        rows = rows.assign(reel=reels_of(rows[state].tolist(), openers, closers))
-        g = rows.groupby("reel")
-        return pd.DataFrame({key: rows[key].iloc[0], "reel": g[order].first().index, "first_segment": g[order].first().to_numpy(), "last_segment": g[order].last().to_numpy(), "segments": g.size().to_numpy(), "has_opener": g[state].agg(lambda s: s.isin(openers).any()).to_numpy(), "has_closer": g[state].agg(lambda s: s.isin(closers).any()).to_numpy()})
-
-    return df.select(key, order, state).groupBy(key).applyInPandas(run, f"{key} long, reel long, first_segment long, last_segment long, segments long, has_opener boolean, has_closer boolean")
+    dropped, a reel without opener or closer is only flagged. As closers only end a reel and
+    openers only begin one, a reel starts where an opener follows another kind of segment or
+    another kind follows a closer: the rule of ``reels_of`` by the segment before alone."""
+    w = Window.partitionBy(key).orderBy(order)
+    opens, closes = F.col(state).isin(list(openers)), F.col(state).isin(list(closers))
+    rows = df.select(key, order, F.coalesce(opens, F.lit(False)).alias("opens"), F.coalesce(closes, F.lit(False)).alias("closes"))
+    starts = (F.col("opens") & ~F.lag("opens").over(w)) | (~F.col("closes") & F.lag("closes").over(w))
+    rows = rows.withColumn("starts", F.coalesce(starts, F.lit(False)).cast("long")).withColumn("reel", F.sum("starts").over(w))
+    return rows.groupBy(key, "reel").agg(F.min(order).alias("first_segment"), F.max(order).alias("last_segment"), F.count("*").alias("segments"), F.bool_or("opens").alias("has_opener"), F.bool_or("closes").alias("has_closer"))
 
 
 def viterbi(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> list[int]:

@@ -123,7 +123,9 @@ def viterbi_states(spark, sf_dir):
     return decoded(frames(spark, sf_dir), "user_id", "event_id", "state", ["menu", "play"], stay=0.9, hit=0.8)
 
 
-@query()
+@query(f"""WITH {EVENTS}, s AS (SELECT user_id, event_id, event_type = 'signup' AS o, event_type = 'error' AS c, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM ev),
+r AS (SELECT *, sum(CASE WHEN (o AND b <> 'signup') OR (NOT c AND b = 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS reel FROM s)
+SELECT user_id, CAST(reel AS BIGINT) AS reel, min(event_id) AS first_segment, max(event_id) AS last_segment, count(*) AS segments, bool_or(o) AS has_opener, bool_or(c) AS has_closer FROM r GROUP BY 1, 2""")
 def session_reels(spark, sf_dir):
     """Reels of each user's events: sign-ups open one, errors close one."""
     return reel_groups(events(spark, sf_dir), "user_id", "event_id", "event_type", {"signup"}, {"error"})

@@ -102,3 +102,43 @@ def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+
+def filled_keys(tables: dict[str, DataFrame], unit: str, value, key: str, fill) -> dict[str, DataFrame]:
+    """Each table with ``key`` set to ``fill`` in the rows of one unit where it is null."""
+    here = (F.col(unit) == value) & F.col(key).isNull()
+    return {name: t.withColumn(key, F.when(here, F.lit(fill)).otherwise(F.col(key))) for name, t in tables.items()}
+
+
+def write_sidecars(rows: DataFrame, folder: str, by: list[str]) -> None:
+    """JSON lines of evidence beside the tables, a folder for each value of ``by``; only the
+    folders that ``rows`` has are replaced."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).json(folder)
+
+
+def reported(stored: DataFrame, incoming: DataFrame, keys: list[str], force: bool = False) -> DataFrame:
+    """Report rows with the incoming ones added. A key that is stored already fails the
+    query unless ``force`` is given; then the incoming row takes its place."""
+    known = stored.select(*keys, F.lit(True).alias("_known")).distinct()
+    rows = incoming.join(known, keys, "left")
+    if force:
+        return stored.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(rows.drop("_known"))
+    clash = F.raise_error(F.concat(F.lit("a report is stored already for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))).cast("boolean")
+    fresh = rows.filter(F.when(F.col("_known"), clash).otherwise(F.lit(True))).drop("_known")
+    return stored.unionByName(fresh)
+
+
+def reviewed_records(spark: SparkSession, path: str, required: list[str], numbers: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) records of reviewed JSON: files that hold an array, or an object
+    with an array ``records``. Records are maps of text; those without a required field, or
+    with a number that is none, are refused with the reason; numbers are cast."""
+    text = spark.read.text(path, wholetext=True)
+    kind = "array<map<string,string>>"
+    whole = F.coalesce(F.from_json("value", kind), F.from_json("value", f"records {kind}")["records"])
+    rows = text.select(F.explode(whole).alias("r"))
+    missing = F.filter(F.array(*[F.lit(c) for c in required]), lambda c: F.coalesce(F.trim(F.element_at(F.col("r"), c)), F.lit("")) == "")
+    bad = F.array_compact(F.array(*[F.when(F.col("r")[c].isNotNull() & (F.col("r")[c] != "") & F.col("r")[c].try_cast(t).isNull(), F.lit(c)) for c, t in numbers.items()]))
+    reason = F.when(F.size(missing) > 0, F.concat(F.lit("missing: "), F.array_join(missing, ", "))).when(F.size(bad) > 0, F.concat(F.lit("no number: "), F.array_join(bad, ", ")))
+    rows = rows.withColumn("reason", reason)
+    plain = [c for c in required if c not in numbers]
+    good = rows.filter("reason IS NULL").select(*[F.col("r")[c].alias(c) for c in plain], *[F.col("r")[c].try_cast(t).alias(c) for c, t in numbers.items()])
+    return good, rows.filter("reason IS NOT NULL").select("r", "reason")

@@ -61,3 +61,13 @@ def windowed_counts(spark: SparkSession, folder: str, schema: T.StructType, late
     """Not part of the original feature set: event counts by time window under a watermark."""
     e = spark.readStream.schema(schema).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
     return e.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+
+
+def health(log: DataFrame, stale: int = 1800) -> DataFrame:
+    """One row: status, last_success, seconds since it. ``log`` holds status and finished_at
+    of ingestion runs; without a success the status is degraded, after ``stale`` seconds it
+    is stale, else ok."""
+    done = log.filter("status = 'success' AND finished_at IS NOT NULL").agg(F.max("finished_at").alias("last_success"))
+    age = F.floor(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp("last_success"))
+    status = F.when(F.col("last_success").isNull(), "degraded").when(age > stale, "stale").otherwise("ok")
+    return done.select(status.alias("status"), "last_success", age.alias("seconds"))
