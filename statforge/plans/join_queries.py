@@ -68,7 +68,7 @@ def nest_children(spark, sf_dir):
     return t.groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(kids, lambda x: x["role"]), ",").alias("roles"), F.max("turn").alias("last_turn"))
 
 
-CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({c}, '^[\\s.\\-]+', ''), '[(\\[].*$', ''), '[\\s.,;:!\\-]+$', ''))"
+CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace({c}, '^[\s.\-]+', ''), '[(\[].*$', ''), '[\s.,;:!\-]+$', ''))"
 #: Snapshots of every customer: as it is, a former name, an alias, a part, a letter lost, a letter changed or noise.
 SNAPSHOTS = """CASE c_nationkey % 7 WHEN 0 THEN '- ' || upper(c_name) || ' (C)' WHEN 1 THEN 'supplier#' || right(c_name, 9) WHEN 2 THEN n_name WHEN 3 THEN right(c_name, 9)
   WHEN 4 THEN replace(c_name, 'tom', 'tm') || '.' WHEN 5 THEN replace(c_name, 'C', 'K') ELSE 'zz' || c_mktsegment END"""
