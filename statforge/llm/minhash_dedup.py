@@ -16,7 +16,9 @@ With 32 bands of 5 rows, a pair at similarity 0.8 shares no key with chance 3e-6
 
 Nulls: a null text, or one without words, has an empty set and is alone; a null doc_id is
 alone in a component null and kept. Rows with the same doc_id are one node with the links
-of all its texts. An empty table gives no rows; other columns are ignored.
+of all its texts. A very long text is sketched whole, in memory of its own size. Ties for
+the closest star go to the smallest doc_id. An empty table gives no rows; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -24,8 +24,9 @@ filter; what removes bytes compares at least 64 bits of hash.
 
 Nulls: a null text is empty; a document with null doc_id counts as later than all others.
 Rows with equal doc_id are one document, and do not remove from each other. Texts under 50
-bytes are never touched. Ties do not arise, as only the smallest doc_id matters. An empty
-table gives no rows; other columns are carried along and may have any names.
+bytes are never touched. A very long text lies in one home, whose task holds it whole. Ties
+do not arise, as only the smallest doc_id matters. An empty table gives no rows; other
+columns are carried along and may have any names.
 """
 
 from __future__ import annotations
