@@ -1,7 +1,13 @@
 """Each stage of the pipeline against a brute-force version on its own input."""
 
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+
 import corpus_pipeline as P
 from statforge.llm.common import staged
+from statforge.llm.mixing import mix_sql
 from statforge.llm.quality_rules import MEASURE_SQL, RULES
 from statforge.llm.token_ids import tokenizer_path
 
@@ -44,14 +50,29 @@ def test_stages(spark):
                 gone[i : i + SPAN] = b"\1" * SPAN
         assert r.text == bytes(c for c, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore") and r.n_chars == len(r.text)
     assert len(rows_of(seen[3])) == len(before)
-    # mixing keeps every document and repeats whole rows
-    assert set(rows_of(seen[4])) == set(before) and seen[4].distinct().count() == len(before)
-    # packing places every id of every copy
+    # mixing repeats whole rows as often as the SQL of the plan says
+    assert set(rows_of(seen[4])) == set(before)
+    want = duck(documents=seen[3]).execute(f"WITH RECURSIVE {mix_sql('documents', P.REPETITION)} SELECT doc_id, text FROM mixed").fetchall()
+    assert Counter((r.doc_id, r.text) for r in seen[4].collect()) == Counter(want)
+    # packing places every id of every copy once, in sequences without gaps
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    want = sum(len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in seen[4].collect())
-    assert seen[5].agg({"length": "sum"}).first()[0] == want
+    ids = {r.doc_id: [*tokenizer.encode(r.text, add_special_tokens=False).ids, 1] for r in seen[4].collect()}
+    copies = Counter(r.doc_id for r in seen[4].collect())
+    placed, sequences = Counter(), defaultdict(list)
+    for p in seen[5].collect():
+        part = ids[p.doc_id][p.start : p.start + p.length]
+        assert p.length > 0 and p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == zlib.crc32(np.array(part, "<u4").tobytes())
+        placed.update((p.doc_id, i) for i in range(p.start, p.start + p.length))
+        sequences[p.sequence_id].append((p.offset, p.length))
+    assert placed == {(d, i): copies[d] for d, x in ids.items() for i in range(len(x))}
+    for spans in sequences.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
 
 
 def test_run(spark):
