@@ -106,13 +106,13 @@ def lineup_authority(spark, sf_dir):
 
 
 READINGS = """r AS (SELECT event_id AS id, user_id, event_type, CAST(event_id % 2 AS VARCHAR) || ':00' AS clock, CASE WHEN value > 60 THEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 END AS actor_id,
-  CASE CAST(json_extract(props, '$.k') AS BIGINT) % 6 WHEN 0 THEN 'Silky [' WHEN 1 THEN 'SILKY' WHEN 2 THEN 'Silkyz' WHEN 3 THEN 'M. Rant' WHEN 4 THEN 'M.RANT' ELSE 'xo' END AS actor, value >= 70 AS placed, value FROM events)"""
+  CASE CAST(json_extract(props, '$.k') AS BIGINT) % 6 WHEN 0 THEN 'Comet [' WHEN 1 THEN 'COMET' WHEN 2 THEN 'Cometz' WHEN 3 THEN 'B. Lund' WHEN 4 THEN 'B.LUND' ELSE 'xo' END AS actor, value >= 70 AS placed, value FROM events)"""
 SNAP = "regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
 
 
 def readings(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]
-    names = F.array(*[F.lit(x) for x in ("Silky [", "SILKY", "Silkyz", "M. Rant", "M.RANT", "xo")])
+    names = F.array(*[F.lit(x) for x in ("Comet [", "COMET", "Cometz", "B. Lund", "B.LUND", "xo")])
     e = read(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("id"), "user_id", "event_type", F.concat((F.col("event_id") % 2).cast("string"), F.lit(":00")).alias("clock"), F.when(F.col("value") > 60, k % 3).alias("actor_id"), F.get(names, (k % 6).cast("int")).alias("actor"), (F.col("value") >= 70).alias("placed"), "value")
 
@@ -147,17 +147,17 @@ def pixel_radius(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.floor((F.col("value") - 50) * 2 / 4 + 0.5).alias("rounded"), density_radius(F.col("event_id")).alias("radius"))
 
 
-TEAMS = """t AS (SELECT c_custkey, CASE WHEN c_acctbal > 6000 THEN c_custkey % 2 = 0 END AS was_home, CASE c_nationkey % 3 WHEN 0 THEN 'BM (A)' WHEN 1 THEN '4TH(A)' ELSE n_name END AS away, CASE WHEN c_acctbal < 1000 THEN 'The Boogeymen' WHEN c_acctbal < 3000 THEN '4th h' ELSE 'x' END AS home FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+TEAMS = """t AS (SELECT c_custkey, CASE WHEN c_acctbal > 6000 THEN c_custkey % 2 = 0 END AS was_home, CASE c_nationkey % 3 WHEN 0 THEN 'HC (A)' WHEN 1 THEN '7TH(A)' ELSE n_name END AS away, CASE WHEN c_acctbal < 1000 THEN 'The Harbour' WHEN c_acctbal < 3000 THEN '7th h' ELSE 'x' END AS home FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
-@query(f"""WITH {TEAMS}, f AS (SELECT *, away = 'BM (A)' AS ma, home = 'The Boogeymen' AS mh, away = '4TH(A)' AS la, home = '4th h' AS lh FROM t)
+@query(f"""WITH {TEAMS}, f AS (SELECT *, away = 'HC (A)' AS ma, home = 'The Harbour' AS mh, away = '7TH(A)' AS la, home = '7th h' AS lh FROM t)
 SELECT c_custkey, CASE WHEN was_home THEN 'against' WHEN NOT was_home THEN 'for' WHEN ma AND NOT mh THEN 'for' WHEN mh AND NOT ma THEN 'against' WHEN la AND NOT lh THEN 'against' WHEN lh AND NOT la THEN 'for' END AS away_side FROM f""")
 def team_sides(spark, sf_dir):
     c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     b, k = F.col("c_acctbal"), F.col("c_nationkey") % 3
-    away = F.when(k == 0, "BM (A)").when(k == 1, "4TH(A)").otherwise(F.col("n_name"))
-    home = F.when(b < 1000, "The Boogeymen").when(b < 3000, "4th h").otherwise("x")
-    return c.select("c_custkey", away_side(F.when(b > 6000, F.col("c_custkey") % 2 == 0), away, home, F.lit("4th Line"), ["bm", "the boogeymen"]).alias("away_side"))
+    away = F.when(k == 0, "HC (A)").when(k == 1, "7TH(A)").otherwise(F.col("n_name"))
+    home = F.when(b < 1000, "The Harbour").when(b < 3000, "7th h").otherwise("x")
+    return c.select("c_custkey", away_side(F.when(b > 6000, F.col("c_custkey") % 2 == 0), away, home, F.lit("7th Wave"), ["hc", "the harbour"]).alias("away_side"))
 
 
 @query("""WITH g AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'HOLD' ELSE 'PASS' END AS decision FROM orders),
