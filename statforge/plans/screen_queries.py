@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import seconds_of
 from ..functions.nulls import ratio
+from ..operators.classify import classified, fitted
 from ..operators.screens import aligned_subjects, away_side, density_radius, drain_decision, existing_events, filled_rows, without_junk
 from ..sources.tables import MATCHES, PLAYERS, matches, player_matches, read
 from .registry import query
@@ -203,3 +204,10 @@ def profile_overview(spark, sf_dir):
     last = p.join(matches(spark, sf_dir).select("match_id", "played_at"), "match_id").withColumn("k", F.row_number().over(newest)).filter("k <= 5")
     form = last.groupBy("player_id").agg(F.sum("goals").alias("last_five"), F.max_by("match_id", F.struct("goals", -F.col("k"))).alias("best_recent"))
     return t.join(place_of, "goals").join(form, "player_id", "left").select("player_id", "gp", "goals", "place", "last_five", "best_recent")
+
+
+@query()
+def screen_scores(spark, sf_dir):
+    """Order status from price, month and customer: a model of all orders, scored on them."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_totalprice") / 1000).alias("price"), F.month("o_orderdate").cast("double").alias("month"), F.col("o_custkey").cast("double").alias("who"))
+    return classified(fitted(o, "o_orderstatus", ["price", "month", "who"]), o, "o_orderkey", "o_orderstatus")

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 
+from statforge.operators.classify import classified, fitted
 from statforge.operators.screens import aligned_subjects
 from statforge.operators.sequences import collision_groups, decoded, greedy_assignment, hysteresis_segments, reel_groups, reels_of, segments_of
 
@@ -108,3 +109,15 @@ def test_alignment(spark):
     slots = spark.createDataFrame([(1, 11, "cometjoe"), (1, 12, "cometj"), (1, 13, "zzzzzzzz"), (2, 14, "L4nd!")], "g long, id long, gamertag string")
     got = {(r.g, r.id): r.slot for r in aligned_subjects(truth, slots, "g").collect()}
     assert got == {(1, 1): 11, (1, 2): 12, (1, 3): None, (1, 4): None, (2, 5): 14}
+
+
+def test_classifier(spark):
+    """Held-out frames of three separable screens; frames without a label are scored too."""
+    r = random.Random(6)
+    at = {"lobby": (0, 0), "menu": (5, 0), "score": (0, 5)}
+    rows = [(i, None if i % 50 == 0 else s, at[s][0] + r.gauss(0, 1), at[s][1] + r.gauss(0, 1)) for i, s in enumerate(r.choice(list(at)) for _ in range(900))]
+    df = spark.createDataFrame(rows, "i long, s string, x double, y double")
+    got = {g.i: g for g in classified(fitted(df.filter("i < 600"), "s", ["x", "y"]), df.filter("i >= 600"), "i", "s").collect()}
+    held = [(got[i], s) for i, s, _, _ in rows if i >= 600]
+    assert len(got) == 300 and all(0 <= g.probability <= 1 for g, _ in held)
+    assert sum(g.screen == s for g, s in held if s) > 0.97 * sum(s is not None for _, s in held)
