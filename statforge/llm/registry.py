@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe_codec import op12_bpe_codec
+from .conversation_repair import OP11_SQL, op11_conversation_repair
 from .minhash_dedup import OP3_SQL, op3_minhash_dedup
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op9_packing
+from .periodic_runs import op13_periodic_runs
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .suffix_dedup import op1_suffix_dedup
 from .token_counts import op7_token_counts
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_topk_search": op10_topk_search,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_bpe_codec": op12_bpe_codec,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL: dict[str, str] = {
     "op3_minhash_dedup": OP3_SQL,
@@ -31,4 +37,5 @@ SQL: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op10_topk_search": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
