@@ -406,8 +406,8 @@ def find_runs(docs: DataFrame) -> DataFrame:
         for batch in text_batches(batches):
             found, words, first, kept = runs_of(batch.column(1))
             left = np.concatenate([[0], np.cumsum(kept)])[first]
-            lists = pa.LargeListArray.from_arrays(pa.array(left), words.filter(pa.array(kept)))
-            collapsed = pa.compute.binary_join(lists, " ").cast(pa.string())
+            lists = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), words.filter(pa.array(kept)))
+            collapsed = pa.compute.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
             runs = pa.array([[{"start": s, "length": n, "period": p} for s, n, p in x] for x in found], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), runs, collapsed], ["doc_id", "runs", "collapsed"])
 
