@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import one_letter_keys, plain_tag
 from .aggregates import upper_median
-from .sequences import greedy_assignment
+from .matching import greedy_assignment
 
 
 def tokens(c: Column) -> Column:
@@ -34,15 +34,14 @@ BLOCKING = ["A", "B", "D", "G"]
 
 
 def drain_decision(gates: DataFrame, flags: DataFrame, key: str) -> DataFrame:
-    """drain and reason of each gate row (key, decision, reason): only a PASS without failed
-    flags of a blocking class is drained."""
-    bad = flags.filter((F.col("severity") == "fail") & F.col("class_id").isin(BLOCKING)).groupBy(key).agg(F.array_sort(F.collect_list(F.concat(F.lit("class "), "class_id"))).alias("_bad"))
+    """drain, outcome, n_blocking and blocking (the classes, sorted) of each gate row (key,
+    decision): only a PASS without failed flags of a blocking class is drained; ``outcome`` is
+    drained, blocked (by flags) or not_passed."""
+    bad = flags.filter((F.col("severity") == "fail") & F.col("class_id").isin(BLOCKING)).groupBy(key).agg(F.count("*").alias("_n"), F.array_join(F.array_sort(F.collect_set("class_id")), "").alias("_bad"))
     rows = gates.join(bad, key, "left")
-    n = F.coalesce(F.size("_bad"), F.lit(0))
-    passed = F.col("decision") == "PASS"
-    reason = F.when(~passed, F.concat_ws(" ", F.lit("gate"), "decision", F.lit("—"), "reason"))
-    reason = reason.when(n > 0, F.concat(F.lit("gate PASS but "), n.cast("string"), F.lit(" blocking flag(s): "), F.array_join("_bad", ", "))).otherwise("gate PASS, no fail-severity flags in A/B/D/G")
-    return rows.select(key, (passed & (n == 0)).alias("drain"), reason.alias("reason"))
+    n, passed = F.coalesce("_n", F.lit(0)), F.col("decision") == "PASS"
+    outcome = F.when(~F.coalesce(passed, F.lit(False)), "not_passed").when(n > 0, "blocked").otherwise("drained")
+    return rows.select(key, (outcome == "drained").alias("drain"), outcome.alias("outcome"), n.cast("long").alias("n_blocking"), F.coalesce("_bad", F.lit("")).alias("blocking"))
 
 
 def density_radius(n: Column) -> Column:

@@ -2,45 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def segments_of(states: list[str], times: list[float], opening: int = 3, outliers: int = 1, shortest: float = 3.0) -> list[tuple[str, int, int]]:
-    """Runs of one state as (state, first, last). ``opening`` equal frames in a row open a
-    run, up to ``outliers`` frames in a row of other states stay inside it, and runs that
-    last less than ``shortest`` are dropped. A frame is in one run at most."""
-    out, i, n = [], 0, len(states)
-    while i + opening <= n:
-        state = states[i]
-        if any(s != state for s in states[i : i + opening]):
-            i += 1
-            continue
-        last, j = i + opening - 1, i + opening
-        while j < n and j - last <= outliers + (states[j] == state):
-            if states[j] == state:
-                last = j
-            j += 1
-        if times[last] - times[i] >= shortest:
-            out.append((state, i, last))
-        i = last + 1
-    return out
-
-
-def hysteresis_segments(df: DataFrame, key: str, order: str, state: str, seconds: str, **rules) -> DataFrame:
-    """key, segment, state, first_s, last_s and frames of each sequence's runs."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        s, t = rows[state].tolist(), rows[seconds].tolist()
-        found = segments_of(s, t, **rules)
-        return pd.DataFrame([(rows[key].iloc[0], k, x, t[a], t[b], b - a + 1) for k, (x, a, b) in enumerate(found)], columns=[key, "segment", "state", "first_s", "last_s", "frames"])
-
-    return df.select(key, order, state, seconds).groupBy(key).applyInPandas(run, f"{key} long, segment long, state string, first_s double, last_s double, frames long")
-
-
 def reels_of(states: list[str], openers: set[str], closers: set[str]) -> list[int]:
     """Reel number of each segment. An opener starts a reel unless the reel so far holds
     only openers; the first other segment after a closer starts one too."""
@@ -67,59 +33,6 @@ def reel_groups(df: DataFrame, key: str, order: str, state: str, openers: set[st
     return rows.groupBy(key, "reel").agg(F.min(order).alias("first_segment"), F.max(order).alias("last_segment"), F.count("*").alias("segments"), F.bool_or("opens").alias("has_opener"), F.bool_or("closes").alias("has_closer"))
 
 
-def viterbi(emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> list[int]:
-    """Most likely state path in log space; the lower state on ties."""
-    score, back = start + emit[0], []
-    for row in emit[1:]:
-        step = score[:, None] + move
-        back.append(step.argmax(axis=0))
-        score = step.max(axis=0) + row
-    path = [int(score.argmax())]
-    for b in reversed(back):
-        path.append(int(b[path[-1]]))
-    return path[::-1]
-
-
-def decoded(df: DataFrame, key: str, order: str, state: str, states: list[str], stay: float, hit: float) -> DataFrame:
-    """Smoothed states: observed ones emit with chance ``hit``, states stay with ``stay``."""
-    n = len(states)
-    number = {s: i for i, s in enumerate(states)}
-    move = np.full((n, n), np.log((1 - stay) / (n - 1)))
-    np.fill_diagonal(move, np.log(stay))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        emit = np.full((len(rows), n), np.log((1 - hit) / (n - 1)))
-        seen = rows[state].map(number)
-        emit[np.flatnonzero(seen.notna()), seen.dropna().astype(int)] = np.log(hit)
-        emit[seen.isna().to_numpy()] = 0.0
-        path = viterbi(emit, move, np.full(n, -np.log(n)))
-        return pd.DataFrame({key: rows[key], order: rows[order], "observed": rows[state], "decoded": [states[i] for i in path]})
-
-    return df.select(key, order, state).groupBy(key).applyInPandas(run, f"{key} long, {order} long, observed string, decoded string")
-
-
-def greedy_pairs(scores: list[tuple[float, int, int]]) -> list[tuple[int, int, float]]:
-    """One-to-one pairs taken by descending score, then by ids."""
-    left, right, out = set(), set(), []
-    for s, a, b in sorted(scores, key=lambda x: (-x[0], x[1], x[2])):
-        if a not in left and b not in right:
-            left.add(a)
-            right.add(b)
-            out.append((a, b, s))
-    return out
-
-
-def greedy_assignment(df: DataFrame, bucket: str) -> DataFrame:
-    """bucket, a, b, score of candidates (bucket, a, b, score); buckets are small."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found = greedy_pairs(list(zip(rows["score"], rows["a"], rows["b"], strict=True)))
-        return pd.DataFrame([(rows[bucket].iloc[0], *x) for x in found], columns=[bucket, "a", "b", "score"])
-
-    return df.groupBy(bucket).applyInPandas(run, f"{bucket} long, a long, b long, score double")
-
-
 def collision_groups(df: DataFrame, key: str, order: str, x: str, y: str, radius: float) -> DataFrame:
     """Each point joins the first anchor within ``radius``, else becomes one."""
 

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import elapsed, epoch_seconds, from_epoch, mm_ss, repaired, seconds_of
 from ..functions.text import plain_tag, prefix_key, similarity, snapshot_name
-from ..operators.sequences import collision_groups, decoded, greedy_assignment, hysteresis_segments, reel_groups
+from ..operators.classify import fitted
+from ..operators.clusters import median_clusters
+from ..operators.decoding import best_paths, class_log_probs, decoded, emissions, units
+from ..operators.matching import nearest_assignment
+from ..operators.segments import hysteresis_segments
+from ..operators.sequences import collision_groups, reel_groups
 from ..sources.tables import EVENTS, MATCHES, events, matches, read
 from .registry import query
 
@@ -108,21 +114,57 @@ def axis_fit(spark, sf_dir):
     return s.filter(den > 0).select("opponent_id", "n", (F.expr("n * sxy - sx * sy").cast("double") / den.cast("double")).alias("slope"))
 
 
-def frames(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("state", F.when(F.col("event_type").isin("click", "view"), "menu").otherwise("play"))
-    return e.withColumn("seconds", F.col("event_id").cast("double"))
+SCREENS = """fr AS (SELECT user_id, event_id, CASE WHEN event_type IN ('click', 'view') THEN 'menu' WHEN event_type IN ('purchase', 'signup') THEN 'play' ELSE 'unknown' END AS state, CAST(event_id AS DOUBLE) AS t,
+  row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events)"""
 
 
-@query()
+def frames(spark, sf_dir):
+    kind = F.col("event_type")
+    state = F.when(kind.isin("click", "view"), "menu").when(kind.isin("purchase", "signup"), "play").otherwise("unknown")
+    return events(spark, sf_dir).withColumns({"state": state, "seconds": F.col("event_id").cast("double")})
+
+
+@query(f"""WITH RECURSIVE {SCREENS},
+look AS (SELECT *, state <> 'unknown' AND lead(state) OVER w IS NOT DISTINCT FROM state AND (state = 'play' OR lead(state, 2) OVER w IS NOT DISTINCT FROM state) AS opens, lead(t) OVER w AS after FROM fr WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+walk AS (SELECT user_id, i, CASE WHEN opens THEN state END AS open_, CASE WHEN opens THEN i END AS first, CASE WHEN opens THEN i END AS last, 0 AS k FROM look WHERE i = 1
+  UNION ALL SELECT l.user_id, l.i, CASE WHEN w.open_ = l.state OR (w.open_ IS NOT NULL AND k < 1) THEN w.open_ WHEN opens THEN l.state END,
+    CASE WHEN w.open_ = l.state OR (w.open_ IS NOT NULL AND k < 1) THEN first WHEN opens THEN l.i END,
+    CASE WHEN w.open_ = l.state THEN l.i WHEN w.open_ IS NOT NULL AND k < 1 THEN last WHEN opens THEN l.i END, CASE WHEN w.open_ IS NOT NULL AND w.open_ <> l.state AND k < 1 THEN k + 1 ELSE 0 END
+  FROM walk w JOIN look l ON l.user_id = w.user_id AND l.i = w.i + 1),
+s AS (SELECT user_id, first, max(open_) AS state, max(last) AS last FROM walk WHERE open_ IS NOT NULL GROUP BY 1, 2)
+SELECT s.user_id, row_number() OVER (PARTITION BY s.user_id ORDER BY s.first) - 1 AS segment, s.state, a.t AS first_s, b.t AS last_s, coalesce(b.after, b.t + 1) AS end_s, s.last - s.first + 1 AS frames
+FROM s JOIN look a ON a.user_id = s.user_id AND a.i = s.first JOIN look b ON b.user_id = s.user_id AND b.i = s.last WHERE coalesce(b.after, b.t + 1) - a.t >= CASE s.state WHEN 'menu' THEN 3 ELSE 200 END""")
 def segment_hysteresis(spark, sf_dir):
-    return hysteresis_segments(frames(spark, sf_dir), "user_id", "event_id", "state", "seconds")
+    """Two equal frames open play, three the menu; play shorter than 200 s is dropped."""
+    return hysteresis_segments(frames(spark, sf_dir), "user_id", "event_id", "state", "seconds", ["menu", "play"], opening_by={"play": 2}, shortest_by={"play": 200.0})
 
 
-@query()
+_STAY, _MOVE, _HIT, _MISS, _FIRST = (int(x) for x in units(np.log([0.9, 0.1, 0.8, 0.2, 0.5])))
+
+
+@query(f"""WITH RECURSIVE {SCREENS}, e AS (SELECT *, CASE state WHEN 'menu' THEN {_HIT} WHEN 'play' THEN {_MISS} ELSE 0 END AS e0, CASE state WHEN 'menu' THEN {_MISS} WHEN 'play' THEN {_HIT} ELSE 0 END AS e1 FROM fr),
+fw AS (SELECT user_id, i, {_FIRST} + e0 AS v0, {_FIRST} + e1 AS v1, 0 AS b0, 0 AS b1 FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, greatest(v0 + {_STAY}, v1 + {_MOVE}) + e0, greatest(v0 + {_MOVE}, v1 + {_STAY}) + e1, CASE WHEN v1 + {_MOVE} > v0 + {_STAY} THEN 1 ELSE 0 END, CASE WHEN v1 + {_STAY} > v0 + {_MOVE} THEN 1 ELSE 0 END
+  FROM fw JOIN e ON e.user_id = fw.user_id AND e.i = fw.i + 1),
+bw AS (SELECT user_id, max(i) AS i, CASE WHEN arg_max(v1, i) > arg_max(v0, i) THEN 1 ELSE 0 END AS s FROM fw GROUP BY 1
+  UNION ALL SELECT bw.user_id, bw.i - 1, CASE bw.s WHEN 0 THEN fw.b0 ELSE fw.b1 END FROM bw JOIN fw ON fw.user_id = bw.user_id AND fw.i = bw.i WHERE bw.i > 1)
+SELECT e.user_id, e.event_id, e.state AS observed, CASE s WHEN 0 THEN 'menu' ELSE 'play' END AS decoded FROM e JOIN bw ON bw.user_id = e.user_id AND bw.i = e.i""")
 def viterbi_states(spark, sf_dir):
     return decoded(frames(spark, sf_dir), "user_id", "event_id", "state", ["menu", "play"], stay=0.9, hit=0.8)
 
 
+@query()
+def screen_paths(spark, sf_dir):
+    """Frames of each user decoded from a classifier's log probabilities, an anchor for high
+    values in play, and frames that are rejected; fitted on the frames of four users in five."""
+    e = frames(spark, sf_dir).withColumns({"value": F.coalesce(F.col("value"), F.lit(0.0)), "hour": F.hour("ts").cast("double"), "k": F.coalesce(F.from_json("props", "k double")["k"], F.lit(0.0))})
+    states = ["menu", "play", "unknown"]
+    scored = class_log_probs(fitted(e.filter("user_id % 5 <> 0"), "state", ["value", "hour", "k"]), e, states)
+    emit = emissions(states, F.col("log_probs"), {"play": (F.col("value") > 90).cast("int")}, F.col("event_type") == "error", "unknown")
+    move = np.log([[0.9, 0.05, 0.05], [0.05, 0.9, 0.05], [0.25, 0.25, 0.5]])
+    return best_paths(scored.withColumn("observed", F.col("state")), "user_id", "event_id", "observed", emit, move, np.log([0.4, 0.1, 0.5]), states)
+
+
 @query(f"""WITH {EVENTS}, s AS (SELECT user_id, event_id, event_type = 'signup' AS o, event_type = 'error' AS c, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM ev),
 r AS (SELECT *, sum(CASE WHEN (o AND b <> 'signup') OR (NOT c AND b = 'error') THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS reel FROM s)
 SELECT user_id, CAST(reel AS BIGINT) AS reel, min(event_id) AS first_segment, max(event_id) AS last_segment, count(*) AS segments, bool_or(o) AS has_opener, bool_or(c) AS has_closer FROM r GROUP BY 1, 2""")
@@ -133,13 +175,18 @@ def session_reels(spark, sf_dir):
 
 @query()
 def greedy_assign(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("bucket"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderstatus")
-    a = o.filter("o_orderstatus = 'F'").select("bucket", F.col("id").alias("a"), F.col("o_totalprice").alias("x"))
-    b = o.filter("o_orderstatus <> 'F'").select("bucket", F.col("id").alias("b"), F.col("o_totalprice").alias("y"))
-    return greedy_assignment(a.join(b, "bucket").select("bucket", "a", "b", (-F.abs(F.col("x") - F.col("y"))).alias("score")), "bucket")
+    """Finished orders of a customer with the open ones nearest in price."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("bucket"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"), "o_orderstatus")
+    return nearest_assignment(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus <> 'F'"), "bucket")
 
 
 @query()
 def collision_buckets(spark, sf_dir):
     e = events(spark, sf_dir).select("user_id", "event_id", F.col("value").cast("double").alias("x"), (F.col("event_id") % 50).cast("double").alias("y"))
     return collision_groups(e, "user_id", "event_id", "x", "y", 12.0)
+
+
+@query()
+def marker_clusters(spark, sf_dir):
+    e = events(spark, sf_dir).select("user_id", "event_id", F.col("value").cast("double").alias("x"), (F.col("event_id") % 50).cast("double").alias("y"))
+    return median_clusters(e, "user_id", "event_id", "x", "y", 12.0)

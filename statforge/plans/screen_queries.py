@@ -161,13 +161,13 @@ def team_sides(spark, sf_dir):
     return c.select("c_custkey", away_side(F.when(b > 6000, F.col("c_custkey") % 2 == 0), away, home, F.lit("7th Wave"), ["hc", "the harbour"]).alias("away_side"))
 
 
-@query("""WITH g AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN 'HOLD' ELSE 'PASS' END AS decision FROM orders),
-b AS (SELECT l_orderkey, count(*) AS n, string_agg('class ' || c, ', ' ORDER BY c) AS s FROM (SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 3 THEN 'G' ELSE 'F' END AS c FROM lineitem WHERE l_returnflag = 'R') WHERE c IN ('A', 'B', 'D', 'G') GROUP BY 1)
-SELECT o_orderkey, decision = 'PASS' AND n IS NULL AS drain, CASE WHEN decision <> 'PASS' THEN 'gate HOLD — price' WHEN n > 0 THEN 'gate PASS but ' || n || ' blocking flag(s): ' || s ELSE 'gate PASS, no fail-severity flags in A/B/D/G' END AS reason FROM g LEFT JOIN b ON l_orderkey = o_orderkey""")
+@query("""WITH g AS (SELECT o_orderkey, o_totalprice <= 300000 AS passed FROM orders),
+b AS (SELECT l_orderkey, count(*) AS n, string_agg(DISTINCT c, '' ORDER BY c) AS s FROM (SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN 'A' WHEN 2 THEN 'C' WHEN 3 THEN 'G' ELSE 'F' END AS c FROM lineitem WHERE l_returnflag = 'R') WHERE c IN ('A', 'B', 'D', 'G') GROUP BY 1)
+SELECT o_orderkey, passed AND n IS NULL AS drain, CASE WHEN NOT passed THEN 'not_passed' WHEN n > 0 THEN 'blocked' ELSE 'drained' END AS outcome, coalesce(n, 0) AS n_blocking, coalesce(s, '') AS blocking FROM g LEFT JOIN b ON l_orderkey = o_orderkey""")
 def drain_decisions(spark, sf_dir):
     n = F.col("l_linenumber")
     flags = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.when(F.col("l_returnflag") == "R", "fail").otherwise("warn").alias("severity"), F.when(n == 1, "A").when(n == 2, "C").when(n == 3, "G").otherwise("F").alias("class_id"))
-    gates = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 300000, "HOLD").otherwise("PASS").alias("decision"), F.lit("price").alias("reason"))
+    gates = read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 300000, "HOLD").otherwise("PASS").alias("decision"))
     return drain_decision(gates, flags, "o_orderkey")
 
 

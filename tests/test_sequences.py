@@ -4,10 +4,16 @@ import itertools
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from statforge.operators.classify import classified, fitted
 from statforge.operators.screens import aligned_subjects
-from statforge.operators.sequences import collision_groups, decoded, greedy_assignment, hysteresis_segments, reel_groups, reels_of, segments_of
+from statforge.operators.clusters import MedianClusters, median_clusters
+from statforge.operators.decoding import best_paths, decoded, emissions, units, viterbi
+from statforge.operators.matching import greedy_assignment, greedy_pairs, nearest_assignment
+from statforge.operators.segments import hysteresis_segments, segments_of
+from statforge.operators.sequences import collision_groups, reel_groups, reels_of
 
 STATES = ["a", "b", "c"]
 
@@ -33,37 +39,35 @@ def test_reels(spark):
     assert got == want
 
 
-def test_segments(spark):
-    found = sequences(2, 40, 60)
-    got = sorted((r.k, r.segment, r.state, r.first_s, r.last_s) for r in hysteresis_segments(frame(spark, found), "k", "i", "s", "t").collect())
-
-    def plain(x):
-        """A run opens with three equal frames and bridges single other frames."""
-        out, i = [], 0
-        while i < len(x) - 2:
-            if not x[i] == x[i + 1] == x[i + 2]:
-                i += 1
-                continue
-            last = i + 2
-            while True:
-                nxt = [j for j in range(last + 1, min(len(x), last + 3)) if x[j] == x[i]]
-                if not nxt:
-                    break
-                last = nxt[0]
-            if last - i >= 3:
-                out.append((x[i], float(i), float(last)))
-            i = last + 1
-        return out
-
-    assert got == sorted((k, n, *s) for k, x in found.items() for n, s in enumerate(plain(x)))
+@pytest.mark.parametrize("bits", [10, 2, 0])
+def test_segments(spark, bits):
+    """Cuts after every 1,024th frame, every fourth and every one."""
+    found = sequences(2, 30, 60)
+    found |= {100 + k: [r.choice(["a", "b"]) for _ in range(40) for r in [random.Random(k)]] * 2 for k in range(3)}
+    found |= {200 + k: [x for _ in range(12) for x in [random.Random(k * 50 + _).choice(["a", "b", "unknown", None])] * random.Random(k * 70 + _).randint(1, 6)] for k in range(12)}
+    rules = {"outliers": 1 + bits // 5, "opening_by": {"b": 2}, "shortest_by": {"b": 4.5}}
+    got = sorted((r.k, r.segment, r.state, r.first_s, r.last_s, r.end_s, r.frames) for r in hysteresis_segments(frame(spark, found), "k", "i", "s", "t", STATES, bits=bits, **rules).collect())
+    want = [(k, n, s, float(a), float(b), b + 1.0, b - a + 1) for k, x in found.items() for n, (s, a, b) in enumerate(segments_of(x, [float(i) for i in range(len(x))], **rules))]
+    assert got == sorted(want) and len(got) > 40
     assert segments_of([], []) == []
 
 
+def test_segment_rules():
+    t = [float(i) for i in range(20)]
+    line = lambda x: [("unknown" if c == "-" else c) for c in x]
+    assert segments_of(line("aaabaa"), t) == [("a", 0, 5)]
+    # the second outlier closes the segment and alone is tried as the next one's first frame
+    assert segments_of(line("aaabbb"), t) == [("a", 0, 2)]
+    assert segments_of(line("aaabbbb"), t) == [("a", 0, 2), ("b", 4, 6)]
+    assert segments_of(line("---aaa-aa--"), t, shortest=5.5) == [("a", 3, 8)]
+    assert segments_of(line("------"), t) == []
+
+
 def test_viterbi(spark):
     found = sequences(3, 6, 7)
     found[0] = ["a", None, "b", "b"]
     got = {}
-    for r in sorted(decoded(frame(spark, found), "k", "i", "s", STATES, stay=0.8, hit=0.7).collect()):
+    for r in sorted(decoded(frame(spark, found), "k", "i", "s", STATES, stay=0.8, hit=0.7, bits=1).collect()):
         got.setdefault(r.k, []).append(r.decoded)
 
     def chance(path, seen):
@@ -77,6 +81,34 @@ def test_viterbi(spark):
         assert np.isclose(chance(got[k], seen), best)
 
 
+@pytest.mark.parametrize("bits", [10, 3, 0])
+def test_paths_do_not_depend_on_cuts(spark, bits):
+    """Random emissions, forbidden moves and many ties, against one plain pass in the same units."""
+    r = np.random.default_rng(9)
+    names = ["w", "x", "y", "z"]
+    move = np.log(r.integers(1, 4, (4, 4)) / 4)
+    move[0, 3] = move[2, 1] = -np.inf
+    start = np.log([0.5, 0.5, 0.25, 0.25])
+    rows, want = [], []
+    for k in range(9):
+        e = np.log(r.integers(1, 4, (int(r.integers(1, 90)), 4)) / 4)
+        path = viterbi(units(e), units(move), units(start))
+        for i, row in enumerate(e):
+            rows.append((k, i, f"t{i}", row.tolist()))
+            want.append((k, i, f"t{i}", names[path[i]]))
+    df = spark.createDataFrame(rows, "k long, i long, tag string, e array<double>").repartition(6)
+    got = best_paths(df, "k", "i", "tag", F.col("e"), move, start, names, bits)
+    assert got.columns == ["k", "i", "tag", "decoded"] and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_emissions(spark):
+    """Classifier, anchors and rejected frames, each number by hand."""
+    rows = [(0, [-1.0, -2.0, -3.0], 2, False), (1, [-1.0, -2.0, -3.0], None, None), (2, [-1.0, -2.0, -3.0], 1, True)]
+    df = spark.createDataFrame(rows, "i long, lp array<double>, seen int, reject boolean")
+    got = {r.i: r.e for r in df.select("i", emissions(["a", "b", "u"], F.col("lp"), {"b": F.col("seen"), "u": F.lit(9)}, F.col("reject"), "u", weight=2.0).alias("e")).collect()}
+    assert got == {0: [-2.0, 2.0, -6.0], 1: [-2.0, -4.0, -6.0], 2: [-20.0, -20.0, -19.0]}
+
+
 def test_greedy(spark):
     r = random.Random(4)
     rows = [(g, a, b, float(r.randint(0, 6))) for g in range(4) for a in range(5) for b in range(10, 15) if r.random() < 0.6]
@@ -91,6 +123,38 @@ def test_greedy(spark):
     assert got == sorted(want)
 
 
+def test_nearest_assignment(spark):
+    """The same pairs as from all pairs of a bucket, with equal values and distances."""
+    r = random.Random(14)
+    sides = [[(g, i + 100 * s, float(r.randint(0, 12)) if r.random() < 0.9 else None) for g in range(6) for i in range(r.randint(0, 9))] for s in (0, 1)]
+    schema = "g long, id long, value double"
+    got = sorted((x.g, x.a, x.b, x.score) for x in nearest_assignment(spark.createDataFrame(sides[0], schema), spark.createDataFrame(sides[1], schema), "g").collect())
+    want = []
+    for g in range(6):
+        own = [[(i, v) for k, i, v in side if k == g and v is not None] for side in sides]
+        want += [(g, *p) for p in greedy_pairs([(-abs(x - y), a, b) for a, x in own[0] for b, y in own[1]])]
+    assert got == sorted(want) and len(got) > 10
+    assert nearest_assignment(spark.createDataFrame([], schema), spark.createDataFrame(sides[1], schema), "g").count() == 0
+
+
+def test_median_clusters(spark):
+    r = random.Random(15)
+    rows = [(k, i, float(r.randint(0, 40)), r.random() * 40) for k in range(4) for i in range(150)] + [(9, 1, None, 2.0), (None, 1, 1.0, 1.0)]
+    got = {(x.k, x.i): x.cluster for x in median_clusters(spark.createDataFrame(rows, "k long, i long, x double, y double").repartition(5), "k", "i", "x", "y", 6.0).collect()}
+    assert (9, 1) not in got and got[None, 1] == 0
+    for k in range(4):
+        clusters = []
+        for _, i, x, y in sorted(p for p in rows if p[0] == k):
+            middle = lambda v: sorted(v)[len(v) // 2]
+            near = [n for n, c in enumerate(clusters) if (middle([p[0] for p in c]) - x) ** 2 + (middle([p[1] for p in c]) - y) ** 2 < 36]
+            n = near[0] if near else len(clusters)
+            if not near:
+                clusters.append([])
+            clusters[n].append((x, y))
+            assert got[k, i] == n
+    assert MedianClusters(1.0).add(-3.0, 2.0) == 0
+
+
 def test_collisions(spark):
     r = random.Random(5)
     rows = [(k, i, r.random() * 4, r.random() * 4) for k in range(3) for i in range(25)]
