@@ -47,9 +47,7 @@ def one_letter_keys(c: Column) -> Column:
     return F.array_distinct(F.concat(F.array(c), F.when(F.length(c) > 0, gone).otherwise(F.array().cast("array<string>"))))
 
 
-def stretches(c: Column) -> Column:
-    """All non-empty stretches of a short text: what is contained in it meets it in a join
-    on equality."""
-    n = F.length(c)
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.substr(c, i, j - i + 1)))
-    return F.array_distinct(F.when(n > 0, F.flatten(cut)).otherwise(F.array().cast("array<string>")))
+def grams(c: Column, n: int) -> Column:
+    """All distinct stretches of n letters of a text."""
+    last = F.length(c) - n + 1
+    return F.array_distinct(F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>")))

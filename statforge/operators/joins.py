@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import one_letter_keys, snapshot_name, stretches
+from ..functions.text import grams, one_letter_keys, snapshot_name
 
 #: The steps of ``resolve_cascade``, in order.
 VIA = ["gamertag_exact", "gamertag_history_exact", "display_alias_exact", "gamertag_substring", "gamertag_levenshtein", "unresolved"]
@@ -61,6 +61,40 @@ def within_one_edit(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFr
     return met.filter(F.levenshtein(a, b) <= 1).distinct()
 
 
+#: Texts up to this length are looked up as they are; longer ones by their rarest stretch of it.
+GRAM = 3
+
+
+def _rarest(parts: DataFrame, part: str, wholes: DataFrame, whole: str) -> DataFrame:
+    """Pairs (rows of both) where the whole contains the part, for parts of more than ``GRAM``
+    letters: each part is looked for under that of its stretches which the fewest wholes have."""
+    held = wholes.withColumn("_g", F.explode(grams(F.col(whole), GRAM)))
+    often = held.groupBy("_g").agg(F.count("*").alias("_n"))
+    long = parts.filter(F.length(part) > GRAM)
+    asked = long.select(part, F.explode(grams(F.col(part), GRAM)).alias("_g")).join(often, "_g", "left")
+    asked = asked.groupBy(part).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("x")).filter("x.n > 0").select(part, F.col("x._g").alias("_g"))
+    return long.join(asked, part).join(held, "_g").filter(F.contains(F.col(whole), F.col(part))).drop("_g")
+
+
+def _short_grams(rows: DataFrame, text: str) -> DataFrame:
+    return rows.withColumn("_g", F.explode(F.concat(*[grams(F.col(text), n) for n in range(1, GRAM + 1)])))
+
+
+def names_in_tags(names: DataFrame, tags: DataFrame) -> DataFrame:
+    """name, low and high: the least and greatest player among tags (tag, low, high) that contain
+    the name. A short name meets one row, however many tags hold it."""
+    ends = [F.min("low").alias("low"), F.max("high").alias("high")]
+    short = _short_grams(tags, "tag").groupBy(F.col("_g").alias("name")).agg(*ends).join(names.filter(F.length("name") <= GRAM), "name", "left_semi")
+    return short.unionByName(_rarest(names, "name", tags, "tag").groupBy("name").agg(*ends))
+
+
+def tags_in_names(names: DataFrame, tags: DataFrame) -> DataFrame:
+    """name, low and high of the tags that a name contains."""
+    ends = [F.min("low").alias("low"), F.max("high").alias("high")]
+    short = _short_grams(names, "name").join(tags.filter(F.length("tag") <= GRAM).withColumnRenamed("tag", "_g"), "_g")
+    return short.select("name", "low", "high").unionByName(_rarest(tags, "tag", names, "name").select("name", "low", "high")).groupBy("name").agg(*ends)
+
+
 def resolve_cascade(probes: DataFrame, players: DataFrame, history: DataFrame, aliases: DataFrame) -> DataFrame:
     """id, player_id and via of each probe (id, snapshot) by the first step that answers:
     equal gamertag, equal tag in use of the history, equal display alias, the only active
@@ -68,24 +102,23 @@ def resolve_cascade(probes: DataFrame, players: DataFrame, history: DataFrame, a
     edit away; else unresolved. Of several equal names the smallest player_id answers.
 
     players (player_id, gamertag, is_active), history (player_id, gamertag, in_use) and
-    aliases (player_id, alias); every step is a join on equality."""
+    aliases (player_id, alias). Every step is a join on equality over distinct names; as only one
+    answer counts, the least and the greatest player of each name are kept, not all."""
     named = probes.select("id", F.lower(snapshot_name(F.col("snapshot"))).alias("name"))
     known = players.select(F.lower("gamertag").alias("name"), F.lit(1).alias("step"), "player_id")
     known = known.unionByName(history.filter("in_use").select(F.lower("gamertag").alias("name"), F.lit(2).alias("step"), "player_id"))
     known = known.unionByName(aliases.select(F.lower("alias").alias("name"), F.lit(3).alias("step"), "player_id"))
     known = known.filter("name IS NOT NULL AND name <> ''").groupBy("name").agg(F.min(F.struct("step", "player_id")).alias("hit"))
-    equal = named.join(known, "name", "left")
-    left = equal.filter("hit IS NULL AND name <> ''").select("id", "name")
-    tags = players.filter("is_active").select("player_id", F.lower("gamertag").alias("tag")).filter("tag <> ''")
-    inside = left.select("id", F.explode(stretches(F.col("name"))).alias("tag")).join(tags, "tag").select("id", "player_id")
-    around = left.join(tags.select("player_id", F.explode(stretches(F.col("tag"))).alias("name")), "name").select("id", "player_id")
-    near = within_one_edit(left, tags, "name", "tag").select("id", "player_id")
-    votes = inside.unionByName(around).withColumn("step", F.lit(4)).unionByName(near.withColumn("step", F.lit(5)))
-    only = votes.groupBy("id", "step").agg(F.min("player_id").alias("player_id"), F.max("player_id").alias("_last")).filter("player_id = _last")
-    only = only.groupBy("id").agg(F.min(F.struct("step", "player_id")).alias("only"))
-    found = equal.join(only, "id", "left").withColumn("found", F.coalesce("hit", "only"))
-    via = F.element_at(F.array(*[F.lit(v) for v in VIA]), F.coalesce(F.col("found.step"), F.lit(len(VIA))))
-    return found.select("id", F.col("found.player_id").alias("player_id"), via.alias("via"))
+    names = named.filter("name <> ''").select("name").distinct().join(known, "name", "left_anti")
+    tags = players.filter("is_active").select(F.lower("gamertag").alias("tag"), "player_id").filter("tag <> ''")
+    tags = tags.groupBy("tag").agg(F.min("player_id").alias("low"), F.max("player_id").alias("high"))
+    held = names_in_tags(names, tags).unionByName(tags_in_names(names, tags)).withColumn("step", F.lit(4))
+    near = within_one_edit(names, tags, "name", "tag").select("name", "low", "high", F.lit(5).alias("step"))
+    only = held.unionByName(near).groupBy("name", "step").agg(F.min("low").alias("player_id"), F.max("high").alias("_last")).filter("player_id = _last")
+    only = only.groupBy("name").agg(F.min(F.struct("step", "player_id")).alias("hit"))
+    found = named.join(known.unionByName(only), "name", "left")
+    via = F.element_at(F.array(*[F.lit(v) for v in VIA]), F.coalesce(F.col("hit.step"), F.lit(len(VIA))))
+    return found.select("id", F.col("hit.player_id").alias("player_id"), via.alias("via"))
 
 
 def resolve_persona(probes: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -36,44 +36,40 @@ def greedy_assignment(df: DataFrame, bucket: str) -> DataFrame:
     """bucket, a, b, score of the pairs taken from candidates (bucket, a, b, score); candidates
     with a null in any column are none."""
     left = kept(df.select(bucket, "a", "b", F.col("score").cast("double").alias("score")).dropna(), "candidates")
-    taken = None
-    while not left.isEmpty():
-        found = kept(_mutual(left, bucket), "assigned")
-        taken = found if taken is None else taken.unionByName(found)
+    taken = found = kept(_mutual(left, bucket), "assigned")
+    while not found.isEmpty():
         left = kept(left.join(found, [bucket, "a"], "left_anti").join(found, [bucket, "b"], "left_anti"), "candidates")
-    return left if taken is None else taken
+        found = kept(_mutual(left, bucket), "assigned")
+        taken = taken.unionByName(found)
+    return taken
 
 
-def _nearest(points: DataFrame, bucket: str) -> DataFrame:
-    """(bucket, a, b, score) of each point of one side (``other``: the id on the other side is
-    null) with the nearest values below and above it on the other one, the smaller id of ties."""
+def _neighbours(points: DataFrame, bucket: str) -> DataFrame:
+    """(bucket, a, b, score) of each point with the nearest values of the other side below and
+    above it, the smaller id of ties. Equal values are met once, by either side."""
     near = []
-    for way in (F.asc("value"), F.desc("value")):
-        before = Window.partitionBy(bucket).orderBy(way, F.desc("is_other"), F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
-        near.append(F.last(F.when(F.col("is_other"), F.struct(F.col("id").alias("b"), F.col("value").alias("v"))), ignorenulls=True).over(before))
-    rows = points.select(bucket, "id", "value", "is_other", near[0].alias("low"), near[1].alias("high")).filter(~F.col("is_other"))
-    rows = rows.select(bucket, F.col("id").alias("a"), "value", F.explode(F.array("low", "high")).alias("x")).filter(F.col("x").isNotNull())
-    return rows.select(bucket, "a", F.col("x.b").alias("b"), (-F.abs(F.col("value") - F.col("x.v"))).alias("score"))
+    for way, first in ((F.asc("value"), F.desc("is_b")), (F.desc("value"), F.asc("is_b"))):
+        before = Window.partitionBy(bucket).orderBy(way, first, F.desc("id")).rowsBetween(Window.unboundedPreceding, 0)
+        last = lambda c: F.last(F.when(c, F.struct("id", "value")), ignorenulls=True).over(before)  # noqa: E731, B023
+        near.append(F.when(F.col("is_b"), last(~F.col("is_b"))).otherwise(last(F.col("is_b"))))
+    rows = points.select(bucket, "id", "value", "is_b", near[0].alias("low"), near[1].alias("high"))
+    rows = rows.select(bucket, "id", "value", "is_b", F.explode(F.array("low", "high")).alias("x")).filter(F.col("x").isNotNull())
+    own = lambda c: F.when(c, F.col("x.id")).otherwise(F.col("id"))
+    return rows.select(bucket, own(F.col("is_b")).alias("a"), own(~F.col("is_b")).alias("b"), (-F.abs(F.col("value") - F.col("x.value"))).alias("score"))
 
 
 def nearest_assignment(left: DataFrame, right: DataFrame, bucket: str) -> DataFrame:
     """Greedy assignment by nearness of ``value`` without a table of all pairs: bucket, a, b and
     score (minus the distance) from (bucket, id, value) on either side. Each round looks only at
     the neighbours of each point in the order of values; a bucket's order is one sort."""
-    def cleaned(x: DataFrame) -> DataFrame:
-        return x.select(bucket, "id", F.col("value").cast("double").alias("value")).dropna()
-
-    a, b, taken = kept(cleaned(left), "left"), kept(cleaned(right), "right"), None
-    while not (a.isEmpty() or b.isEmpty()):
-        side = lambda x, y: x.withColumn("is_other", F.lit(False)).unionByName(y.withColumn("is_other", F.lit(True)))
-        forth = _nearest(side(a, b), bucket)
-        back = _nearest(side(b, a), bucket).select(bucket, F.col("b").alias("a"), F.col("a").alias("b"), "score")
-        found = kept(_mutual(forth.unionByName(back), bucket), "assigned")
-        if found.isEmpty():
-            break
+    side = lambda x, is_b: x.select(bucket, "id", F.col("value").cast("double").alias("value"), F.lit(is_b).alias("is_b")).dropna()
+    points, taken = kept(side(left, False).unionByName(side(right, True)), "points"), None
+    while True:
+        rest = points
+        if taken is not None:
+            used = taken.select(bucket, F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(False).alias("is_b")), F.struct(F.col("b").alias("id"), F.lit(True).alias("is_b")))).alias("x")).select(bucket, "x.*")
+            rest = points.join(used, [bucket, "id", "is_b"], "left_anti")
+        found = kept(_mutual(_neighbours(rest, bucket), bucket), "assigned")
+        if taken is not None and found.isEmpty():
+            return taken
         taken = found if taken is None else taken.unionByName(found)
-        a = kept(a.join(found.select(bucket, F.col("a").alias("id")), [bucket, "id"], "left_anti"), "left")
-        b = kept(b.join(found.select(bucket, F.col("b").alias("id")), [bucket, "id"], "left_anti"), "right")
-    if taken is None:
-        return a.select(bucket, F.col("id").alias("a"), F.col("id").alias("b"), F.col("value").alias("score")).limit(0)
-    return taken

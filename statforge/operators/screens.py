@@ -44,6 +44,20 @@ def drain_decision(gates: DataFrame, flags: DataFrame, key: str) -> DataFrame:
     return rows.select(key, (outcome == "drained").alias("drain"), outcome.alias("outcome"), n.cast("long").alias("n_blocking"), F.coalesce("_bad", F.lit("")).alias("blocking"))
 
 
+def recorded_at(files: DataFrame, name: str, zone: str) -> DataFrame:
+    """``files`` with recorded_at (seconds since 1970; null for other names) of a local time in the
+    file's name, and in_change: the time lies in the hour that a change of clocks in ``zone`` skips
+    or repeats, so it is not sure."""
+    local = F.try_to_timestamp(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2} \d{2}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd HH-mm-ss"))
+    utc = F.to_utc_timestamp(local, zone)
+    hour = F.expr("INTERVAL 1 HOUR")
+    # away from a change, an hour more or less by the clock is an hour more or less in time
+    even = (F.to_utc_timestamp(local + hour, zone) == utc + hour) & (F.to_utc_timestamp(local - hour, zone) == utc - hour) & (F.from_utc_timestamp(utc, zone) == local)
+    near = F.from_utc_timestamp(utc, zone) != local
+    repeats = (F.from_utc_timestamp(utc + hour, zone) == local) | (F.from_utc_timestamp(utc - hour, zone) == local)
+    return files.withColumns({"recorded_at": F.unix_timestamp(utc), "in_change": F.coalesce(~even & (near | repeats), F.lit(False))})
+
+
 def density_radius(n: Column) -> Column:
     """Cluster radius in pixels: 15 up to 300 markers a period, falling in straight lines to
     10 at 1500 and 8 at 5000, then slowly to no less than 6."""
@@ -67,14 +81,19 @@ def existing_events(incoming: DataFrame, stored: DataFrame, bucket: list[str]) -
     """id, existing and strategy of each incoming event that is stored already (both with id,
     actor_id, actor and bucket; stored with ``placed``): a placed row whose actor shares the
     first four letters, else a row of the same actor_id, else one whose actor's name is at
-    most one edit away. Of several the smallest id; every strategy is a join on equality."""
+    most one edit away. Of several the smallest id: stored rows are first grouped by key to it, so
+    no pairs of rows are made, only of distinct names one edit apart."""
     a = incoming.select("id", *bucket, "actor_id", plain_tag(F.col("actor")).alias("tag"))
-    b = stored.select(F.col("id").alias("existing"), *bucket, F.col("actor_id").alias("_actor"), plain_tag(F.col("actor")).alias("_tag"), "placed")
+    b = stored.select(F.col("id").alias("existing"), *bucket, "actor_id", plain_tag(F.col("actor")).alias("tag"), "placed")
     head = lambda c: F.when(F.length(c) >= 4, F.substring(c, 1, 4))
-    first = a.withColumn("_h", head("tag")).join(b.filter("placed").withColumn("_h", head("_tag")), [*bucket, "_h"]).select("id", "existing", F.lit(0).alias("s"))
-    second = a.join(b.withColumnRenamed("_actor", "actor_id").drop("_tag"), [*bucket, "actor_id"]).select("id", "existing", F.lit(1).alias("s"))
-    keyed = lambda rows, c: rows.filter(F.col(c) != "").withColumn("_k", F.explode(one_letter_keys(F.col(c))))
-    third = keyed(a, "tag").join(keyed(b, "_tag"), [*bucket, "_k"]).filter(F.levenshtein("tag", "_tag") <= 1).select("id", "existing", F.lit(2).alias("s"))
+    least = lambda rows, k: rows.filter(F.col(k).isNotNull()).groupBy(*bucket, k).agg(F.min("existing").alias("existing"))
+    first = a.withColumn("_h", head("tag")).join(least(b.filter("placed").withColumn("_h", head("tag")), "_h"), [*bucket, "_h"]).select("id", "existing", F.lit(0).alias("s"))
+    second = a.join(least(b, "actor_id"), [*bucket, "actor_id"]).select("id", "existing", F.lit(1).alias("s"))
+    names = least(b.filter("tag <> ''"), "tag").withColumnRenamed("tag", "_tag")
+    asked = a.filter("tag <> ''").select(*bucket, "tag").distinct()
+    keyed = lambda rows, c: rows.withColumn("_k", F.explode(one_letter_keys(F.col(c))))
+    near = keyed(asked, "tag").join(keyed(names, "_tag"), [*bucket, "_k"]).filter(F.levenshtein("tag", "_tag") <= 1).groupBy(*bucket, "tag").agg(F.min("existing").alias("existing"))
+    third = a.join(near, [*bucket, "tag"]).select("id", "existing", F.lit(2).alias("s"))
     best = first.unionByName(second).unionByName(third).groupBy("id").agg(F.min(F.struct("s", "existing")).alias("b"))
     names = F.array(*[F.lit(x) for x in ("placed_prefix", "actor_id", "actor_name")])
     return best.select("id", F.col("b.existing").alias("existing"), F.element_at(names, F.col("b.s") + 1).alias("strategy"))

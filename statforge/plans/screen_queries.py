@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clock import seconds_of
 from ..functions.nulls import ratio
 from ..operators.classify import classified, fitted
-from ..operators.screens import aligned_subjects, away_side, density_radius, drain_decision, existing_events, filled_rows, without_junk
+from ..operators.screens import aligned_subjects, away_side, density_radius, drain_decision, existing_events, filled_rows, recorded_at, without_junk
 from ..sources.tables import MATCHES, PLAYERS, matches, player_matches, read
 from .registry import query
 
@@ -106,16 +106,18 @@ def lineup_authority(spark, sf_dir):
     return seen.union(named).distinct()
 
 
-READINGS = """r AS (SELECT event_id AS id, user_id, event_type, CAST(event_id % 2 AS VARCHAR) || ':00' AS clock, CASE WHEN value > 60 THEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 END AS actor_id,
-  CASE CAST(json_extract(props, '$.k') AS BIGINT) % 6 WHEN 0 THEN 'Comet [' WHEN 1 THEN 'COMET' WHEN 2 THEN 'Cometz' WHEN 3 THEN 'B. Lund' WHEN 4 THEN 'B.LUND' ELSE 'xo' END AS actor, value >= 70 AS placed, value FROM events)"""
+#: Actors are edits of the event's own kind: a bracket, capitals, a letter more, an initial, a short form.
+READINGS = """r AS (SELECT event_id AS id, user_id, event_type, CAST(event_id % 2 AS VARCHAR) || ':00' AS clock, CASE WHEN value > 60 OR value < 15 THEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 END AS actor_id,
+  CASE CAST(json_extract(props, '$.k') AS BIGINT) % 6 WHEN 0 THEN event_type || ' [' WHEN 1 THEN upper(event_type) WHEN 2 THEN event_type || 's' WHEN 3 THEN 'q. ' || event_type WHEN 4 THEN 'Q.' || upper(event_type) ELSE left(event_type, 2) END AS actor, value >= 70 AS placed, value FROM events)"""
 SNAP = "regexp_replace(lower({c}), '[^a-z0-9]', '', 'g')"
 
 
 def readings(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]
-    names = F.array(*[F.lit(x) for x in ("Comet [", "COMET", "Cometz", "B. Lund", "B.LUND", "xo")])
+    kind, v = F.col("event_type"), F.col("value")
+    forms = F.array(F.concat(kind, F.lit(" [")), F.upper(kind), F.concat(kind, F.lit("s")), F.concat(F.lit("q. "), kind), F.concat(F.lit("Q."), F.upper(kind)), F.left(kind, F.lit(2)))
     e = read(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("id"), "user_id", "event_type", F.concat((F.col("event_id") % 2).cast("string"), F.lit(":00")).alias("clock"), F.when(F.col("value") > 60, k % 3).alias("actor_id"), F.get(names, (k % 6).cast("int")).alias("actor"), (F.col("value") >= 70).alias("placed"), "value")
+    return e.select(F.col("event_id").alias("id"), "user_id", "event_type", F.concat((F.col("event_id") % 2).cast("string"), F.lit(":00")).alias("clock"), F.when((v > 60) | (v < 15), k % 3).alias("actor_id"), F.get(forms, (k % 6).cast("int")).alias("actor"), (v >= 70).alias("placed"), "value")
 
 
 @query(f"""WITH {READINGS}, a AS (SELECT *, {SNAP.format(c='actor')} AS tag FROM r WHERE value < 40), b AS (SELECT *, {SNAP.format(c='actor')} AS tag FROM r WHERE value >= 40),
@@ -133,13 +135,19 @@ def junk_cleanup(spark, sf_dir):
     return without_junk(readings(spark, sf_dir), ["user_id", "event_type", "clock"]).select("id", "placed")
 
 
-@query("""WITH f AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS t FROM orders) SELECT o_orderkey, CAST(epoch(t) AS BIGINT) + 5 * 3600 AS recorded_at FROM f""")
+@query("""WITH f AS (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(o_orderkey % 86400) AS t FROM orders),
+y AS (SELECT y FROM range(1990, 2007) r(y)),
+d AS (SELECT y, make_date(y, 4, 1) + CAST((7 - isodow(make_date(y, 4, 1))) % 7 AS INTEGER) AS first, make_date(y, 10, 31) - CAST(isodow(make_date(y, 10, 31)) % 7 AS INTEGER) AS last FROM y)
+SELECT o_orderkey, CAST(epoch(t) AS BIGINT) + CASE WHEN t >= first + INTERVAL 2 HOUR AND t < last + INTERVAL 1 HOUR THEN 4 ELSE 5 END * 3600 AS recorded_at FROM f JOIN d ON y = year(t)
+WHERE NOT (t >= first + INTERVAL 2 HOUR AND t < first + INTERVAL 3 HOUR) AND NOT (t >= last + INTERVAL 1 HOUR AND t < last + INTERVAL 2 HOUR)""")
 def recording_times(spark, sf_dir):
-    """File names hold the operator's local time."""
+    """File names hold the operator's local time, in a zone with daylight saving; the hours that
+    a change of clocks skips or repeats are left out. In the years of the table summer time ran
+    from the first Sunday of April to the last of October."""
     t = F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400)
     name = F.concat(F.lit("clip "), F.date_format(t, "yyyy-MM-dd HH-mm-ss"), F.lit(".mp4"))
-    local = F.try_to_timestamp(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2} \d{2}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd HH-mm-ss"))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.unix_timestamp(F.to_utc_timestamp(local, "Etc/GMT+5")).alias("recorded_at"))
+    rows = recorded_at(read(spark, sf_dir, "orders").select("o_orderkey", name.alias("file")), "file", "America/New_York")
+    return rows.filter(~F.col("in_change")).select("o_orderkey", "recorded_at")
 
 
 @query("SELECT event_id, CAST(floor((value - 50) * 2 / 4 + 0.5) AS BIGINT) AS rounded, CASE WHEN n <= 300 THEN 15.0 WHEN n <= 1500 THEN 15 - 5 * (n - 300) / 1200 WHEN n <= 5000 THEN 10 - 2 * (n - 1500) / 3500 ELSE greatest(6.0, 8 - (n - 5000) / 10000) END AS radius FROM (SELECT event_id, value, CAST(event_id AS DOUBLE) AS n FROM events)")
@@ -148,17 +156,18 @@ def pixel_radius(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", F.floor((F.col("value") - 50) * 2 / 4 + 0.5).alias("rounded"), density_radius(F.col("event_id")).alias("radius"))
 
 
-TEAMS = """t AS (SELECT c_custkey, CASE WHEN c_acctbal > 6000 THEN c_custkey % 2 = 0 END AS was_home, CASE c_nationkey % 3 WHEN 0 THEN 'HC (A)' WHEN 1 THEN '7TH(A)' ELSE n_name END AS away, CASE WHEN c_acctbal < 1000 THEN 'The Harbour' WHEN c_acctbal < 3000 THEN '7th h' ELSE 'x' END AS home FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+TEAMS = """t AS (SELECT c_custkey, c_mktsegment IN ('BUILDING', 'MACHINERY') AS own, c_nationkey % 3 AS k, c_acctbal AS bal, CASE WHEN c_acctbal > 6000 THEN c_custkey % 2 = 0 END AS was_home FROM customer)"""
 
 
-@query(f"""WITH {TEAMS}, f AS (SELECT *, away = 'HC (A)' AS ma, home = 'The Harbour' AS mh, away = '7TH(A)' AS la, home = '7th h' AS lh FROM t)
+@query(f"""WITH {TEAMS}, f AS (SELECT *, own AND k = 0 AS ma, own AND bal < 1000 AS mh, k = 1 AS la, bal >= 1000 AND bal < 3000 AS lh FROM t)
 SELECT c_custkey, CASE WHEN was_home THEN 'against' WHEN NOT was_home THEN 'for' WHEN ma AND NOT mh THEN 'for' WHEN mh AND NOT ma THEN 'against' WHEN la AND NOT lh THEN 'against' WHEN lh AND NOT la THEN 'for' END AS away_side FROM f""")
 def team_sides(spark, sf_dir):
+    """Teams are shown by segment or by nation; two segments are ours, the nation is theirs."""
     c = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    b, k = F.col("c_acctbal"), F.col("c_nationkey") % 3
-    away = F.when(k == 0, "HC (A)").when(k == 1, "7TH(A)").otherwise(F.col("n_name"))
-    home = F.when(b < 1000, "The Harbour").when(b < 3000, "7th h").otherwise("x")
-    return c.select("c_custkey", away_side(F.when(b > 6000, F.col("c_custkey") % 2 == 0), away, home, F.lit("7th Wave"), ["hc", "the harbour"]).alias("away_side"))
+    b, k, segment, nation = F.col("c_acctbal"), F.col("c_nationkey") % 3, F.col("c_mktsegment"), F.col("n_name")
+    away = F.when(k == 0, F.concat(segment, F.lit(" (A)"))).when(k == 1, F.concat(nation, F.lit("(A)"))).otherwise("x")
+    home = F.when(b < 1000, segment).when(b < 3000, F.concat(nation, F.lit(" h"))).otherwise("x")
+    return c.select("c_custkey", away_side(F.when(b > 6000, F.col("c_custkey") % 2 == 0), away, home, nation, ["building", "machinery"]).alias("away_side"))
 
 
 @query("""WITH g AS (SELECT o_orderkey, o_totalprice <= 300000 AS passed FROM orders),

@@ -1,6 +1,7 @@
 """Operators on hand-worked cases."""
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -10,7 +11,10 @@ from statforge.functions.clock import elapsed, mm_ss, repaired, seconds_of
 from statforge.functions.nulls import either_sum, ratio, strict_sum, weighted_mean, zero_as_null
 from statforge.functions.text import fuzzy_contains, similarity, snapshot_name
 from statforge.operators.joins import neighbours
-from statforge.operators.sequences import greedy_pairs, reels_of, segments_of, viterbi
+from statforge.operators.decoding import viterbi
+from statforge.operators.matching import greedy_pairs
+from statforge.operators.segments import segments_of
+from statforge.operators.sequences import reels_of
 from statforge.operators.windows import ordinal
 from statforge.sources.tables import dated_files, guarded, history, merged, new_rows, read_manifest, replace_partitions, upserted
 from statforge.streaming.ingest import start
@@ -46,8 +50,9 @@ def test_text_and_clock(spark):
 def test_segments():
     s = list("aaabaaacccb") + ["d"] * 4
     t = [float(i) for i in range(len(s))]
-    assert segments_of(s, t, shortest=2.0) == [("a", 0, 6), ("c", 7, 9), ("d", 11, 14)]
-    assert segments_of(s, t) == [("a", 0, 6), ("d", 11, 14)]
+    # the second c closes a and is tried as an opener, the first is not tried again
+    assert segments_of(s, t, shortest=2.0) == [("a", 0, 6), ("d", 11, 14)]
+    assert segments_of(s, t, shortest=5.0) == [("a", 0, 6)]
     assert segments_of([], []) == [] and segments_of(list("ababab"), t) == []
 
 
@@ -111,3 +116,47 @@ def test_streaming(spark, tmp_path, repeat):
     assert totals == {1: (2, 3, 1)}
     assert spark.read.parquet(f"{root}/raw").count() == 4
     assert {r.match_id: r.problem for r in spark.read.parquet(f"{root}/quarantine").collect()} == {3: "no payload", 4: "score is no number"}
+
+
+def test_resolve_cascade_against_all_pairs(spark):
+    """Short alphabets, so that names of one letter meet many tags and equal tags occur."""
+    from statforge.operators.joins import VIA, resolve_cascade
+
+    r = random.Random(21)
+    word = lambda most: "".join(r.choice("ab0") for _ in range(r.randint(0, most)))
+    players = [(i, word(7), r.random() < 0.8) for i in range(40)] + [(90, None, True), (91, "", True)]
+    history = [(100 + i, word(5), r.random() < 0.7) for i in range(25)]
+    aliases = [(200 + i, word(4)) for i in range(4)]
+    probes = [(i, word(9)) for i in range(150)] + [(500, None), (501, "..")]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = {x.id: (x.player_id, x.via) for x in resolve_cascade(frame(probes, "id long, snapshot string"), frame(players, "player_id long, gamertag string, is_active boolean"), frame(history, "player_id long, gamertag string, in_use boolean"), frame(aliases, "player_id long, alias string")).collect()}
+
+    def near(a, b):
+        if abs(len(a) - len(b)) > 1:
+            return False
+        return a == b or any(a[:i] + a[i + 1 :] in (b, b[:i] + b[i + 1 :]) for i in range(len(a))) or any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    def resolve(name):
+        for step, rows in enumerate([[p[:2] for p in players], [h[:2] for h in history if h[2]], aliases]):
+            equal = [i for i, t in rows if name and t and t == name]
+            if equal:
+                return min(equal), VIA[step]
+        active = [(i, t) for i, t, on in players if on and t]
+        for step, test in ((3, lambda t: t in name or name in t), (4, lambda t: near(name, t))):
+            hits = {i for i, t in active if name and test(t)}
+            if len(hits) == 1:
+                return hits.pop(), VIA[step]
+        return None, VIA[-1]
+
+    assert got == {i: resolve(s or "") if s != ".." else (None, VIA[-1]) for i, s in probes}
+    assert {v for _, v in got.values()} == set(VIA)
+
+
+def test_recorded_at_in_both_halves_of_a_year(spark):
+    from statforge.operators.screens import recorded_at
+
+    names = ["clip 2024-01-15 12-00-00.mp4", "clip 2024-07-15 12-00-00.mp4", "clip 2024-11-03 01-30-00.mp4", "clip 2024-03-10 02-30-00.mp4", "clip 2024-11-03 03-00-00.mp4", "other.mp4", None]
+    got = [(r.recorded_at, r.in_change) for r in recorded_at(spark.createDataFrame([(n,) for n in names], "file string").coalesce(1), "file", "America/New_York").collect()]
+    assert got[0] == (1705338000, False) and got[1] == (1721059200, False)
+    assert [x[1] for x in got[2:5]] == [True, True, False] and got[4][0] == 1730620800
+    assert got[5:] == [(None, False), (None, False)]

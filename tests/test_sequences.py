@@ -169,8 +169,8 @@ def test_collisions(spark):
 
 
 def test_alignment(spark):
-    truth = spark.createDataFrame([(1, 1, "Comet Joe"), (1, 2, "Comet Jo"), (1, 3, "Lund"), (1, 4, ""), (2, 5, "Lund")], "g long, id long, gamertag string")
-    slots = spark.createDataFrame([(1, 11, "cometjoe"), (1, 12, "cometj"), (1, 13, "zzzzzzzz"), (2, 14, "L4nd!")], "g long, id long, gamertag string")
+    truth = spark.createDataFrame([(1, 1, "amber fox 12"), (1, 2, "amber fox 1"), (1, 3, "quill"), (1, 4, ""), (2, 5, "quill")], "g long, id long, gamertag string")
+    slots = spark.createDataFrame([(1, 11, "AmberFox12"), (1, 12, "amberfox"), (1, 13, "zzzzzzzzz"), (2, 14, "qu1ll-")], "g long, id long, gamertag string")
     got = {(r.g, r.id): r.slot for r in aligned_subjects(truth, slots, "g").collect()}
     assert got == {(1, 1): 11, (1, 2): 12, (1, 3): None, (1, 4): None, (2, 5): 14}
 
