@@ -1,8 +1,9 @@
 """Operator 8: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words cut to their first ``STEM`` letters, which joins forms of one word in any
-of the languages. A few toxic words in a long text hardly move the cosine of the whole, so
-a text is asked for in windows of ``WINDOW`` words. Examples are whole labelled texts from a
+Terms are whole words and, for those of more than ``STEM`` letters, their first ``STEM`` letters
+as a second term, which lets forms of one word in any of the languages meet. A few toxic words
+in a long text hardly move the cosine of the whole, so a text is asked for in windows of
+``WINDOW`` words. Examples are whole labelled texts from a
 bounded sample outside the held-out fold (at most ``SAMPLE`` rows of each label by hash,
 texts of at most ``LONGEST`` bytes); their unit vectors hold every term they have, none is
 screened out, and document frequencies of these terms are counted over all documents.
@@ -31,7 +32,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,8 @@ from .common import staged, table, text_batches
 SAMPLE = 512
 LONGEST = 1 << 16
 STEM = 4
-WINDOW = 8
-LEADING = 3
+WINDOW = 12
+LEADING = 2
 NEIGHBOURS = 16
 BLOCK = 256
 #: Windows compared at a time, and ids given as evidence.
@@ -54,7 +54,17 @@ SCORED = "doc_id long, held_out boolean, score double, predicted int, share doub
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w[:STEM] for w in WORDS.findall((text or "").lower())]
+    return WORDS.findall((text or "").lower())
+
+
+def stem(word: str) -> str | None:
+    """The second term of a word; no word has a ``^``."""
+    return f"{word[:STEM]}^" if len(word) > STEM else None
+
+
+def terms_of(text: str | None) -> list[str]:
+    words = words_of(text)
+    return words + [s for w in words if (s := stem(w))]
 
 
 def fold() -> Column:
@@ -87,7 +97,7 @@ def frequencies(docs: DataFrame, number) -> tuple[int, np.ndarray]:
             texts = batch.column(0).to_pylist()
             n += len(texts)
             for text in texts:
-                seen[[known.get(w, m) for w in set(words_of(text))]] += 1
+                seen[[known.get(w, m) for w in set(terms_of(text))]] += 1
         keys = np.flatnonzero(seen[:m])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, m)), pa.array(np.append(seen[keys], n))], ["word", "n"])
 
@@ -173,7 +183,7 @@ class Scorer:
     def __init__(self, rows: list, sizes: dict[int, int], number: dict[str, int], idf: np.ndarray, k: int):
         vectors = []
         for r in rows:
-            counts = Counter(words_of(r.text))
+            counts = Counter(terms_of(r.text))
             keys = np.array([number[w] for w in counts], np.int64)
             vectors.append((keys, unit(np.array(list(counts.values()), np.float64), idf[keys])))
         self.number, self.k = number, max(1, min(k, len(rows)))
@@ -188,17 +198,23 @@ class Scorer:
         self.labels, self.weights = toxic, mass
         self.knots = (np.zeros(1), np.zeros(1))
 
+    def pair(self, word: str) -> tuple[int, int]:
+        """Numbers of a word's two terms, -1 where no example has them."""
+        get = self.number.get
+        return get(word, -1), get(f"{word[:STEM]}^", -1) if len(word) > STEM else -1
+
     def windows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Known words of all texts, the window of each, and the text of each window."""
-        get, found, sizes = self.number.get, [], []
+        """Known terms of all texts, the window of each, and the text of each window."""
+        found, sizes = [], []
         for text in texts:
             words = words_of(text)
             sizes.append(len(words))
-            found.extend(map(get, words, repeat(-1)))
-        words, sizes = np.array(found, np.int64), np.array(sizes, np.int64)
+            found.extend(map(self.pair, words))
+        words, sizes = np.array(found, np.int64).reshape(-1, 2), np.array(sizes, np.int64)
         spans = -(-sizes // WINDOW)
         place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         window = np.repeat(np.cumsum(spans) - spans, sizes) + place // WINDOW
+        words, window = words.reshape(-1), np.repeat(window, 2)
         known = words >= 0
         words, window = words[known], window[known]
         which, window = np.unique(window, return_inverse=True)
@@ -260,7 +276,7 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 def fitted(docs: DataFrame, labels: DataFrame, sample: int, k: int) -> Scorer:
     spark = docs.sparkSession
     rows, sizes = sample_rows(docs, labels, sample)
-    number = {w: i for i, w in enumerate(sorted({w for r in rows for w in words_of(r.text)}))}
+    number = {w: i for i, w in enumerate(sorted({w for r in rows for w in terms_of(r.text)}))}
     known = spark.sparkContext.broadcast(number)  # words of the bounded sample
     n, df = frequencies(docs, known) if number else (0, np.zeros(0))
     scorer = Scorer(rows, sizes, number, np.log((1 + n) / (1 + df)) + 1, k)

@@ -37,13 +37,14 @@ def brute_scores(docs, labels, k=NEIGHBOURS):
     for d, y in labels:
         toxic[d] = max(y, toxic.get(d, 0))
     train = [(d, t, toxic[d]) for d, t in sorted(docs) if d in toxic and zlib.crc32(str(d).encode()) % 5]
-    stem = lambda t: [w[:4] for w in re.findall(r"\w+", (t or "").lower())]
-    known = {w for _, t, _ in train for w in stem(t)}
-    df = Counter(w for _, t in docs for w in set(stem(t)) & known)
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    terms = lambda own: [*own, *[w[:4] + "^" for w in own if len(w) > 4]]
+    known = {w for _, t, _ in train for w in terms(words(t))}
+    df = Counter(w for _, t in docs for w in set(terms(words(t))) & known)
     idf = {w: math.log((1 + len(docs)) / (1 + df[w])) + 1 for w in known}
     examples = []
     for d, t, y in train:
-        v = {w: (1 + math.log(n)) * idf[w] for w, n in Counter(stem(t)).items()}
+        v = {w: (1 + math.log(n)) * idf[w] for w, n in Counter(terms(words(t))).items()}
         size = math.sqrt(sum(x * x for x in v.values())) or 1
         examples.append((d, y, {w: x / size for w, x in v.items()}))
     have = Counter(y for _, y, _ in examples)
@@ -52,9 +53,9 @@ def brute_scores(docs, labels, k=NEIGHBOURS):
     k = min(k, len(examples))
 
     def share(text, own=None):
-        words, shares = stem(text), []
-        for a in range(0, len(words), 8):
-            window = Counter(w for w in words[a : a + 8] if w in known)
+        own_words, shares = words(text), []
+        for a in range(0, len(own_words), 12):
+            window = Counter(w for w in terms(own_words[a : a + 12]) if w in known)
             if not window:
                 continue
             c = sorted(((sum(n * idf[w] * v.get(w, 0) for w, n in window.items()), y) for d, y, v in examples if d != own), reverse=True)
@@ -62,7 +63,7 @@ def brute_scores(docs, labels, k=NEIGHBOURS):
             near = [(x, y) for x, y in c if x > 1e-9 and x >= kth - 1e-7]
             total = sum(x * mass[y] for x, y in near)
             shares.append(min(1, len(near) / k) * sum(x * mass[y] for x, y in near if y) / total if total else 0)
-        lead = sorted(shares, reverse=True)[:3]
+        lead = sorted(shares, reverse=True)[:2]
         return sum(lead) / len(lead) if lead else 0.0
 
     own = {d: share(t, d) for d, t, _ in train}
@@ -72,7 +73,7 @@ def brute_scores(docs, labels, k=NEIGHBOURS):
 def test_shares_and_scores_against_brute_force(spark):
     r = random.Random(8)
     words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
-    docs = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60))) + (" trash loser" if i % 4 == 0 else "")) for i in range(120)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60))) + (r.choice(["", " trash", " trash loser", " trash loser filth scum" * 2]) if i % 4 == 0 else " trash" if i % 9 == 0 else "")) for i in range(120)]
     docs[7] = (7, None)
     labels = [(i, int(i % 4 == 0)) for i in range(100)] + [(4, 0), (4, 1)]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, share string").repartition(4)
@@ -84,7 +85,11 @@ def test_shares_and_scores_against_brute_force(spark):
     rows = sorted((x.share, x.score) for x in got.values())
     assert all(a[1] <= b[1] + 1e-9 for a, b in zip(rows, rows[1:], strict=False))
     x, y = isotonic(np.array([own[d] for d in train]), np.array([v[0] for v in train.values()]), np.array([v[1] for v in train.values()]))
-    assert all(abs(np.interp(v.share, x, y) - v.score) < 0.02 or 0 < v.score < 1 for v in got.values())
+    for d, v in got.items():  # at the share by plain sums, give or take what single precision loses
+        low, high = np.interp([shares[d] - 4e-4, shares[d] + 4e-4], x, y)
+        assert low - 1e-3 <= v.score <= high + 1e-3, (d, shares[d], low, v.score, high)
+        assert v.predicted == int(v.score >= 0.5)
+    assert len({round(v.score, 3) for v in got.values()}) > 3 and {v.predicted for v in got.values()} == {0, 1}
     assert all(v.evidence for d, v in got.items() if shares[d] > 0)
 
 
