@@ -37,7 +37,7 @@ SPACES = [*range(9, 14), *range(28, 33)]
 #: First bytes of characters that may be white space: C2 (U+0085, U+00A0), E1, E2, E3.
 SPACE_LEADS = [0xC2, 0xE1, 0xE2, 0xE3]
 #: Fragments that one worker remembers, and the longest of them in bytes.
-REMEMBERED, LONG = 400_000, 200
+REMEMBERED, LONG = 200_000, 100
 
 
 def vocabulary(path: str) -> tuple[list[bytes], list[str]]:
@@ -173,7 +173,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         encoder = worker_encoder(tokenizer)
-        for batch in text_batches(batches):
+        for batch in text_batches(batches, 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column(0), encoder.encode(batch.column(1))], ["doc_id", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
