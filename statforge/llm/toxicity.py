@@ -49,6 +49,8 @@ NEIGHBOURS = 16
 BLOCK = 256
 #: Windows compared at a time, and ids given as evidence.
 BATCH, EVIDENCE = 128, 8
+#: Words that a task remembers the numbers of.
+REMEMBERED = 300_000
 WORDS = re.compile(r"\w+")
 SCORED = "doc_id long, held_out boolean, score double, predicted int, share double, evidence array<long>"
 
@@ -87,17 +89,55 @@ def sample_rows(docs: DataFrame, labels: DataFrame, most: int) -> tuple[list, di
     return sorted(rows.select("doc_id", "toxic", "text").collect(), key=lambda r: r.doc_id), sizes
 
 
+class Numbers(dict):
+    """word -> numbers of those of its terms that are known, remembered for each word met."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        found = (self.known.get(word), self.known.get(stem(word)) if len(word) > STEM else None)
+        value = self[word] = tuple(i for i in found if i is not None)
+        return value
+
+
+class Pairs(dict):
+    """word -> its row in ``table()``, which has the numbers of its two terms, -1 where no
+    example has them."""
+
+    def __init__(self, known: dict[str, int]):
+        super().__init__()
+        self.known, self.rows = known, []
+
+    def __missing__(self, word: str) -> int:
+        self.rows.append((self.known.get(word, -1), self.known.get(stem(word), -1) if len(word) > STEM else -1))
+        value = self[word] = len(self.rows) - 1
+        return value
+
+    def table(self) -> np.ndarray:
+        return np.array(self.rows, np.int64).reshape(-1, 2)
+
+    def clear(self) -> None:
+        super().clear()
+        self.rows.clear()
+
+
 def frequencies(docs: DataFrame, number) -> tuple[int, np.ndarray]:
     """Number of all documents, and of those with each word (``number``: a broadcast dict)."""
     m = len(number.value)
 
     def run(batches):
         known, seen, n = number.value, np.zeros(m + 1, np.int64), 0
+        numbers = Numbers(known)
         for batch in text_batches(batches):
             texts = batch.column(0).to_pylist()
             n += len(texts)
             for text in texts:
-                seen[[known.get(w, m) for w in set(terms_of(text))]] += 1
+                held = {t for w in set(words_of(text)) for t in numbers[w]}
+                seen[np.fromiter(held, np.int64, len(held))] += 1
+            if len(numbers) > REMEMBERED:
+                numbers.clear()
         keys = np.flatnonzero(seen[:m])
         yield pa.RecordBatch.from_arrays([pa.array(np.append(keys, m)), pa.array(np.append(seen[keys], n))], ["word", "n"])
 
@@ -143,21 +183,30 @@ class BlockMaxIndex:
         to each window's own norm (-inf in blocks that can't hold one of the k largest and
         for example ``own``), and the k-th of them."""
         frequent = self.row[words] >= 0
+        # windows by falling number of frequent terms: the i-th of them adds to the first few only
+        sizes = np.bincount(window[frequent], minlength=n)
+        order = np.argsort(-sizes, kind="stable")
+        place_of = np.empty(n, np.int64)
+        place_of[order] = np.arange(n)
+        window = place_of[window]
         # the rows of each window's frequent terms, side by side; no matrix product, as its
         # threads would wait for one another within a task
         of = window[frequent]
-        place = np.arange(len(of)) - np.searchsorted(of, of)
-        slots = np.full((int(place.max(initial=-1)) + 1, n), len(self.top) - 1)
-        slots[place, of] = self.row[words[frequent]]
+        rows_of = self.row[words[frequent]]
+        by = np.argsort(of, kind="stable")
+        of, rows_of = of[by], rows_of[by]
+        slots = np.zeros((int(sizes.max(initial=0)), n), np.int64)
+        slots[np.arange(len(of)) - np.searchsorted(of, of), of] = rows_of
+        upto_slot = [int(np.count_nonzero(sizes > j)) for j in range(len(slots))]
         rare, where = words[~frequent], window[~frequent]
         size = self.start[rare + 1] - self.start[rare]
         upto = np.cumsum(size)
         posting = np.repeat(self.start[rare] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
-        base = np.zeros((n, self.blocks, self.block), np.float32)
-        np.add.at(base.reshape(-1), np.repeat(where * self.width, size) + self.example[posting], self.weight[posting])
+        at = np.repeat(where * self.width, size) + self.example[posting]
+        base = np.bincount(at, self.weight[posting], n * self.width).astype(np.float32).reshape(n, self.blocks, self.block)
         bounds = base.max(axis=2)
-        for slot in slots:
-            bounds += self.top[slot]
+        for slot, m in zip(slots, upto_slot, strict=True):
+            bounds[:m] += self.top[slot[:m]]
         bounds *= np.float32(1.0001)
         out = np.full((n, self.width), -np.inf, np.float32)
         best = np.full((n, k), -np.inf, np.float32)
@@ -166,15 +215,18 @@ class BlockMaxIndex:
             if not len(go):
                 continue
             s = base[go, b]
-            for slot in slots:
-                s += np.take(self.rows[b], slot[go], axis=0)
+            for slot, m in zip(slots, upto_slot, strict=True):
+                m = int(np.searchsorted(go, m))
+                s[:m] += np.take(self.rows[b], slot[go[:m]], axis=0)
             a, z = b * self.block, min(self.n, (b + 1) * self.block)
             s[:, z - a :] = -np.inf
             if a <= own < z:
                 s[:, own - a] = -np.inf
             out[go, a : a + self.block] = s
+            better = s.max(axis=1) > best[go, 0]
+            go, s = go[better], s[better]
             best[go] = np.partition(np.concatenate([best[go], s], axis=1), self.block, axis=1)[:, self.block :]
-        return out, best[:, 0]
+        return out[place_of], best[place_of, 0]
 
 
 class Scorer:
@@ -186,7 +238,7 @@ class Scorer:
             counts = Counter(terms_of(r.text))
             keys = np.array([number[w] for w in counts], np.int64)
             vectors.append((keys, unit(np.array(list(counts.values()), np.float64), idf[keys])))
-        self.number, self.k = number, max(1, min(k, len(rows)))
+        self.pairs, self.k = Pairs(number), max(1, min(k, len(rows)))
         self.index = BlockMaxIndex(vectors, idf)
         toxic = np.array([r.toxic for r in rows], np.float32)
         have = np.bincount(toxic.astype(np.int64), minlength=2)
@@ -198,19 +250,17 @@ class Scorer:
         self.labels, self.weights = toxic, mass
         self.knots = (np.zeros(1), np.zeros(1))
 
-    def pair(self, word: str) -> tuple[int, int]:
-        """Numbers of a word's two terms, -1 where no example has them."""
-        get = self.number.get
-        return get(word, -1), get(f"{word[:STEM]}^", -1) if len(word) > STEM else -1
-
     def windows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known terms of all texts, the window of each, and the text of each window."""
+        numbers = self.pairs
+        if len(numbers) > REMEMBERED:
+            numbers.clear()
         found, sizes = [], []
         for text in texts:
             words = words_of(text)
             sizes.append(len(words))
-            found.extend(map(self.pair, words))
-        words, sizes = np.array(found, np.int64).reshape(-1, 2), np.array(sizes, np.int64)
+            found.extend(map(numbers.__getitem__, words))
+        words, sizes = numbers.table()[np.array(found, np.int64)], np.array(sizes, np.int64)
         spans = -(-sizes // WINDOW)
         place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         window = np.repeat(np.cumsum(spans) - spans, sizes) + place // WINDOW
