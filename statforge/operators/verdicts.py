@@ -5,24 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_tag
+
 #: Scores from which a layer passes.
 PASSES = {"events": 0.9, "lineup": 0.9, "completeness": 0.95, "truth": 0.95}
 
 
-def anchors(snapshots: DataFrame, slot: list[str], fields: list[str]) -> DataFrame:
-    """slot and ``anchor``, the id of the snapshot that speaks for it: of the preferred
-    source if there is one, then with most fields read, then the newest (largest id)."""
+def anchors(snapshots: DataFrame, slot: list[str], fields: list[str], confidence: str) -> DataFrame:
+    """slot and ``anchor``, the id of the snapshot that speaks for it. Those of source 'loadout' come
+    first where there are any; among these, those whose gamertag (letters and digits) is the most
+    frequent one of the slot (the smallest of ties); then the largest ``confidence`` if any has
+    one, then the newest (largest id), as older rows may hold values that were filled in later. Only
+    where none has the frequent tag and none a confidence, the one with most ``fields`` read, the
+    oldest of ties."""
+    tag = plain_tag(F.col("gamertag"))
+    tags = snapshots.filter(tag != "").groupBy(*slot, tag.alias("_tag")).agg(F.count("*").alias("_n"))
+    usual = tags.groupBy(*slot).agg(F.min(F.struct((-F.col("_n")).alias("n"), "_tag")).alias("_u")).select(*slot, F.col("_u._tag").alias("_usual"))
+    rows = snapshots.join(usual, slot, "left")
+    matching, conf = F.coalesce(tag == F.col("_usual"), F.lit(False)), F.col(confidence).cast("double")
     read = sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0))
-    best = F.max(F.struct((F.col("source") == "loadout").alias("p"), read.alias("n"), "id")).alias("b")
-    return snapshots.groupBy(*slot).agg(best).select(*slot, F.col("b.id").alias("anchor"))
+    newest = matching | conf.isNotNull()
+    order = F.struct((F.col("source") == "loadout").alias("p"), matching.alias("m"), F.coalesce(conf, F.lit(-1.0)).alias("c"), F.when(newest, 0).otherwise(read).alias("n"), F.when(newest, F.col("id")).otherwise(-F.col("id")).alias("i"), "id")
+    return rows.groupBy(*slot).agg(F.max(order).alias("b")).select(*slot, F.col("b.id").alias("anchor"))
 
 
-def lineup_consensus(snapshots: DataFrame, slot: list[str], fields: list[str], preferred: list[str]) -> DataFrame:
+def lineup_consensus(snapshots: DataFrame, slot: list[str], fields: list[str], preferred: list[str], confidence: str) -> DataFrame:
     """One row a slot: its anchor and each field's value of the largest summed confidence
     (none: 1), the anchor's on ties, then that of the smallest id. For ``preferred`` fields
     only snapshots of source 'loadout' vote where any of them has a value. Votes are summed
     by value before a window ranks them. Snapshots: slot, id, source, fields, conf_<field>."""
-    found = anchors(snapshots, slot, fields)
+    found = anchors(snapshots, slot, fields, confidence)
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), F.coalesce(F.col(f"conf_{f}").cast("decimal(18,4)"), F.lit(1).cast("decimal(18,4)")).alias("weight")) for f in fields])
     rows = snapshots.join(found, slot).select(*slot, "id", "anchor", "source", F.inline(cells)).filter("value IS NOT NULL")
     seen = F.when(F.col("id") == F.col("anchor"), F.lit(-1)).otherwise(F.col("id"))

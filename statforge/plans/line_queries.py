@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import blended, body_weight, gaussian, hours_minutes, period_number, played_at, save_pct_text
 from ..functions.nulls import count_where, ratio, strict_sum
 from ..operators.evidence import is_gray
+from ..operators.rink import calibrations, located
 from ..sources.tables import EVENTS, MATCHES, events, matches, read
 from .registry import query
 
@@ -127,17 +128,34 @@ def scalar_formats(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT o_custkey, count(*) AS n, regr_slope(o_totalprice, o_orderkey % 100) AS a, regr_intercept(o_totalprice, o_orderkey % 100) AS b FROM orders GROUP BY 1)
-SELECT o_custkey, round(a, 2) AS slope, round(b, 1) AS intercept, round(greatest(0.0, least(99.0, (200000 - b) / nullif(a, 0))), 2) AS inverse, CASE WHEN a > 25 THEN 'up' WHEN a < -25 THEN 'down' WHEN a IS NOT NULL THEN 'flat' END AS zone FROM o WHERE n > 2""")
+SELECT o_custkey, round(a, 2) AS slope, round(b, 1) AS intercept, CASE WHEN a <> 0 THEN round(greatest(0.0, least(99.0, (200000 - b) / a)), 2) END AS inverse, CASE WHEN greatest(0.0, least(99.0, (200000 - b) / nullif(a, 0))) - 49.5 > 25 THEN 'offensive' WHEN greatest(0.0, least(99.0, (200000 - b) / nullif(a, 0))) - 49.5 < -25 THEN 'defensive' WHEN a <> 0 THEN 'neutral' END AS zone FROM o WHERE n > 2""")
 def axis_mapping(spark, sf_dir):
-    """A least-squares line, its inverse clamped to the axis, and a zone by slope."""
+    """A least-squares line, its inverse clamped to the axis, and the zone of that point from the middle."""
     x, y = F.col("o_orderkey") % 100, F.col("o_totalprice")
     o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.regr_slope(y, x).alias("a"), F.regr_intercept(y, x).alias("b")).filter("n > 2")
     inverse = F.greatest(F.lit(0.0), F.least(F.lit(99.0), (200000 - F.col("b")) / F.nullif("a", F.lit(0.0))))
     inverse = F.when(F.col("a").isNotNull(), inverse)
-    zone = F.when(F.col("a") > 25, "up").when(F.col("a") < -25, "down").when(F.col("a").isNotNull(), "flat")
+    inverse = F.when(F.col("a") != 0, inverse)
+    zone = F.when(inverse - 49.5 > 25, "offensive").when(inverse - 49.5 < -25, "defensive").when(inverse.isNotNull(), "neutral")
     return o.select("o_custkey", F.round("a", 2).alias("slope"), F.round("b", 1).alias("intercept"), F.round(inverse, 2).alias("inverse"), zone.alias("zone"))
 
 
+@query("""WITH l AS (SELECT DISTINCT o_custkey, o_orderkey % 97 AS px, o_orderkey % 53 AS py, o_orderkey % 97 - 40 AS hx, 20 - o_orderkey % 53 AS hy FROM orders WHERE o_orderstatus = 'F'),
+c AS (SELECT o_custkey, regr_intercept(px, hx / 100.0) AS cx, regr_slope(px, hx / 100.0) AS w, regr_intercept(py, -hy / 42.5) AS cy, regr_slope(py, -hy / 42.5) AS h FROM l GROUP BY 1),
+g AS (SELECT p.o_custkey, p.px AS ax, p.py AS ay, q.px AS bx, q.py AS by_ FROM l p JOIN l q USING (o_custkey) WHERE (p.px, p.py) <> (q.px, q.py)
+  AND NOT EXISTS (SELECT 1 FROM l r WHERE r.o_custkey = p.o_custkey AND (q.px - p.px) * (r.py - p.py) - (q.py - p.py) * (r.px - p.px) < 0)),
+m AS (SELECT o_custkey, o_orderkey, o_orderkey % 101 AS x0, o_orderkey % 59 AS y0 FROM orders WHERE o_orderstatus <> 'F'),
+z AS (SELECT m.*, greatest(-105.0, least(105.0, (x0 - cx) / w * 100)) * CASE WHEN o_custkey % 2 = 0 THEN -1 ELSE 1 END AS x, greatest(-45.0, least(45.0, -(y0 - cy) / h * 42.5)) AS y,
+  EXISTS (SELECT 1 FROM g WHERE g.o_custkey = m.o_custkey AND (bx - ax) * (y0 - ay) - (by_ - ay) * (x0 - ax) < 0) AS beyond FROM m JOIN c USING (o_custkey) WHERE w > 0 AND h > 0 AND NOT isnan(w) AND NOT isnan(h))
+SELECT o_custkey, o_orderkey, x0 AS pixel_x, y0 AS pixel_y, round(x, 2) AS x, round(y, 2) AS y, CASE WHEN round(x, 6) > 25 THEN 'offensive' WHEN round(x, 6) < -25 THEN 'defensive' ELSE 'neutral' END AS zone, CASE WHEN beyond THEN 0.3 ELSE 1.0 END AS confidence FROM z""")
+def rink_positions(spark, sf_dir):
+    """Open orders placed by the landmarks of their customer's finished ones."""
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    landmarks = o.filter("o_orderstatus = 'F'").select("o_custkey", (k % 97).alias("pixel_x"), (k % 53).alias("pixel_y"), (k % 97 - 40).alias("hockey_x"), (20 - k % 53).alias("hockey_y")).distinct()
+    markers = o.filter("o_orderstatus <> 'F'").select("o_custkey", "o_orderkey", (k % 101).alias("pixel_x"), (k % 59).alias("pixel_y"))
+    return located(markers, calibrations(landmarks, "o_custkey"), "o_custkey", F.col("o_custkey") % 2 == 0)
+
+
 #: Counters of which any, if not zero, shows that a player took part.
 ACTIVITY = {"skater": ["goals", "assists", "fow", "fol", "passes"], "goalie": ["saves", "ga"]}
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.payloads import field_rows, keep_field, match_rows, member_rows, parsed_matches, player_rows
+from ..operators.walking import walked_fields
 from ..sources.tables import read
 from .registry import query
 
@@ -99,3 +100,31 @@ def preserve_field(spark, sf_dir):
     stored = F.when(F.col("o_orderstatus") != "P", F.lit('{"note":"kept","score":"old"}'))
     incoming = F.to_json(F.struct(F.lit("new").alias("note"), text(F.col("o_custkey")).alias("score")))
     return read(spark, sf_dir, "orders").select("o_orderkey", keep_field(stored, incoming, "note", ["note", "score"]).alias("report"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, value, CASE WHEN value > 50 THEN round(value / 100, 3) END AS sure FROM events),
+f AS (SELECT event_id, '$.meta.title' AS path, event_type AS value, 'raw ' || event_type AS raw_text, CAST(0.5 AS DOUBLE) AS confidence, 'ok' AS status FROM e
+UNION ALL SELECT event_id, '$.sides.home.players[0].tag', 'u' || user_id, NULL, sure, 'ok' FROM e UNION ALL SELECT event_id, '$.sides.home.players[0].bio.build', NULL, NULL, NULL, 'missing' FROM e
+UNION ALL SELECT event_id, '$.sides.home.players[1].tag', 'v' || user_id, NULL, CAST(1 AS DOUBLE), 'ok' FROM e WHERE value > 50 UNION ALL SELECT event_id, '$.grid[0][' || n || ']', CAST(event_id % 7 + n AS VARCHAR), NULL, CAST(0.25 AS DOUBLE), 'ok' FROM e, range(2) r(n))
+SELECT * FROM f""")
+def nested_fields(spark, sf_dir):
+    """Fields at depths of two to five in objects and arrays of the same payloads."""
+    none = F.lit(None).cast("string")
+
+    def cell(value, confidence, status=F.lit("ok"), raw=none):
+        return F.struct(value.alias("value"), raw.alias("raw_text"), confidence.cast("double").alias("confidence"), status.alias("status"))
+
+    e = read(spark, sf_dir, "events")
+    sure, user = F.when(F.col("value") > 50, F.round(F.col("value") / 100, 3)), F.col("user_id").cast("string")
+    tag = lambda head, c: F.concat(F.lit(head), user) if c is None else F.when(c, F.concat(F.lit(head), user))
+    one = F.struct(cell(tag("u", None), sure).alias("tag"), F.struct(cell(none, F.lit(None), none).alias("build"), F.lit("x").alias("note")).alias("bio"))
+    two = F.struct(cell(tag("v", None), F.lit(1.0)).alias("tag"), F.struct(F.lit(None).cast(cell_type(e, cell)).alias("build"), F.lit("y").alias("note")).alias("bio"))
+    players = F.when(F.col("value") > 50, F.array(one, two)).otherwise(F.array(one))
+    grid = F.array(F.array(*[cell((F.col("event_id") % 7 + n).cast("string"), F.lit(0.25)) for n in range(2)]))
+    meta = F.struct(cell(F.col("event_type"), F.lit(0.5), raw=F.concat(F.lit("raw "), F.col("event_type"))).alias("title"), F.lit(3).alias("version"))
+    payload = F.to_json(F.struct(meta.alias("meta"), F.struct(F.struct(players.alias("players")).alias("home")).alias("sides"), grid.alias("grid")), {"ignoreNullFields": "false"})
+    return walked_fields(e.select("event_id", payload.alias("payload")), "event_id", "payload")
+
+
+def cell_type(df, cell):
+    return df.select(cell(F.lit("x"), F.lit(0.0)).alias("c")).schema["c"].dataType

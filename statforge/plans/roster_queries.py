@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import count_where
 from ..operators.joins import bound_alone, far_from, lineup_gate
 from ..operators.lineups import anchored, captains, closed_vocabulary, depth_chart, next_older, source_counts
+from ..operators.walking import rejection_climb
 from ..sources.tables import EVENTS, MATCHES, PLAYERS, events, matches, player_matches, read
 from .registry import query
 
@@ -229,14 +230,20 @@ def family_promotion(spark, sf_dir):
     return e.join(s, "match_id", "left").select("match_id", verdict.alias("verdict"))
 
 
-@query("""WITH bad AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_discount > 0.09), fam AS (SELECT DISTINCT l_orderkey, l_linenumber % 2 AS family FROM bad), m AS (SELECT l_orderkey FROM fam GROUP BY 1 HAVING count(*) = 2)
-SELECT o_orderkey, coalesce(n, 0) AS families, o_orderkey IN (SELECT l_orderkey FROM m) AS rejected FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM fam GROUP BY 1) f ON f.l_orderkey = o_orderkey""")
+@query("""WITH r AS (SELECT DISTINCT 'm' || l_orderkey AS m, 'm' || l_orderkey || '/f' || l_linenumber % 2 AS f, 'm' || l_orderkey || '/f' || l_linenumber % 2 || '/' || l_linenumber AS id FROM lineitem),
+b AS (SELECT DISTINCT 'm' || l_orderkey || '/f' || l_linenumber % 2 || '/' || l_linenumber AS id FROM lineitem WHERE l_returnflag = 'R'),
+f AS (SELECT DISTINCT f AS id, m, NOT EXISTS (SELECT 1 FROM r x WHERE x.f = r.f AND x.id NOT IN (SELECT id FROM b)) AS rejected FROM r),
+m AS (SELECT DISTINCT m AS id, NOT EXISTS (SELECT 1 FROM f x WHERE x.m = f.m AND NOT x.rejected) AS rejected FROM f)
+SELECT id, f AS parent, id IN (SELECT id FROM b) AS rejected, CASE WHEN id IN (SELECT id FROM b) THEN 0 END AS round FROM r UNION ALL SELECT id, m, rejected, CASE WHEN rejected THEN 1 END FROM f UNION ALL SELECT id, NULL, rejected, CASE WHEN rejected THEN 2 END FROM m""")
 def rejection_cascade(spark, sf_dir):
-    """Rejected rows reject their family; a match all of whose families fell is rejected."""
-    bad = read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_discount > 0.09")
-    families = bad.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.countDistinct(F.col("l_linenumber") % 2).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return read(spark, sf_dir, "orders").select("o_orderkey").join(families, "o_orderkey", "left").select("o_orderkey", n.alias("families"), (n == 2).alias("rejected"))
+    """Returned lines reject their family, and families their match, where no sibling stands."""
+    m = F.concat(F.lit("m"), F.col("l_orderkey").cast("string"))
+    f = F.concat(m, F.lit("/f"), (F.col("l_linenumber") % 2).cast("string"))
+    rows = read(spark, sf_dir, "lineitem").select(m.alias("m"), f.alias("f"), F.concat(f, F.lit("/"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_returnflag").eqNullSafe("R").alias("rejected"))
+    lines = rows.groupBy("id").agg(F.max("f").alias("parent"), F.bool_or("rejected").alias("rejected"))
+    families = rows.groupBy(F.col("f").alias("id")).agg(F.max("m").alias("parent"))
+    whole = rows.select(F.col("m").alias("id")).distinct().withColumn("parent", F.lit(None).cast("string"))
+    return rejection_climb(lines.unionByName(families.unionByName(whole).withColumn("rejected", F.lit(False))))
 
 
 @query("""WITH f AS (SELECT 'A' AS flag, count(*) AS n FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'B', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL

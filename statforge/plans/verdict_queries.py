@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.verdicts import faceoffs_verdict, family_promotion, final_gate, goals_verdict, lineup_consensus, match_layers, single_captains
+from ..operators.verdicts import anchors, faceoffs_verdict, family_promotion, final_gate, goals_verdict, lineup_consensus, match_layers, single_captains
 from ..sources.tables import read
 from .registry import query
 
 SNAPS = """s AS (SELECT event_id AS id, user_id AS match_id, value > 50 AS side, k % 3 AS position, CASE WHEN event_type IN ('click', 'purchase') THEN 'loadout' ELSE 'lobby' END AS source, 'p' || k % 4 AS gamertag,
-  CASE WHEN k % 7 > 0 THEN CAST(k % 10 AS VARCHAR) END AS number, event_type AS build, CASE WHEN k % 5 > 0 THEN CAST(k % 5 AS DECIMAL(18,4)) / 4 END AS conf FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))"""
-ANCHORS = "a AS (SELECT match_id, side, position, arg_max(id, (CASE WHEN source = 'loadout' THEN 1 ELSE 0 END, 2 + CASE WHEN number IS NULL THEN 0 ELSE 1 END, id)) AS anchor FROM s GROUP BY 1, 2, 3)"
+  CASE WHEN k % 7 > 0 THEN CAST(k % 10 AS VARCHAR) END AS number, event_type AS build, CASE WHEN k % 5 > 0 THEN CAST(k % 5 AS DECIMAL(18,4)) / 4 END AS conf, CASE WHEN user_id % 2 = 0 AND k % 5 > 0 THEN CAST(k % 5 AS DOUBLE) / 4 END AS sure FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events))"""
+#: Loadout rows first, then rows of the slot's usual tag, then by the build's confidence, then the newest;
+#: the count of fields only where neither tag nor confidence tells.
+ANCHORS = """u AS (SELECT match_id, side, position, tag AS usual FROM (SELECT match_id, side, position, regexp_replace(lower(gamertag), '[^a-z0-9]', '', 'g') AS tag, count(*) AS n FROM s GROUP BY 1, 2, 3, 4) WHERE tag <> ''
+  QUALIFY row_number() OVER (PARTITION BY match_id, side, position ORDER BY n DESC, tag) = 1),
+x AS (SELECT s.*, source = 'loadout' AS own, coalesce(regexp_replace(lower(gamertag), '[^a-z0-9]', '', 'g') = usual, false) AS fits, 1 + CASE WHEN gamertag IS NULL THEN 0 ELSE 1 END + CASE WHEN number IS NULL THEN 0 ELSE 1 END AS n FROM s LEFT JOIN u USING (match_id, side, position)),
+y AS (SELECT * FROM (SELECT *, bool_or(own) OVER g AS any_own FROM x WINDOW g AS (PARTITION BY match_id, side, position)) WHERE own OR NOT any_own),
+z AS (SELECT * FROM (SELECT *, bool_or(fits) OVER g AS any_fits FROM y WINDOW g AS (PARTITION BY match_id, side, position)) WHERE fits OR NOT any_fits),
+a AS (SELECT match_id, side, position, id AS anchor FROM (SELECT *, bool_or(sure IS NOT NULL) OVER g AS any_sure FROM z WINDOW g AS (PARTITION BY match_id, side, position))
+  QUALIFY row_number() OVER (PARTITION BY match_id, side, position ORDER BY CASE WHEN any_sure THEN sure END DESC NULLS LAST, CASE WHEN any_sure OR any_fits THEN id END DESC, n DESC, id) = 1)"""
 
 
 def snapshots(spark, sf_dir):
@@ -19,7 +27,7 @@ def snapshots(spark, sf_dir):
     conf = F.when(k % 5 > 0, k % 5 / 4)
     return e.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("match_id"), (F.col("value") > 50).alias("side"), (k % 3).alias("position"), F.when(F.col("event_type").isin("click", "purchase"), "loadout").otherwise("lobby").alias("source"),
-        F.concat(F.lit("p"), (k % 4).cast("string")).alias("gamertag"), F.when(k % 7 > 0, (k % 10).cast("string")).alias("number"), F.col("event_type").alias("build"), *[conf.alias(f"conf_{f}") for f in ("gamertag", "number", "build")],
+        F.concat(F.lit("p"), (k % 4).cast("string")).alias("gamertag"), F.when(k % 7 > 0, (k % 10).cast("string")).alias("number"), F.col("event_type").alias("build"), F.when(F.col("user_id") % 2 == 0, conf).alias("sure"), *[conf.alias(f"conf_{f}") for f in ("gamertag", "number", "build")],
     )
 
 
@@ -29,7 +37,7 @@ t AS (SELECT match_id, side, position, field, v, sum(coalesce(conf, 1)) AS w, mi
 b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY match_id, side, position, field ORDER BY w DESC, seen) = 1)
 SELECT match_id, side, position, anchor, max(v) FILTER (field = 'gamertag') AS gamertag, max(v) FILTER (field = 'number') AS number, max(v) FILTER (field = 'build') AS build FROM a LEFT JOIN b USING (match_id, side, position) GROUP BY 1, 2, 3, 4""")
 def lineup_votes(spark, sf_dir):
-    return lineup_consensus(snapshots(spark, sf_dir), ["match_id", "side", "position"], ["gamertag", "number", "build"], ["gamertag", "number"])
+    return lineup_consensus(snapshots(spark, sf_dir), ["match_id", "side", "position"], ["gamertag", "number", "build"], ["gamertag", "number"], "sure")
 
 
 @query(f"""WITH {SNAPS}, {ANCHORS}, d AS (SELECT match_id, side, position, gamertag, number, CASE WHEN id = anchor THEN build END AS build, id, conf FROM s JOIN a USING (match_id, side, position)),
@@ -39,7 +47,7 @@ def lineup_read_model(spark, sf_dir):
     """A player once a side, details from the first frame that has them, one captain."""
     s = snapshots(spark, sf_dir)
     slot = ["match_id", "side", "position"]
-    a = s.groupBy(*slot).agg(F.max(F.struct((F.col("source") == "loadout").alias("p"), F.col("number").isNotNull().alias("n"), "id")).alias("b")).select(*slot, F.col("b.id").alias("anchor"))
+    a = anchors(s, slot, ["gamertag", "number", "build"], "sure")
     d = s.join(a, slot).withColumn("build", F.when(F.col("id") == F.col("anchor"), F.col("build")))
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
     o = d.groupBy("match_id", "side", "gamertag").agg(F.min("position").alias("position"), first("number"), first("build"), F.max("conf_gamertag").alias("star"), F.count("*").alias("frames"))
