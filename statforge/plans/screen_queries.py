@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import seconds_of
 from ..functions.nulls import ratio
+from ..operators.bundles import deduplicated_in_order, subject_bundles
 from ..operators.classify import classified, fitted
 from ..operators.screens import aligned_subjects, away_side, density_radius, drain_decision, existing_events, filled_rows, recorded_at, without_junk
 from ..sources.tables import MATCHES, PLAYERS, matches, player_matches, read
@@ -191,6 +192,27 @@ def anchor_rows(spark, sf_dir):
     return filled_rows(seen, ["match_id"], 6, 88.0, 60.0, 540.0)
 
 
+@query(f"""WITH RECURSIVE {READINGS}, o AS (SELECT id, user_id AS g, {SNAP.format(c='actor')} AS tag, CASE WHEN value > 20 THEN actor_id END AS position, CASE WHEN value > 90 THEN actor_id END AS jersey FROM r),
+d AS (SELECT g, tag, position, jersey, min(id) AS id FROM o GROUP BY ALL),
+e AS (SELECT a.g, a.id AS u, b.id AS v, least(6, length(a.tag), length(b.tag)) AS n, a.tag AS s, b.tag AS t, (a.position <> b.position) IS TRUE OR (a.jersey <> b.jersey) IS TRUE AS clash FROM d a JOIN d b ON a.g = b.g AND a.id <> b.id),
+l AS (SELECT u, v FROM e WHERE s = t OR (n >= 3 AND (levenshtein(left(s, n), left(t, n)) < 2 OR (levenshtein(left(s, n), left(t, n)) = 2 AND NOT clash)))),
+reach AS (SELECT id AS a, id AS b FROM d UNION SELECT reach.a, l.v FROM reach JOIN l ON reach.b = l.u),
+c AS (SELECT a, min(b) AS bundle FROM reach GROUP BY 1)
+SELECT o.id, c.bundle FROM o JOIN d ON o.g = d.g AND o.tag = d.tag AND o.position IS NOT DISTINCT FROM d.position AND o.jersey IS NOT DISTINCT FROM d.jersey JOIN c ON c.a = d.id""")
+def subject_bundling(spark, sf_dir):
+    """Which readings of a user's events show the same subject."""
+    v = F.col("value")
+    seen = readings(spark, sf_dir).select("id", "user_id", F.col("actor").alias("gamertag"), F.when(v > 20, F.col("actor_id")).alias("position"), F.when(v > 90, F.col("actor_id")).alias("jersey"))
+    return subject_bundles(seen, "user_id")
+
+
+@query()
+def run_duplicates(spark, sf_dir):
+    """Events of a run against stored ones and those inserted before them."""
+    r = readings(spark, sf_dir).withColumns({"x": F.when(F.col("value") > 30, F.col("value") / 20), "y": F.lit(1.0)})
+    return deduplicated_in_order(r.filter("value >= 80"), r.filter("value < 80"), ["user_id", "event_type", "clock"], "id")
+
+
 @query()
 def subject_alignment(spark, sf_dir):
     """True subjects of a match: its players; predicted slots: their names with a letter lost."""

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..sources.tables import new_rows, replace_partitions
 
@@ -22,10 +21,11 @@ RAW = T.StructType([T.StructField("title", T.LongType()), T.StructField("match_i
 
 
 def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing written yet
+    """The rows at ``path``, none if nothing is there yet; any other fault is raised."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def parsed(raw: DataFrame) -> DataFrame:
