@@ -38,11 +38,11 @@ def band_join(spark, sf_dir):
     return band_pairs(e, ["user_id", "day"], "value", "event_id", 1).select("user_id", "a", "b")
 
 
-@query(f"""WITH {EVENTS}, g AS (SELECT user_id, list(event_id) AS ids FROM ev WHERE event_type = 'purchase' GROUP BY 1)
-SELECT DISTINCT user_id FROM g WHERE len(list_filter(ids, lambda i: i % 7 = 0)) > 0""")
+@query(f"""WITH {EVENTS}, g AS (SELECT user_id, list(event_id) AS ids FROM ev WHERE event_type = 'purchase' GROUP BY 1), w AS (SELECT list(event_id) AS evidence FROM ev WHERE value > 95)
+SELECT DISTINCT user_id FROM g, w WHERE list_has_any(ids, evidence)""")
 def array_semi(spark, sf_dir):
     e = events(spark, sf_dir)
-    evidence = e.filter("event_id % 7 = 0").select("event_id")
+    evidence = e.filter("value > 95").select("event_id")
     return e.filter("event_type = 'purchase'").join(evidence, "event_id", "left_semi").select("user_id").distinct()
 
 

@@ -102,7 +102,7 @@ def preserve_field(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", keep_field(stored, incoming, "note", ["note", "score"]).alias("report"))
 
 
-@query("""WITH e AS (SELECT event_id, user_id, event_type, value, CASE WHEN value > 50 THEN round(value / 100, 3) END AS sure FROM events),
+@query("""WITH e AS (SELECT event_id, user_id, event_type, value, CASE WHEN value > 50 THEN floor(value) / 128 END AS sure FROM events),
 f AS (SELECT event_id, '$.meta.title' AS path, event_type AS value, 'raw ' || event_type AS raw_text, CAST(0.5 AS DOUBLE) AS confidence, 'ok' AS status FROM e
 UNION ALL SELECT event_id, '$.sides.home.players[0].tag', 'u' || user_id, NULL, sure, 'ok' FROM e UNION ALL SELECT event_id, '$.sides.home.players[0].bio.build', NULL, NULL, NULL, 'missing' FROM e
 UNION ALL SELECT event_id, '$.sides.home.players[1].tag', 'v' || user_id, NULL, CAST(1 AS DOUBLE), 'ok' FROM e WHERE value > 50 UNION ALL SELECT event_id, '$.grid[0][' || n || ']', CAST(event_id % 7 + n AS VARCHAR), NULL, CAST(0.25 AS DOUBLE), 'ok' FROM e, range(2) r(n))
@@ -115,7 +115,7 @@ def nested_fields(spark, sf_dir):
         return F.struct(value.alias("value"), raw.alias("raw_text"), confidence.cast("double").alias("confidence"), status.alias("status"))
 
     e = read(spark, sf_dir, "events")
-    sure, user = F.when(F.col("value") > 50, F.round(F.col("value") / 100, 3)), F.col("user_id").cast("string")
+    sure, user = F.when(F.col("value") > 50, F.floor("value") / 128), F.col("user_id").cast("string")
     tag = lambda head, c: F.concat(F.lit(head), user) if c is None else F.when(c, F.concat(F.lit(head), user))
     one = F.struct(cell(tag("u", None), sure).alias("tag"), F.struct(cell(none, F.lit(None), none).alias("build"), F.lit("x").alias("note")).alias("bio"))
     two = F.struct(cell(tag("v", None), F.lit(1.0)).alias("tag"), F.struct(F.lit(None).cast(cell_type(e, cell)).alias("build"), F.lit("y").alias("note")).alias("bio"))

@@ -29,12 +29,12 @@ def like_patterns(spark, sf_dir):
     )
 
 
-RUNS = f"{EVENTS}, x AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS run_id FROM ev), active AS (SELECT c_custkey AS run_id FROM customer WHERE c_custkey % 3 = 0)"
+RUNS = f"{EVENTS}, x AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN user_id END AS run_id FROM ev), active AS (SELECT c_custkey AS run_id FROM customer WHERE c_acctbal > 3000)"
 
 
 def runs(spark, sf_dir):
     x = events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("run_id"))
-    return x, read(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("run_id"))
+    return x, read(spark, sf_dir, "customer").filter("c_acctbal > 3000").select(F.col("c_custkey").alias("run_id"))
 
 
 @query(f"WITH {RUNS} SELECT event_id, run_id FROM x WHERE run_id IS NULL OR run_id IN (SELECT run_id FROM active)")
@@ -77,22 +77,22 @@ def playlist_modes(spark, sf_dir):
     return g.filter("gp > 0").select("mode", F.when(m == "3-MEDIUM", "3s").otherwise("6s").alias("playlist"), "gp")
 
 
-LINEUP = "lineup AS (SELECT o_orderkey AS match_id, o_custkey % 20 AS player_id FROM orders WHERE o_orderkey % 3 <> 0)"
+LINEUP = "lineup AS (SELECT o_orderkey AS match_id, o_custkey % 20 AS player_id FROM orders WHERE o_orderpriority <> '1-URGENT')"
 
 
 @query(f"""WITH {PLAYERS}, {LINEUP}, a AS (SELECT match_id, player_id, player_id % 20 AS who FROM pm), n AS (SELECT match_id, count(*) AS size FROM lineup GROUP BY 1)
 SELECT a.match_id, a.player_id, CASE WHEN n.size IS NULL THEN 'empty_lineup_passthrough' WHEN l.match_id IS NULL THEN 'roster_mismatch' ELSE 'ok' END AS gate
 FROM a LEFT JOIN n USING (match_id) LEFT JOIN lineup l ON l.match_id = a.match_id AND l.player_id = a.who""")
 def lineup_identity_gate(spark, sf_dir):
-    lineup = read(spark, sf_dir, "orders").filter("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("match_id"), (F.col("o_custkey") % 20).alias("who"))
+    lineup = read(spark, sf_dir, "orders").filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("match_id"), (F.col("o_custkey") % 20).alias("who"))
     actors = player_matches(spark, sf_dir).select("match_id", "player_id", (F.col("player_id") % 20).alias("who"))
     return lineup_gate(actors, lineup, "match_id", "who").select("match_id", "player_id", "gate")
 
 
-@query("""WITH l AS (SELECT o_custkey, max(o_orderkey) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 HAVING count(*) = 1), r AS (SELECT o_custkey, max(o_orderkey) AS b FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1 HAVING count(*) = 1)
-SELECT o_custkey AS bucket, a, b FROM l JOIN r USING (o_custkey)""")
+@query("""WITH o AS (SELECT o_custkey || '/' || o_orderpriority AS bucket, o_orderkey, o_orderstatus = 'F' AS f FROM orders), l AS (SELECT bucket, max(o_orderkey) AS a FROM o WHERE f GROUP BY 1 HAVING count(*) = 1), r AS (SELECT bucket, max(o_orderkey) AS b FROM o WHERE NOT f GROUP BY 1 HAVING count(*) = 1)
+SELECT bucket, a, b FROM l JOIN r USING (bucket)""")
 def eliminate_one_to_one(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("bucket"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"))
+    o = read(spark, sf_dir, "orders").select(F.concat_ws("/", F.col("o_custkey").cast("string"), "o_orderpriority").alias("bucket"), F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("s"))
     return bound_alone(o.filter("s = 'F'").select("bucket", F.col("id").alias("a")), o.filter("s <> 'F'").select("bucket", F.col("id").alias("b")), "bucket", "a", "b")
 
 
