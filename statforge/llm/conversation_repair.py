@@ -3,7 +3,7 @@
 Turns stand in order of conversation, turn (nulls first), role and text after one range
 shuffle, which splits a conversation of any size over tasks; the row's place in that order
 is its id. A window marks repeated turns. Turns then shrink to (id, role class, fault) and are
-folded in blocks of at most ``BLOCK`` by ``aggregate``, which carries four (cost, audit)
+folded in blocks of at most 2 ** ``BLOCK_BITS`` by ``aggregate``, which carries four (cost, audit)
 structs, one for each state of the grammar ``(system? (user assistant)+)?``, through ``least``.
 A block that may continue a conversation is folded from every state, so that blocks compose:
 a second fold over the blocks of each conversation picks the cheapest repair. Only those
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import staged, table
 
-NOT_SPACE = r"[^\x20\x09-\x0D]"
 #: Costs of the edits; fixed values of the task.
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 NEVER = 1 << 40
