@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.clock import from_epoch
 from .evidence import whole_number, whole_number_or_null
 
-CLUB = "struct<score:string,goals:string,result:string,winnerByDnf:string,winnerByGoalieDnf:string,name:string,details:struct<name:string>,toa:string,cNhlOnlineGameType:string,passa:string,passc:string,ppg:string,ppo:string,teamSide:string>"
+CLUB = "struct<score:string,goals:string,result:string,winnerByDnf:string,winnerByGoalieDnf:string,name:string,details:struct<name:string>,toa:string,timeOnAttack:string,cNhlOnlineGameType:string,passa:string,passc:string,ppg:string,ppo:string,teamSide:string>"
 PAYLOAD = f"matchId string, timestamp string, clubs map<string,{CLUB}>, aggregate map<string,map<string,string>>, players map<string,map<string,map<string,string>>>"
 #: Codes of game types and of results.
 MODES = {"5": "6s", "10": "6s", "200": "3s"}
@@ -20,6 +20,8 @@ COUNTERS = {
     "giveaways": "skgiveaways", "faceoff_wins": "skfow", "faceoff_losses": "skfol", "pass_attempts": "skpassattempts", "shot_attempts": "skshotattempts",
     "blocked_shots": "skbs", "pp_goals": "skppg", "sh_goals": "skshg", "interceptions": "skinterceptions", "possession": "skpossession",
 }
+#: Columns of both sides of a match that stand in the club's own fields.
+CLUB_NUMBERS = {"pass_attempts": "passa", "pass_completions": "passc", "pp_goals": "ppg", "pp_opportunities": "ppo"}
 GOALIE_COUNTERS = {"saves": "glsaves", "goals_against": "glga", "shots_against": "glshots", "breakaway_saves": "glbrksaves", "desperation_saves": "gldsaves", "poke_checks": "glpokechecks"}
 
 
@@ -52,6 +54,11 @@ def first_number(values: Column, *keys: str) -> Column:
     return F.coalesce(*[whole_number_or_null(values[k]) for k in keys], F.lit(0).cast("long"))
 
 
+def positive(number: Column) -> Column:
+    """Null where a total was never recorded, which payloads write as 0."""
+    return F.when(number > 0, number)
+
+
 def match_rows(parsed: DataFrame) -> DataFrame:
     """One row for each readable match of ``parsed_matches``."""
     a, b = (F.element_at("p.clubs", F.col(c)) for c in ("ours", "theirs"))
@@ -68,9 +75,9 @@ def match_rows(parsed: DataFrame) -> DataFrame:
         from_epoch(whole_number_or_null(F.col("p.timestamp"))).alias("played_at"), result_of(a, b).alias("result"), score_of(a).alias("score_for"), score_of(b).alias("score_against"),
         F.when(side == 0, True).when(side == 1, False).alias("was_home"), first_number(x, "shots", "skshots").alias("shots_for"), first_number(y, "shots", "skshots").alias("shots_against"),
         first_number(x, "hits", "skhits").alias("hits_for"), first_number(y, "hits", "skhits").alias("hits_against"), pct.alias("faceoff_pct"),
-        F.nullif(F.greatest(first_number(F.create_map(F.lit("toa"), a["toa"]), "toa"), F.lit(0).cast("long")), F.lit(0).cast("long")).alias("time_on_attack"),
-        F.nullif(F.greatest(first_number(x, "pim", "skpim"), F.lit(0).cast("long")), F.lit(0).cast("long")).alias("penalty_minutes"),
-        code.alias("game_type"), mode.alias("game_mode"), whole_number_or_null(a["passa"]).alias("pass_attempts"), whole_number_or_null(a["passc"]).alias("pass_completions"),
+        positive(first_number(a, "toa", "timeOnAttack")).alias("time_on_attack"), positive(first_number(b, "toa", "timeOnAttack")).alias("time_on_attack_against"),
+        positive(first_number(x, "pim", "skpim")).alias("penalty_minutes"), positive(first_number(y, "pim", "skpim")).alias("penalty_minutes_against"),
+        code.alias("game_type"), mode.alias("game_mode"), *[whole_number_or_null(club[f]).alias(f"{c}{end}") for club, end in ((a, ""), (b, "_against")) for c, f in CLUB_NUMBERS.items()],
     )
 
 

@@ -28,16 +28,17 @@ def match_payloads(spark, sf_dir):
     x = x.select("l_orderkey", "l_linestatus", "q", key.alias("key"), player.alias("player")).dropDuplicates(["l_orderkey", "l_linestatus", "key"])
     side = lambda s: F.map_from_entries(F.collect_list(F.when(F.col("l_linestatus") == s, F.struct("key", "player"))))
     shots = lambda s: text(F.coalesce(F.sum(F.when(F.col("l_linestatus") == s, F.col("q"))), F.lit(0)))
-    g = x.groupBy("l_orderkey").agg(side("F").alias("f"), side("O").alias("o"), shots("F").alias("sf"), shots("O").alias("so"))
+    minutes = lambda s: text(F.sum(F.when(F.col("l_linestatus") == s, F.col("q") % 5)))
+    g = x.groupBy("l_orderkey").agg(side("F").alias("f"), side("O").alias("o"), shots("F").alias("sf"), shots("O").alias("so"), minutes("F").alias("pf"), minutes("O").alias("po"))
     o = read(spark, sf_dir, "orders").join(g, F.col("o_orderkey") == F.col("l_orderkey"))
     n = F.col("o_orderkey")
     club = lambda score, **more: F.struct(text(score).alias("score"), *[v.alias(k) for k, v in more.items()])
     code = F.when(F.col("o_orderstatus") == "P", "6").when(F.col("o_orderstatus") == "F", "16385").otherwise(F.lit("10"))
     clubs = F.struct(
-        club(n % 7, result=code, cNhlOnlineGameType=F.when(n % 3 == 0, "200").when(n % 3 == 1, "5"), teamSide=F.when(n % 2 == 0, "0").otherwise("1"), toa=text(n % 4)).alias("1"),
-        club(n % 5, winnerByDnf=F.when(F.col("o_orderpriority") == "5-LOW", "1"), details=F.struct(F.concat(F.lit("club "), text(F.col("o_custkey"))).alias("name"))).alias("2"),
+        club(n % 7, result=code, cNhlOnlineGameType=F.when(n % 3 == 0, "200").when(n % 3 == 1, "5"), teamSide=F.when(n % 2 == 0, "0").otherwise("1"), toa=text(n % 4), passa=text(n % 50), passc=F.when(n % 3 > 0, text(n % 40)), ppg=text(n % 3), ppo=F.when(n % 5 == 0, "").otherwise(text(n % 4))).alias("1"),
+        club(n % 5, winnerByDnf=F.when(F.col("o_orderpriority") == "5-LOW", "1"), details=F.struct(F.concat(F.lit("club "), text(F.col("o_custkey"))).alias("name")), timeOnAttack=text(n % 6), passa=F.when(n % 7 > 0, text(n % 60)), passc=text(n % 30), ppg=F.when(n % 9 == 0, "none").otherwise(text(n % 2)), ppo=text(n % 8)).alias("2"),
     )
-    aggregate = F.struct(F.struct(F.col("sf").alias("skshots")).alias("1"), F.struct(F.col("so").alias("skshots")).alias("2"))
+    aggregate = F.struct(F.struct(F.col("sf").alias("skshots"), F.col("pf").alias("skpim")).alias("1"), F.struct(F.col("so").alias("skshots"), F.col("po").alias("pim")).alias("2"))
     payload = F.to_json(F.struct(F.concat(F.lit("m"), text(n)).alias("matchId"), text(F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).alias("timestamp"), clubs.alias("clubs"), aggregate.alias("aggregate"), F.struct(F.col("f").alias("1"), F.col("o").alias("2")).alias("players")))
     return parsed_matches(o.select(payload.alias("payload")), F.lit("1"))
 
@@ -48,13 +49,16 @@ FLAGS = "y AS (SELECT l_orderkey, l_linestatus, l_linenumber, l_suppkey, l_partk
 
 
 @query(f"""WITH {LINES}, s AS (SELECT l_orderkey, coalesce(sum(q) FILTER (l_linestatus = 'F'), 0) AS sf, coalesce(sum(q) FILTER (l_linestatus = 'O'), 0) AS so,
-  coalesce(sum(l_linenumber) FILTER (l_linestatus = 'F'), 0) AS wf, coalesce(sum(l_linenumber) FILTER (l_linestatus = 'O'), 0) AS wo, coalesce(sum(q % 3) FILTER (l_linestatus = 'F'), 0) AS lf, coalesce(sum(q % 3) FILTER (l_linestatus = 'O'), 0) AS lo FROM x GROUP BY 1),
+  coalesce(sum(l_linenumber) FILTER (l_linestatus = 'F'), 0) AS wf, coalesce(sum(l_linenumber) FILTER (l_linestatus = 'O'), 0) AS wo, coalesce(sum(q % 3) FILTER (l_linestatus = 'F'), 0) AS lf, coalesce(sum(q % 3) FILTER (l_linestatus = 'O'), 0) AS lo,
+  sum(q % 5) FILTER (l_linestatus = 'F') AS pf, sum(q % 5) FILTER (l_linestatus = 'O') AS po FROM x GROUP BY 1),
 f AS (SELECT *, greatest(wf, lo) AS w, greatest(lf, wo) AS l FROM s)
 SELECT 'm' || o_orderkey AS match_id, '2' AS opponent_club_id, 'club ' || o_custkey AS opponent_name, CAST(epoch(o_orderdate) AS BIGINT) AS played_at,
   CASE WHEN o_orderstatus = 'P' THEN 'OTL' WHEN o_orderstatus = 'F' OR o_orderkey % 7 > o_orderkey % 5 THEN 'WIN' WHEN o_orderpriority = '5-LOW' THEN 'DNF' ELSE 'LOSS' END AS result,
   o_orderkey % 7 AS score_for, o_orderkey % 5 AS score_against, o_orderkey % 2 = 0 AS was_home, CAST(sf AS BIGINT) AS shots_for, CAST(so AS BIGINT) AS shots_against, CAST(0 AS BIGINT) AS hits_for, CAST(0 AS BIGINT) AS hits_against,
-  CASE WHEN w + l > 0 THEN CAST(round(CAST(w AS DECIMAL(20,0)) * 100 / CAST(w + l AS DECIMAL(20,0)), 2) AS DOUBLE) END AS faceoff_pct, CAST(nullif(o_orderkey % 4, 0) AS BIGINT) AS time_on_attack, CAST(NULL AS BIGINT) AS penalty_minutes,
-  CAST(CASE o_orderkey % 3 WHEN 0 THEN 200 WHEN 1 THEN 5 END AS BIGINT) AS game_type, CASE o_orderkey % 3 WHEN 0 THEN '3s' WHEN 1 THEN '6s' END AS game_mode, CAST(NULL AS BIGINT) AS pass_attempts, CAST(NULL AS BIGINT) AS pass_completions
+  CASE WHEN w + l > 0 THEN CAST(round(CAST(w AS DECIMAL(20,0)) * 100 / CAST(w + l AS DECIMAL(20,0)), 2) AS DOUBLE) END AS faceoff_pct, CAST(nullif(o_orderkey % 4, 0) AS BIGINT) AS time_on_attack, CAST(nullif(o_orderkey % 6, 0) AS BIGINT) AS time_on_attack_against,
+  CAST(nullif(pf, 0) AS BIGINT) AS penalty_minutes, CAST(nullif(po, 0) AS BIGINT) AS penalty_minutes_against,
+  CAST(CASE o_orderkey % 3 WHEN 0 THEN 200 WHEN 1 THEN 5 END AS BIGINT) AS game_type, CASE o_orderkey % 3 WHEN 0 THEN '3s' WHEN 1 THEN '6s' END AS game_mode, o_orderkey % 50 AS pass_attempts, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 40 END AS pass_completions, o_orderkey % 3 AS pp_goals, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 4 END AS pp_opportunities,
+  CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 60 END AS pass_attempts_against, o_orderkey % 30 AS pass_completions_against, CASE WHEN o_orderkey % 9 > 0 THEN o_orderkey % 2 END AS pp_goals_against, o_orderkey % 8 AS pp_opportunities_against
 FROM orders JOIN f ON o_orderkey = l_orderkey""")
 def payload_matches(spark, sf_dir):
     return match_rows(match_payloads(spark, sf_dir)).withColumn("played_at", F.unix_timestamp("played_at"))
