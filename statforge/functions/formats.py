@@ -48,5 +48,24 @@ def period_number(label: Column) -> Column:
 
 def body_weight(c: Column) -> Column:
     """Pounds from 140 to 275 that a text names, else null."""
-    n = F.nullif(F.regexp_extract(c, r"(\d{3})", 1), F.lit("")).cast("int")
+    n = F.nullif(F.regexp_extract(c, r"(\d{2,3})", 1), F.lit("")).cast("int")
     return F.when(n.between(140, 275), n)
+
+
+def handedness(c: Column) -> Column:
+    """Left or Right where a text says so, else null."""
+    t = F.lower(c)
+    return F.when(t.contains("left"), "Left").when(t.contains("right"), "Right")
+
+
+def height_text(c: Column) -> Column:
+    """Feet and inches like 5'8\" of a text that still has its foot mark, else null."""
+    feet, inches = (F.regexp_extract(c, r"(\d)\s*'\s*(\d{1,2})", i) for i in (1, 2))
+    return F.when(feet != "", F.concat(feet, F.lit("'"), inches, F.lit('"')))
+
+
+def level_parts(c: Column) -> tuple[Column, Column]:
+    """Prestige and level of 'P2LVL41' or 'LVL 7' (no prestige), else nulls."""
+    part = lambda pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit("")).cast("long")
+    both = r"(?i)P(\d+)\s*LVL\s*(\d+)"
+    return part(both, 1), F.coalesce(part(both, 2), part(r"(?i)LVL\s*(\d+)", 1))
