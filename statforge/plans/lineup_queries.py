@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.ladders import rekeyed
 from ..operators.lineup_reads import lineup_slots, recovered_bio
 from ..sources.tables import read
 from .registry import query
@@ -77,3 +78,22 @@ def lineup_shown(spark, sf_dir):
     rows = lineup_slots(*frames(spark, sf_dir))
     line = lambda a, *fields: F.array_join(F.transform(a, lambda x: F.concat_ws(":", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])), " ")
     return rows.withColumns({"traits": line("traits", "place", "name", "tier"), "attributes": line("attributes", "key", "value", "delta")})
+
+
+@query("""WITH e AS (SELECT event_id AS id, user_id AS match_id, CASE WHEN value > 50 THEN 'for' ELSE 'against' END AS side, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+r AS (SELECT *, CASE k % 7 WHEN 0 THEN 'C' WHEN 1 THEN 'LW' WHEN 2 THEN 'RW' WHEN 3 THEN 'LD' WHEN 4 THEN 'RD' WHEN 5 THEN 'G' END AS position, CASE WHEN id % 3 = 0 THEN k % 40 END AS player_id, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 5 > 0 THEN 1 ELSE 0 END AS detail FROM e WHERE event_type IN ('click', 'view', 'error')),
+s AS (SELECT *, CASE k % 7 WHEN 0 THEN 'center' WHEN 1 THEN 'leftWing' WHEN 2 THEN 'rightWing' WHEN 3 THEN 'defenseMen' WHEN 4 THEN 'goalie' WHEN 5 THEN 'bench' END AS place, CASE WHEN id % 2 = 0 THEN k % 40 END AS player_id FROM e WHERE event_type IN ('purchase', 'signup')),
+a AS (SELECT r.*, (SELECT max(id) FROM s WHERE s.match_id = r.match_id AND s.side = 'for' AND r.side = 'for' AND s.player_id = r.player_id) AS own, (SELECT min(id) FROM s WHERE s.match_id = r.match_id AND s.side = r.side AND s.k % 40 = r.k % 40) AS tagged FROM r),
+b AS (SELECT a.*, coalesce(own, tagged) IS NOT NULL AS known, CASE WHEN coalesce(own, tagged) IS NULL THEN CASE a.position WHEN 'C' THEN 'C' WHEN 'LW' THEN 'W' WHEN 'RW' THEN 'D' END ELSE CASE s.place WHEN 'center' THEN 'C' WHEN 'leftWing' THEN 'W' WHEN 'rightWing' THEN 'W' WHEN 'defenseMen' THEN 'D' WHEN 'goalie' THEN 'G' END END AS slot FROM a LEFT JOIN s ON s.id = coalesce(own, tagged))
+SELECT match_id, side, id, slot AS position FROM b WHERE match_id <= 75 AND slot IS NOT NULL QUALIFY row_number() OVER (PARTITION BY match_id, side, slot ORDER BY known DESC, detail DESC, id) = 1
+UNION ALL SELECT match_id, side, id, position FROM r WHERE match_id > 75""")
+def ladder_slots(spark, sf_dir):
+    """Matches up to 75 are of three a side, the others pass as they are."""
+    e = read(spark, sf_dir, "events").withColumn("k", F.from_json("props", "k long")["k"])
+    i, k = F.col("event_id"), F.col("k")
+    base = [F.col("user_id").alias("match_id"), F.when(F.col("value") > 50, "for").otherwise("against").alias("side"), i.alias("id")]
+    at = lambda *names: F.get(F.array(*map(F.lit, names)), (k % 7).cast("int")).alias("position")
+    tag = lambda head: F.concat(F.lit(head), (k % 40).cast("string")).alias("gamertag")
+    rows = e.filter(F.col("event_type").isin("click", "view", "error")).select(*base, at("C", "LW", "RW", "LD", "RD", "G"), F.when(i % 3 == 0, k % 40).alias("player_id"), tag("P. "), F.when(i % 2 == 0, "b").alias("build"), F.when(i % 5 > 0, k).alias("number"))
+    stats = e.filter(F.col("event_type").isin("purchase", "signup")).select(*base, at("center", "leftWing", "rightWing", "defenseMen", "goalie", "bench"), F.when(i % 2 == 0, k % 40).alias("player_id"), tag("p"))
+    return rekeyed(rows, stats, ["build", "number"], F.col("match_id") <= 75).select("match_id", "side", "id", "position")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statforge.functions.formats import handedness, height_text, level_parts
+from statforge.operators.ladders import rekeyed
 from statforge.operators.lineup_reads import fuller_build, lineup_slots, recovered_bio
 
 SNAPSHOT = (
@@ -61,3 +62,20 @@ def test_formats(spark):
     df = spark.createDataFrame([("Shoots LEFT", "6 ' 11", "P12 LVL 3"), ("right", "511", "lvl 8"), (None, None, None), ("", "", "x")], "h string, t string, l string")
     got = df.select(handedness(F.col("h")), height_text(F.col("t")), *level_parts(F.col("l"))).collect()
     assert [tuple(r) for r in got] == [("Left", "6'11\"", 12, 3), ("Right", None, None, 8), (None, None, None, None), (None, None, None, None)]
+
+
+def test_ladder(spark):
+    lines = "match_id long, side string, id long, position string, player_id long, gamertag string, build string"
+    stats = "match_id long, side string, id long, player_id long, gamertag string, position string"
+    played = [(1, "for", 1, 7, "one", "center"), (1, "for", 2, None, "two", "leftWing"), (1, "for", 3, None, "two", "goalie"), (1, "for", 4, 9, "nine", "bench"), (1, "against", 5, 7, "far", "defenseMen")]
+    rows = [
+        (1, "for", 1, "LD", 7, "misread", None), (1, "for", 2, "C", None, "nobody", "b"),  # a known player outranks a label
+        (1, "for", 3, "G", None, "T-W-O", None), (1, "for", 4, "RD", None, "two", "b"),  # more detail
+        (1, "for", 5, "C", 9, "nine", "b"), (1, "for", 6, "RW", None, None, None), (1, "for", 8, "RW", None, "x", None), (1, "for", 7, "RD", None, "who", "b"),  # no place; by label, the smaller id; no place
+        (1, "against", 9, "LW", 7, "other", None), (2, "for", 10, "RD", None, "two", None),
+    ]
+    make = spark.createDataFrame
+    got = rekeyed(make(rows, lines), make(played, stats), ["build"], F.col("match_id") == 1)
+    assert got.columns == [c.split()[0] for c in lines.split(", ")]
+    assert {(r.match_id, r.side, r.position): r.id for r in got.collect()} == {(1, "for", "C"): 1, (1, "for", "W"): 4, (1, "for", "D"): 6, (1, "against", "W"): 9, (2, "for", "RD"): 10}
+    assert rekeyed(make([], lines), make([], stats), ["build"], F.col("match_id") == 1).count() == 0
