@@ -69,3 +69,15 @@ def level_parts(c: Column) -> tuple[Column, Column]:
     part = lambda pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit("")).cast("long")
     both = r"(?i)P(\d+)\s*LVL\s*(\d+)"
     return part(both, 1), F.coalesce(part(both, 2), part(r"(?i)LVL\s*(\d+)", 1))
+
+
+def fixed(c: Column) -> Column:
+    """A double (below 2**32 in size) to two places, halves of the exact binary value away from zero,
+    as decimal(20,2). Written as its text, 1.005 looks like a half and is below one."""
+    x = F.abs(c.cast("double"))
+    high = F.floor(x * 2**20) / 2**20
+    # 200 * high and 200 * (x - high) are exact, so the comparison is
+    reaches = lambda n: (200 * high - (2 * n - 1)) + 200 * (x - high) >= 0
+    n = F.floor(x * 100 + 0.5)
+    n = F.when(reaches(n + 1), n + 1).when(reaches(n), n).otherwise(n - 1)
+    return (F.when(c < 0, -n).otherwise(n).cast("decimal(20,0)") / 100).cast("decimal(20,2)")
