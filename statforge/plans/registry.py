@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import aggregate_queries, evidence_queries, gate_queries, join_queries, line_queries, lineup_queries, misc_queries, payload_queries, promoter_queries, rating_queries, roster_queries, screen_queries, verdict_queries, window_queries  # noqa: E402, F401
+from . import aggregate_queries, evidence_queries, gate_queries, join_queries, line_queries, lineup_queries, misc_queries, payload_queries, promoter_queries, rating_queries, roster_queries, screen_queries, truth_queries, verdict_queries, window_queries  # noqa: E402, F401
