@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import pi
 
@@ -22,15 +23,21 @@ ON_LIGHT, ON_DARK, LIGHT = "#1A1819", "#EBEBEB", 0.6
 STEPS, SHRINK = 40, 0.94
 
 
-def _times(matrix: list[list[float]], v: list[Column]) -> list[Column]:
-    return [reduce(lambda a, b: a + b, [F.lit(m) * x for m, x in zip(row, v, strict=True)]) for row in matrix]
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _times(matrix: list[list[float]], v: Column) -> Column:
+    return F.array(*[reduce(lambda a, b: a + b, [F.lit(m) * v[i] for i, m in enumerate(row)]) for row in matrix])
 
 
 def hex_channels(c: Column) -> Column:
     """Three channels of 0 to 255 of '#rrggbb' or '#rgb', with or without the sign; else null."""
     s = F.regexp_replace(F.regexp_replace(c, r"^\s+|\s+$", ""), "^([^#]*)#", "$1")
-    s = F.when(F.length(s) == 3, F.regexp_replace(s, "(.)", "$1$1")).otherwise(s)
-    return F.when(s.rlike(r"\A[0-9a-fA-F]{6}\z"), F.array(*[F.conv(F.substring(s, 1 + 2 * i, 2), 16, 10).cast("double") for i in range(3)]))
+    s = let(s, lambda x: F.when(F.length(x) == 3, F.regexp_replace(x, "(.)", "$1$1")).otherwise(x))
+    part = lambda x, i: F.conv(F.substring(x, 1 + 2 * i, 2), 16, 10).cast("double")
+    return let(s, lambda x: F.when(x.rlike(r"\A[0-9a-fA-F]{6}\z"), F.array(*[part(x, i) for i in range(3)])))
 
 
 def hex_text(rgb: Column) -> Column:
@@ -41,23 +48,24 @@ def hex_text(rgb: Column) -> Column:
 
 def to_oklch(rgb: Column) -> Column:
     """struct of l (lightness), c (chroma) and h (hue in degrees) of three channels."""
-    linear = [F.when(x <= 0.04045, x / 12.92).otherwise(F.pow((x + 0.055) / 1.055, 2.4)) for x in (rgb[i] / 255 for i in range(3))]
-    light, a, b = _times(LMS_TO_LAB, [F.cbrt(x) for x in _times(RGB_TO_LMS, linear)])
-    return F.when(rgb.isNotNull(), F.struct(light.alias("l"), F.sqrt(a * a + b * b).alias("c"), F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)).alias("h")))
+    linear = F.transform(rgb, lambda x: F.when(x / 255 <= 0.04045, x / 255 / 12.92).otherwise(F.pow((x / 255 + 0.055) / 1.055, 2.4)))
+    lms = let(linear, lambda v: F.transform(_times(RGB_TO_LMS, v), F.cbrt))
+    polar = lambda v: F.struct(v[0].alias("l"), F.sqrt(v[1] * v[1] + v[2] * v[2]).alias("c"), F.pmod(F.degrees(F.atan2(v[2], v[1])), F.lit(360.0)).alias("h"))
+    return let(let(lms, lambda v: _times(LMS_TO_LAB, v)), lambda v: F.when(v[0].isNotNull(), polar(v)))
 
 
 def from_oklch(light: Column, chroma: Column, hue: Column) -> Column:
     """Three channels, beyond 0 to 255 where the colour is out of gamut."""
-    a, b = chroma * F.cos(hue * (pi / 180)), chroma * F.sin(hue * (pi / 180))
-    linear = _times(LMS_TO_RGB, [F.pow(x, 3) for x in _times(LAB_TO_LMS, [light, a, b])])
-    return F.array(*[255 * F.when(x <= 0.0031308, x * 12.92).otherwise(1.055 * F.pow(F.greatest(x, F.lit(0.0)), 1 / 2.4) - 0.055) for x in linear])
+    lab = F.array(light, chroma * F.cos(hue * (pi / 180)), chroma * F.sin(hue * (pi / 180)))
+    lms = let(lab, lambda v: F.transform(_times(LAB_TO_LMS, v), lambda x: F.pow(x, 3)))
+    return F.transform(let(lms, lambda v: _times(LMS_TO_RGB, v)), lambda x: 255 * F.when(x <= 0.0031308, x * 12.92).otherwise(1.055 * F.pow(F.greatest(x, F.lit(0.0)), 1 / 2.4) - 0.055))
 
 
 def in_gamut(lch: Column) -> Column:
     """Channels of a colour, its chroma lowered step by step until they fit; without any at last."""
     tries = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: from_oklch(lch["l"], F.when(i < STEPS, lch["c"] * F.pow(F.lit(SHRINK), i)).otherwise(0.0), lch["h"]))
-    fits = F.get(F.filter(F.slice(tries, 1, STEPS), lambda t: F.forall(t, lambda x: x.between(-0.5, 255.5))), F.lit(0))
-    return F.when(lch.isNotNull(), F.coalesce(fits, F.element_at(tries, -1)))
+    fits = lambda ts: F.filter(F.slice(ts, 1, STEPS), lambda t: F.forall(t, lambda x: x.between(-0.5, 255.5)))
+    return F.when(lch.isNotNull(), let(tries, lambda ts: F.coalesce(F.get(fits(ts), F.lit(0)), F.element_at(ts, -1))))
 
 
 def clashes(lch: Column) -> dict[str, Column]:
@@ -87,24 +95,33 @@ def opponent_colors(clubs: DataFrame, abbrev: str, primary: str, secondary: str)
     adjusted where too pale or too dark, gunmetal for dark grays. Without a primary the
     secondary stands for it. A dark colour of our hue that is too dull to clash is lifted like any
     other, into the wedge."""
-    p, s = hex_channels(F.col(primary)), hex_channels(F.col(secondary))
-    rows = clubs.withColumns({"_p": p, "_s": s})
-    rows = rows.select(*clubs.columns, F.coalesce("_p", "_s").alias("_first"), F.when(F.col("_p").isNotNull(), F.col("_s")).alias("_second"))
-    rows = rows.withColumns({"_o": to_oklch(F.col("_first")), "_o2": to_oklch(F.col("_second"))})
-    o, zones = F.col("_o"), clashes(F.col("_o"))
     shade = lambda light, c, h: F.struct(F.lit(light).alias("l"), c.alias("c"), h.alias("h"))
-    pale = shade(DIMMED, F.greatest(o["c"], F.lit(0.035)), F.when(o["c"] < 0.02, float(COOL)).otherwise(o["h"]))
-    gun = shade(DARK + LIFT, F.lit(0.012), F.lit(float(COOL)))
-    lifted = shade(DARK + LIFT, F.greatest(F.least(o["c"], F.lit(0.14)), F.lit(0.06)), o["h"])
-    rung = F.when(_clear(o), "brand").when(_clear(F.col("_o2")), "secondary").when(o.isNull() | zones["wedge"], "alternate").when(zones["pale"], "pale").when(o["c"] < 0.03, "gunmetal").otherwise("lifted")
-    rows = rows.withColumn("_rung", rung)
-    r = F.col("_rung")
-    rows = rows.withColumn("_lch", F.when(r == "pale", pale).when(r == "gunmetal", gun).when(r == "lifted", lifted))
-    base = F.when(r == "brand", hex_text(F.col("_first"))).when(r == "secondary", hex_text(F.col("_second"))).when(r == "alternate", alternate(F.col(abbrev))).otherwise(hex_text(in_gamut(F.col("_lch"))))
-    rows = rows.withColumn("_base", base).withColumn("_rgb", hex_channels(F.col("_base")))
-    parts = [F.col("_rgb")[i].cast("int").cast("string") for i in range(3)]
-    alpha = lambda a: F.concat(F.lit("rgba("), F.concat_ws(", ", *parts, F.lit(a)), F.lit(")"))
-    fg = F.when(to_oklch(F.col("_rgb"))["l"] >= LIGHT, ON_LIGHT).otherwise(ON_DARK)
-    provenance = F.when(r.isin("pale", "lifted"), "adjusted").otherwise(r)
-    colors = F.struct(F.col("_base").alias("base"), alpha("0.74").alias("strong"), alpha("0.4").alias("line"), alpha("0.12").alias("soft"), fg.alias("fg"), provenance.alias("provenance"))
-    return rows.select(*clubs.columns, colors.alias("colors"))
+    cool = F.lit(float(COOL))
+
+    def rung(v):
+        zones = clashes(v["o"])
+        named = F.when(_clear(v["o"]), "brand").when(_clear(v["o2"]), "secondary").when(v["o"].isNull() | zones["wedge"], "alternate").when(zones["pale"], "pale").when(v["o"]["c"] < 0.03, "gunmetal").otherwise("lifted")
+        return F.struct(v["first"].alias("first"), v["second"].alias("second"), v["o"].alias("o"), named.alias("rung"))
+
+    def moved(v):
+        o = v["o"]
+        pale = shade(DIMMED, F.greatest(o["c"], F.lit(0.035)), F.when(o["c"] < 0.02, cool).otherwise(o["h"]))
+        lifted = shade(DARK + LIFT, F.greatest(F.least(o["c"], F.lit(0.14)), F.lit(0.06)), o["h"])
+        return F.when(v["rung"] == "pale", pale).when(v["rung"] == "gunmetal", shade(DARK + LIFT, F.lit(0.012), cool)).when(v["rung"] == "lifted", lifted)
+
+    def base(v):
+        r = v["rung"]
+        own = F.when(r == "brand", hex_text(v["first"])).when(r == "secondary", hex_text(v["second"])).when(r == "alternate", alternate(F.col(abbrev)))
+        return F.struct(own.otherwise(let(let(moved(v), in_gamut), hex_text)).alias("base"), F.when(r.isin("pale", "lifted"), "adjusted").otherwise(r).alias("provenance"))
+
+    def finished(v):
+        alpha = lambda a, n: F.concat(F.lit("rgba("), F.array_join(F.transform(v["rgb"], lambda x: x.cast("int").cast("string")), ", "), F.lit(f", {a})")).alias(n)
+        fg = F.when(to_oklch(v["rgb"])["l"] >= LIGHT, ON_LIGHT).otherwise(ON_DARK)
+        return F.struct(v["base"].alias("base"), alpha("0.74", "strong"), alpha("0.4", "line"), alpha("0.12", "soft"), fg.alias("fg"), v["provenance"].alias("provenance"))
+
+    both = F.struct(hex_channels(F.col(primary)).alias("p"), hex_channels(F.col(secondary)).alias("s"))
+    v = let(both, lambda x: F.struct(F.coalesce(x["p"], x["s"]).alias("first"), F.when(x["p"].isNotNull(), x["s"]).alias("second")))
+    v = let(v, lambda x: F.struct(x["first"].alias("first"), x["second"].alias("second"), to_oklch(x["first"]).alias("o"), to_oklch(x["second"]).alias("o2")))
+    v = let(let(v, rung), base)
+    v = let(v, lambda x: F.struct(x["base"].alias("base"), x["provenance"].alias("provenance"), hex_channels(x["base"]).alias("rgb")))
+    return clubs.withColumn("colors", let(v, finished))
