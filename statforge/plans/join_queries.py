@@ -172,5 +172,5 @@ LEFT JOIN (SELECT l_orderkey, min(l_suppkey) AS k FROM lineitem GROUP BY 1) f ON
 def event_detail_join(spark, sf_dir):
     o, c, n, s = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation", "supplier"))
     f = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("s_suppkey"))
-    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(n), F.col("n_nationkey") == F.col("c_nationkey"), "left").join(f, "o_orderkey", "left").join(s, "s_suppkey", "left")  # 25 nations
+    j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(f, "o_orderkey", "left").join(s, "s_suppkey", "left")
     return j.select(F.col("o_orderkey").alias("match_id"), "s_name", "n_name", "c_name", F.when(F.col("o_orderstatus") == "F", F.col("c_mktsegment")).alias("segment"))

@@ -83,7 +83,7 @@ v AS (SELECT k, arg_min([r, g, b], i) AS v FROM u WHERE i = 40 OR (least(r, g, b
 y AS (SELECT x.k, rung, CASE rung WHEN 'brand' THEN [r, g, b] WHEN 'secondary' THEN [r2, g2, b2] WHEN 'alternate' THEN [[143, 166, 196], [111, 183, 216], [155, 140, 232], [110, 143, 232]][CAST(list_reduce(list_prepend(0, list_transform(string_split(upper(brand), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), lambda n, ch: (n * 31 + ch) % 4294967296) % 4 AS INTEGER) + 1] ELSE list_transform(v, lambda z: CAST(floor(greatest(0, least(255, z)) + 0.5) AS BIGINT)) END AS m FROM x LEFT JOIN v ON v.k = x.k),
 m AS (SELECT k, rung, CAST(m[1] AS BIGINT) AS r, CAST(m[2] AS BIGINT) AS g, CAST(m[3] AS BIGINT) AS b FROM y), e AS (SELECT *, {lch_sql("rgb", "")} FROM m)
 SELECT k, {HEX.format(*"rgb")} AS base, 'rgba(' || r || ', ' || g || ', ' || b || ', 0.12)' AS soft, CASE WHEN l >= 0.6 THEN '#1A1819' ELSE '#EBEBEB' END AS fg, CASE WHEN rung IN ('pale', 'lifted') THEN 'adjusted' ELSE rung END AS provenance FROM e""")
-def opponent_palette(spark, sf_dir):
+def club_palette(spark, sf_dir):
     """A part is a club: its brand is the abbreviation, its key gives two colours."""
     k, w = F.col("p_partkey"), F.col("p_partkey") % 9
     r, g, b = (k * m % 256 for m in (37, 53, 91))
