@@ -140,7 +140,8 @@ def reconcile_two_measures(spark, sf_dir):
 
 @query(f"SELECT label, count(*) AS n, {', '.join(f'CAST(sum(CAST(round(embedding[{i + 1}] * 1000) AS BIGINT)) AS BIGINT) AS e{i}' for i in range(8))} FROM embeddings GROUP BY 1")
 def array_sum_avg(spark, sf_dir):
-    e = read(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: F.rint(x * 1000)).alias("x"))
+    thousand = F.lit(1000).cast("float")  # single precision and halves away from zero, as in SQL
+    e = read(spark, sf_dir, "embeddings").select("label", F.transform("embedding", lambda x: F.round((x * thousand).cast("float"))).alias("x"))
     rows = element_sums(e, "label", "x", 8, 0)
     return rows.select("label", "n", *[F.col(f"e{i}").cast("long").alias(f"e{i}") for i in range(8)])
 

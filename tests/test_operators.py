@@ -160,3 +160,17 @@ def test_recorded_at_in_both_halves_of_a_year(spark):
     assert got[0] == (1705338000, False) and got[1] == (1721059200, False)
     assert [x[1] for x in got[2:5]] == [True, True, False] and got[4][0] == 1730620800
     assert got[5:] == [(None, False), (None, False)]
+
+
+def test_array_sum_avg_rounds_as_sql(spark, tmp_path):
+    """Halves of the single-precision product go away from zero."""
+    import duckdb
+
+    from statforge.plans import registry
+
+    rows = [(i, [float(np.float32((k + 0.5) / 1000)) for k in range(8 * i, 8 * i + 8)], i % 2) for i in range(-40, 40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, registry.QUERIES["array_sum_avg"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.execute(registry.SQL["array_sum_avg"]).fetchall())
