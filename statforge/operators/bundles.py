@@ -39,17 +39,21 @@ def same_subject_links(identities: DataFrame, group: str) -> DataFrame:
     position nor jersey may differ. Equal tags form a star; others meet on the letters left when up
     to two are dropped, so no pairs of a group are made. Identities: id, group, tag, position, jersey."""
     star = identities.groupBy(group, "tag").agg(F.min("id").alias("v"))
-    equal = identities.join(star, [group, "tag"]).select(F.col("id").alias("u"), "v")
+    equal = identities.join(star.hint("merge"), [group, "tag"]).select(F.col("id").alias("u"), "v")
     length = F.least(F.length("tag"), F.lit(HEAD))
-    heads = identities.filter(length >= SHORTEST).withColumn("_n", F.explode(F.sequence(F.lit(SHORTEST), length)))
+    heads = identities.filter(length >= SHORTEST).withColumn("_size", length).withColumn("_n", F.explode(F.sequence(F.lit(SHORTEST), length)))
     heads = heads.withColumn("_head", F.substr("tag", F.lit(1), F.col("_n")))
+    # each distinct head is compared once; merged, as the sizes of exploded rows are underestimated and either side would be broadcast
     dropped = F.array_distinct(F.flatten(F.transform(one_letter_keys(F.col("_head")), one_letter_keys)))
-    keyed = heads.select(group, "_n", "id", "tag", "_head", "position", "jersey", length.alias("_size"), F.explode(dropped).alias("_key"))
-    other = keyed.select(group, "_n", "_key", F.col("id").alias("_id"), F.col("tag").alias("_tag"), F.col("_head").alias("_other"), F.col("position").alias("_position"), F.col("jersey").alias("_jersey"), F.col("_size").alias("_their"))
-    met = keyed.join(other, [group, "_n", "_key"]).filter((F.col("id") < F.col("_id")) & (F.col("tag") != F.col("_tag")) & (F.least("_size", "_their") == F.col("_n")))
-    far = F.levenshtein("_head", "_other")
+    keyed = heads.select(group, "_n", "_head").distinct().withColumn("_key", F.explode(dropped))
+    met = keyed.join(keyed.withColumnRenamed("_head", "_other").hint("merge"), [group, "_n", "_key"]).select(group, "_n", "_head", "_other").distinct()
+    met = met.withColumn("_far", F.levenshtein("_head", "_other")).filter(F.col("_far") <= EDITS)
+    one = heads.select(group, "_n", "_head", "id", "tag", "position", "jersey", "_size")
+    two = one.withColumnsRenamed({"_head": "_other", "id": "_id", "tag": "_tag", "position": "_position", "jersey": "_jersey", "_size": "_their"})
+    pairs = met.join(one.hint("merge"), [group, "_n", "_head"]).join(two.hint("merge"), [group, "_n", "_other"])
+    pairs = pairs.filter((F.col("id") < F.col("_id")) & (F.col("tag") != F.col("_tag")) & (F.least("_size", "_their") == F.col("_n")))
     clash = F.coalesce(F.col("position") != F.col("_position"), F.lit(False)) | F.coalesce(F.col("jersey") != F.col("_jersey"), F.lit(False))
-    near = met.filter((far < EDITS) | ((far == EDITS) & ~clash)).select(F.col("id").alias("u"), F.col("_id").alias("v"))
+    near = pairs.filter((F.col("_far") < EDITS) | ~clash).select(F.col("id").alias("u"), F.col("_id").alias("v"))
     return equal.unionByName(near).distinct()
 
 
@@ -61,9 +65,9 @@ def subject_bundles(seen: DataFrame, group: str) -> DataFrame:
     keys = [group, "tag", "position", "jersey"]
     distinct = kept(named.groupBy(*keys).agg(F.min("id").alias("id")), "identities")
     found = connected(same_subject_links(distinct, group))
-    of = distinct.withColumnRenamed("id", "_id").join(found.withColumnRenamed("node", "_id"), "_id", "left").select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce("component", "_id").alias("bundle"))
+    of = distinct.withColumnRenamed("id", "_id").join(found.withColumnRenamed("node", "_id").hint("merge"), "_id", "left").select(*[F.col(k).alias(f"_{k}") for k in keys], F.coalesce("component", "_id").alias("bundle"))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return named.join(of, same[0] & same[1] & same[2] & same[3]).select("id", "bundle")
+    return named.join(of.hint("merge"), same[0] & same[1] & same[2] & same[3]).select("id", "bundle")
 
 
 def merged_subjects(seen: DataFrame, bundles: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from statforge.operators.bundles import connected, deduplicated_in_order, merged_subjects, subject_bundles
+from statforge.operators.bundles import connected, deduplicated_in_order, merged_subjects, same_subject_links, subject_bundles
 
 
 def distance(a, b):
@@ -80,3 +80,12 @@ def test_events_one_row_at_a_time(spark):
         if not found:
             there.append(e)
     assert got == want and len({o for o, _ in got.values()}) == 3
+
+
+def test_links_broadcast_nothing(spark, tmp_path):
+    """Exploded keys are many times the size that is estimated, so no side may be sent to the driver."""
+    rows = spark.createDataFrame([(1, 1, "amber", None, 1), (2, 1, "ambler", 2, 1), (3, 2, "amber", 3, None)], "id long, g long, tag string, position long, jersey long")
+    rows.write.parquet(f"{tmp_path}/rows")
+    links = same_subject_links(spark.read.parquet(f"{tmp_path}/rows"), "g")
+    assert [tuple(r) for r in links.filter("u <> v").collect()] == [(1, 2)]
+    assert "Broadcast" not in links._jdf.queryExecution().toString()
