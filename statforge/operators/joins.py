@@ -56,8 +56,9 @@ def neighbours(df: DataFrame, group: list[str], ts: str, ident: str) -> DataFram
 
 def within_one_edit(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs of rows whose texts ``a`` and ``b`` are at most one edit apart: both sides meet
-    on their one-letter deletions and are then compared."""
-    met = left.withColumn("_key", F.explode(one_letter_keys(F.col(a)))).join(right.withColumn("_key", F.explode(one_letter_keys(F.col(b)))), "_key").drop("_key")
+    on their one-letter deletions and are then compared. Merged, as the sizes of exploded keys are
+    underestimated and either side would be broadcast."""
+    met = left.withColumn("_key", F.explode(one_letter_keys(F.col(a)))).join(right.withColumn("_key", F.explode(one_letter_keys(F.col(b)))).hint("merge"), "_key").drop("_key")
     return met.filter(F.levenshtein(a, b) <= 1).distinct()
 
 
@@ -71,9 +72,9 @@ def _rarest(parts: DataFrame, part: str, wholes: DataFrame, whole: str) -> DataF
     held = wholes.withColumn("_g", F.explode(grams(F.col(whole), GRAM)))
     often = held.groupBy("_g").agg(F.count("*").alias("_n"))
     long = parts.filter(F.length(part) > GRAM)
-    asked = long.select(part, F.explode(grams(F.col(part), GRAM)).alias("_g")).join(often, "_g", "left")
+    asked = long.select(part, F.explode(grams(F.col(part), GRAM)).alias("_g")).join(often.hint("merge"), "_g", "left")
     asked = asked.groupBy(part).agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("x")).filter("x.n > 0").select(part, F.col("x._g").alias("_g"))
-    return long.join(asked, part).join(held, "_g").filter(F.contains(F.col(whole), F.col(part))).drop("_g")
+    return long.join(asked.hint("merge"), part).join(held.hint("merge"), "_g").filter(F.contains(F.col(whole), F.col(part))).drop("_g")
 
 
 def _short_grams(rows: DataFrame, text: str) -> DataFrame:
@@ -84,14 +85,14 @@ def names_in_tags(names: DataFrame, tags: DataFrame) -> DataFrame:
     """name, low and high: the least and greatest player among tags (tag, low, high) that contain
     the name. A short name meets one row, however many tags hold it."""
     ends = [F.min("low").alias("low"), F.max("high").alias("high")]
-    short = _short_grams(tags, "tag").groupBy(F.col("_g").alias("name")).agg(*ends).join(names.filter(F.length("name") <= GRAM), "name", "left_semi")
+    short = _short_grams(tags, "tag").groupBy(F.col("_g").alias("name")).agg(*ends).join(names.filter(F.length("name") <= GRAM).hint("merge"), "name", "left_semi")
     return short.unionByName(_rarest(names, "name", tags, "tag").groupBy("name").agg(*ends))
 
 
 def tags_in_names(names: DataFrame, tags: DataFrame) -> DataFrame:
     """name, low and high of the tags that a name contains."""
     ends = [F.min("low").alias("low"), F.max("high").alias("high")]
-    short = _short_grams(names, "name").join(tags.filter(F.length("tag") <= GRAM).withColumnRenamed("tag", "_g"), "_g")
+    short = _short_grams(names, "name").join(tags.filter(F.length("tag") <= GRAM).withColumnRenamed("tag", "_g").hint("merge"), "_g")
     return short.select("name", "low", "high").unionByName(_rarest(tags, "tag", names, "name").select("name", "low", "high")).groupBy("name").agg(*ends)
 
 
@@ -109,14 +110,14 @@ def resolve_cascade(probes: DataFrame, players: DataFrame, history: DataFrame, a
     known = known.unionByName(history.filter("in_use").select(F.lower("gamertag").alias("name"), F.lit(2).alias("step"), "player_id"))
     known = known.unionByName(aliases.select(F.lower("alias").alias("name"), F.lit(3).alias("step"), "player_id"))
     known = known.filter("name IS NOT NULL AND name <> ''").groupBy("name").agg(F.min(F.struct("step", "player_id")).alias("hit"))
-    names = named.filter("name <> ''").select("name").distinct().join(known, "name", "left_anti")
+    names = named.filter("name <> ''").select("name").distinct().join(known.hint("merge"), "name", "left_anti")
     tags = players.filter("is_active").select(F.lower("gamertag").alias("tag"), "player_id").filter("tag <> ''")
     tags = tags.groupBy("tag").agg(F.min("player_id").alias("low"), F.max("player_id").alias("high"))
     held = names_in_tags(names, tags).unionByName(tags_in_names(names, tags)).withColumn("step", F.lit(4))
     near = within_one_edit(names, tags, "name", "tag").select("name", "low", "high", F.lit(5).alias("step"))
     only = held.unionByName(near).groupBy("name", "step").agg(F.min("low").alias("player_id"), F.max("high").alias("_last")).filter("player_id = _last")
     only = only.groupBy("name").agg(F.min(F.struct("step", "player_id")).alias("hit"))
-    found = named.join(known.unionByName(only), "name", "left")
+    found = named.join(known.unionByName(only).hint("merge"), "name", "left")
     via = F.element_at(F.array(*[F.lit(v) for v in VIA]), F.coalesce(F.col("hit.step"), F.lit(len(VIA))))
     return found.select("id", F.col("hit.player_id").alias("player_id"), via.alias("via"))
 

@@ -174,3 +174,20 @@ def test_array_sum_avg_rounds_as_sql(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     assert got == sorted(con.execute(registry.SQL["array_sum_avg"]).fetchall())
+
+
+def test_cascade_broadcasts_nothing(spark, tmp_path):
+    """Exploded stretches of names are many times the size that is estimated, so no side may be sent to the driver."""
+    from statforge.operators.joins import resolve_cascade
+
+    tables = {
+        "probes": spark.createDataFrame([(1, "Amber."), (2, "mbe"), (3, "quart"), (4, "zz")], "id long, snapshot string"),
+        "players": spark.createDataFrame([(5, "amber", True), (6, "Quarz", True)], "player_id long, gamertag string, is_active boolean"),
+        "history": spark.createDataFrame([(5, "old", True)], "player_id long, gamertag string, in_use boolean"),
+        "aliases": spark.createDataFrame([(6, "q")], "player_id long, alias string"),
+    }
+    for name, rows in tables.items():
+        rows.write.parquet(f"{tmp_path}/{name}")
+    found = resolve_cascade(*[spark.read.parquet(f"{tmp_path}/{name}") for name in tables])
+    assert sorted(map(tuple, found.collect())) == [(1, 5, "gamertag_exact"), (2, 5, "gamertag_substring"), (3, 6, "gamertag_levenshtein"), (4, None, "unresolved")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
