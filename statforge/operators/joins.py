@@ -127,9 +127,9 @@ def resolve_persona(probes: DataFrame, aliases: DataFrame) -> DataFrame:
     the cleaned snapshot itself; no row for snapshots that are empty after cleaning."""
     named = probes.select("id", snapshot_name(F.col("snapshot")).alias("cleaned")).filter("cleaned <> ''").withColumn("name", F.lower("cleaned"))
     known = aliases.select(F.lower("alias").alias("alias"), "canonical")
-    met = within_one_edit(named.select("id", "name"), known, "name", "alias")
-    best = met.groupBy("id").agg(F.min(F.struct((F.col("name") != F.col("alias")).alias("far"), "alias", "canonical")).alias("b"))
-    rows = named.join(best, "id", "left")
+    met = within_one_edit(named.select("name").distinct(), known, "name", "alias")  # each name once, however many show it
+    best = met.groupBy("name").agg(F.min(F.struct((F.col("name") != F.col("alias")).alias("far"), "alias", "canonical")).alias("b"))
+    rows = named.join(best, "name", "left")
     via = F.when(F.col("b").isNull(), "raw").when(F.col("b.far"), "fuzzy_alias").otherwise("exact_alias")
     return rows.select("id", F.coalesce("b.canonical", "cleaned").alias("canonical"), via.alias("via"))
 

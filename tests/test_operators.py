@@ -191,3 +191,14 @@ def test_cascade_broadcasts_nothing(spark, tmp_path):
     found = resolve_cascade(*[spark.read.parquet(f"{tmp_path}/{name}") for name in tables])
     assert sorted(map(tuple, found.collect())) == [(1, 5, "gamertag_exact"), (2, 5, "gamertag_substring"), (3, 6, "gamertag_levenshtein"), (4, None, "unresolved")]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+
+
+def test_persona_meets_each_name_once(spark, monkeypatch):
+    from statforge.operators import joins
+
+    asked, meet = [], joins.within_one_edit
+    monkeypatch.setattr(joins, "within_one_edit", lambda left, *rest: asked.append(left.count()) or meet(left, *rest))
+    probes = spark.range(50).select("id", F.when(F.col("id") % 2 == 0, "Amber!").otherwise("mber").alias("snapshot"))
+    got = joins.resolve_persona(probes, spark.createDataFrame([("amber", "Amber")], "alias string, canonical string"))
+    assert {tuple(r) for r in got.select("canonical", "via").distinct().collect()} == {("Amber", "exact_alias"), ("Amber", "fuzzy_alias")}
+    assert got.count() == 50 and asked == [2]
