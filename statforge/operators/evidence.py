@@ -108,3 +108,9 @@ def fuzzy_jaccard(a: Column, b: Column, most: int = 1) -> Column:
 
 def all_of(*conditions: Column) -> Column:
     return reduce(lambda x, y: x & y, conditions)
+
+
+def opened_once(rows: DataFrame, parsed: Column) -> DataFrame:
+    """``rows`` with ``p``, ``parsed`` bound by a generator, which no filter is moved below: else a
+    filter on several parts of ``p`` would write and parse each payload again for every part."""
+    return rows.select("*", F.inline(F.array(F.struct(parsed.alias("p")))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.clock import from_epoch
-from .evidence import whole_number, whole_number_or_null
+from .evidence import opened_once, whole_number, whole_number_or_null
 
 CLUB = "struct<score:string,goals:string,result:string,winnerByDnf:string,winnerByGoalieDnf:string,name:string,details:struct<name:string>,toa:string,timeOnAttack:string,cNhlOnlineGameType:string,passa:string,passc:string,ppg:string,ppo:string,teamSide:string>"
 PAYLOAD = f"matchId string, timestamp string, clubs map<string,{CLUB}>, aggregate map<string,map<string,string>>, players map<string,map<string,map<string,string>>>"
@@ -29,7 +29,7 @@ def parsed_matches(payloads: DataFrame, club: Column) -> DataFrame:
     """``payloads`` (payload) with ``p`` (the parsed payload), ``ours`` and ``theirs`` (club
     ids) and ``problem``: null, or why no match can be read from it. Bad payloads keep
     their rows, so a caller can set them aside."""
-    rows = payloads.withColumn("p", F.from_json("payload", PAYLOAD)).withColumn("ours", club)
+    rows = opened_once(payloads, F.from_json("payload", PAYLOAD)).withColumn("ours", club)
     rows = rows.withColumn("theirs", F.get(F.filter(F.map_keys("p.clubs"), lambda k: k != F.col("ours")), F.lit(0)))
     has_ours = F.coalesce(F.array_contains(F.map_keys("p.clubs"), F.col("ours")), F.lit(False))
     problem = F.when(F.coalesce(F.col("p.matchId"), F.lit("")) == "", "no matchId").when(whole_number_or_null(F.col("p.timestamp")).isNull(), "no timestamp")
@@ -64,8 +64,8 @@ def match_rows(parsed: DataFrame) -> DataFrame:
     a, b = (F.element_at("p.clubs", F.col(c)) for c in ("ours", "theirs"))
     x, y = (F.element_at("p.aggregate", F.col(c)) for c in ("ours", "theirs"))
     total = lambda side, field: F.aggregate(F.map_values(F.element_at("p.players", F.col(side))), F.lit(0).cast("long"), lambda s, r: s + first_number(r, field))
-    wins = F.greatest(total("ours", "skfow"), total("theirs", "skfol"))
-    losses = F.greatest(total("ours", "skfol"), total("theirs", "skfow"))
+    parsed = parsed.withColumns({"_wins": F.greatest(total("ours", "skfow"), total("theirs", "skfol")), "_losses": F.greatest(total("ours", "skfol"), total("theirs", "skfow"))})
+    wins, losses = F.col("_wins"), F.col("_losses")
     pct = F.when(wins + losses > 0, F.round(wins.cast("decimal(20,0)") * 100 / (wins + losses).cast("decimal(20,0)"), 2).cast("double"))
     side = F.coalesce(whole_number_or_null(a["teamSide"]), whole_number_or_null(F.get(F.filter(F.transform(F.map_values(F.element_at("p.players", F.col("ours"))), lambda r: r["teamSide"]), lambda s: s.isNotNull()), F.lit(0))))
     code = whole_number_or_null(a["cNhlOnlineGameType"])
