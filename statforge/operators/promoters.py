@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.formats import fixed
 from ..functions.text import plain_tag
+from ..sources.scratch import kept
 from .bundles import deduplicated_in_order
-from .evidence import first_valid, whole_number_or_null
+from .evidence import first_valid, opened_once, whole_number_or_null
 from .screens import away_side
 
 #: What the payloads call their parts.
@@ -67,7 +68,7 @@ def percent_of(f: Column) -> Column:
 
 def opened(frames: DataFrame, schema: str) -> DataFrame:
     """``frames`` with the payload's parts under ``p``; a payload that is no JSON has none."""
-    return frames.withColumn("p", F.from_json("payload", schema))
+    return opened_once(frames, F.from_json("payload", schema))
 
 
 def _sided(frames: DataFrame, matches: DataFrame, away: str, home: str, ours: list[str]) -> DataFrame:
@@ -121,6 +122,7 @@ def shot_types(frames: DataFrame, matches: DataFrame, ours: list[str]) -> DataFr
         number_of(F.col(f"p.{b}_header_total_shots")).alias("header"), *[number_of(F.col(f"p.{b}.{c}")).alias(c) for c in SHOTS],
     )
     rows = good.select("match_id", "frame_id", F.col("p.period_number").alias("period_number"), text_of(F.col("p.period_label")).alias("period_label"), F.inline(F.array(block("away", True), block("home", False))))
+    rows = kept(rows, "net_rows")  # read several times, parsed once
     side = ["match_id", "team_side"]
     place = F.col("frame_id")
     period_rows = rows.filter(F.col("period_number") != ALL_PERIODS)
@@ -213,23 +215,23 @@ def tracker_events(events: DataFrame, stored: DataFrame) -> DataFrame:
     several stored candidates the smallest id counts, and stored ones before those of the run."""
     good = events.filter("fault IS NULL")
     place = F.shiftleft(F.col("frame_id").cast("long"), 16) + F.when(F.col("pos") < 65536, F.col("pos")).otherwise(F.raise_error(F.lit("over 65536 events in a frame")).cast("long"))
-    good = good.withColumn("place", place).withColumn("id", -1 - F.col("place"))
+    good = kept(good.withColumn("place", place).withColumn("id", -1 - F.col("place")), "tracked")
     bucket = ["match_id", "period_number", "event_type", "clock"]
     unplaced = lambda df: df.withColumns({"x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")})
     found = deduplicated_in_order(unplaced(stored), unplaced(good), bucket, "place")
     first = F.array_min(F.transform("candidates", lambda i: F.struct((i < 0).alias("new"), F.abs(i).alias("n"), i.alias("i"))))["i"]
     rows = good.join(found.select("id", F.coalesce(first, F.col("id")).alias("event_id")), "id")
     at = lambda c: F.when(F.col(c).isNotNull(), F.col("place"))
-    kept = ["match_id", "period_number", "period_label", "clock", "event_type", "actor_id", "actor", "raw"]
+    first_read = ["match_id", "period_number", "period_label", "clock", "event_type", "actor_id", "actor", "raw"]
     one = rows.groupBy("event_id").agg(
-        *[F.min_by(c, "place").alias(c) for c in kept], F.min_by(F.col("actor_id").isNotNull() | F.col("target_id").isNotNull(), "place").alias("side_known"), *[F.max_by(c, at(c)).alias(c) for c in ("target_id", "target")], F.max("frame_id").alias("frame_id"),
+        *[F.min_by(c, "place").alias(c) for c in first_read], F.min_by(F.col("actor_id").isNotNull() | F.col("target_id").isNotNull(), "place").alias("side_known"), *[F.max_by(c, at(c)).alias(c) for c in ("target_id", "target")], F.max("frame_id").alias("frame_id"),
         F.max_by(F.struct("x", "y", "rink_zone", "confidence"), at("x")).alias("m"), F.count("*").alias("readings"),
     )
     new = F.col("event_id") < 0
     position = F.when(F.col("m.confidence") >= 0.5, "interpolated").when(F.col("m.confidence").isNotNull(), "extrapolated")
     own = lambda c: F.when(new, c)
     return one.select(
-        F.col("event_id").alias("id"), F.when(new, "insert").otherwise("update").alias("outcome"), *kept[:5], *[own(F.col(c)).alias(c) for c in ("actor_id", "actor", "raw")],
+        F.col("event_id").alias("id"), F.when(new, "insert").otherwise("update").alias("outcome"), *first_read[:5], *[own(F.col(c)).alias(c) for c in ("actor_id", "actor", "raw")],
         own(F.when(F.col("actor_id").isNotNull(), "for").otherwise("against")).alias("team_side"), own(F.col("side_known")).alias("side_known"), "target_id", "target", "frame_id", fixed(F.col("m.x")).alias("x"), fixed(F.col("m.y")).alias("y"),
         F.col("m.rink_zone").alias("rink_zone"), position.alias("position"), "readings",
     )

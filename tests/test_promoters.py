@@ -8,6 +8,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from statforge.plans import registry
 from statforge.functions.formats import fixed
 from statforge.operators.promoters import SHOTS, box_frames, box_score_periods, event_kind, faceoff_dots, faceoff_zones, folder_period, net_frames, shot_types, tracked, tracker_events
 
@@ -170,3 +171,10 @@ def test_tracker_equals_one_at_a_time(spark):
     rows = tracked(screens(spark, *shown), spark.createDataFrame([], "tag string, player_id long"))
     got = {(r.id, r.target, r.x, r.frame_id, r.readings) for r in tracker_events(rows, spark.createDataFrame(stored, STORED)).collect()}
     assert got == {tuple(v) for v in table.values() if v[4]}
+
+
+@pytest.mark.parametrize("name", ["payload_matches", "payload_players", "shot_type_promotion", "faceoff_dot_promotion", "tracker_readings"])
+def test_payloads_are_parsed_once(spark, name):
+    """A filter on parts of a parsed payload does not parse it again for each part."""
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") <= 1
