@@ -14,6 +14,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a table that a task takes where it is dealt by ``dealt``.
+TASK_ROWS = 300_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int | None = None, like: DataFrame | None = None) -> DataFrame:
+    """``df`` dealt by keys into tasks of about ``rows`` rows, so that a task's memory does not grow
+    with the table: partitions that are joined up to a size in compressed bytes hold millions of
+    narrow rows. Rows of ``df`` are counted, or of ``like``, a table of about as many: a table's
+    files know their counts."""
+    n = (df if like is None else like).count()
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // (rows or TASK_ROWS))), *keys)
+
+
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders")
     result = F.when(F.col("o_orderstatus") == "F", "WIN").when(F.col("o_orderstatus") == "O", "LOSS").when(F.col("o_orderstatus") == "P", "OTL").otherwise("DNF")
@@ -24,8 +37,9 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def player_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each match and player."""
-    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("player_id"))
+    """One row for each match and player, dealt by match, so that what follows by match needs no
+    other shuffle."""
+    rows = dealt(read(spark, sf_dir, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("player_id"))
     return rows.agg(
         F.sum("l_quantity").cast("long").alias("goals"), F.count("*").alias("shifts"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("toi"),
         F.bool_or(F.col("l_returnflag") == "R").alias("is_goalie"), F.sum(F.when(F.col("l_linestatus") == "F", F.col("l_quantity"))).cast("long").alias("saves"),

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from statforge.operators.matching import greedy_pairs
 from statforge.operators.segments import segments_of
 from statforge.operators.sequences import reels_of
 from statforge.operators.windows import ordinal
+from statforge.plans import registry
 from statforge.sources.tables import dated_files, guarded, history, merged, new_rows, read_manifest, replace_partitions, upserted
 from statforge.streaming.ingest import start
 
@@ -202,3 +204,19 @@ def test_persona_meets_each_name_once(spark, monkeypatch):
     got = joins.resolve_persona(probes, spark.createDataFrame([("amber", "Amber")], "alias string, canonical string"))
     assert {tuple(r) for r in got.select("canonical", "via").distinct().collect()} == {("Amber", "exact_alias"), ("Amber", "fuzzy_alias")}
     assert got.count() == 50 and asked == [2]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def optimized(spark, name):
+    return registry.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["pairs_min_gp", "pair_member_avg", "with_without_splits", "three_stars"])
+def test_lines_are_dealt_by_rows(spark, monkeypatch, name):
+    """Tasks take so many of the table's 6,000 lines each, whatever size in bytes partitions are joined up to."""
+    from statforge.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 200, raising=False)
+    assert re.search(r"RepartitionByExpression \[l_orderkey#\d+L?\], 30\b", optimized(spark, name))
