@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.nulls import count_where
 from ..operators.joins import band_pairs, resolve_cascade, resolve_persona, units_with_all, with_without
 from ..sources.tables import EVENTS, MATCHES, PLAYERS, events, matches, player_matches, read
-from .aggregate_queries import PAIRS, SEASON, pair_results, season
+from .aggregate_queries import PAIRS, SEASON, pair_results
 from .registry import query
 
 
@@ -22,7 +22,7 @@ SELECT p.player_id, count(s.match_id) AS with_gp, CAST(coalesce(sum(CASE WHEN s.
 FROM (SELECT DISTINCT player_id FROM season) p CROSS JOIN u LEFT JOIN s ON s.player_id = p.player_id AND s.match_id = u.match_id GROUP BY 1""")
 def with_without_splits(spark, sf_dir):
     units = matches(spark, sf_dir).select("match_id", F.lit(1).cast("long").alias("gp"), (F.col("result") == "WIN").cast("long").alias("win"))
-    return with_without(season(spark, sf_dir).select("player_id", "match_id"), units, "player_id", "match_id", ["gp", "win"])
+    return with_without(player_matches(spark, sf_dir).select("player_id", "match_id"), units, "player_id", "match_id", ["gp", "win"])
 
 
 @query(f"WITH {PLAYERS} SELECT match_id FROM pm GROUP BY 1 HAVING bool_or(player_id % 5 = 1 AND is_goalie) AND bool_or(player_id % 5 = 2 AND NOT is_goalie)")

@@ -220,3 +220,8 @@ def test_lines_are_dealt_by_rows(spark, monkeypatch, name):
 
     monkeypatch.setattr(tables, "TASK_ROWS", 200, raising=False)
     assert re.search(r"RepartitionByExpression \[l_orderkey#\d+L?\], 30\b", optimized(spark, name))
+
+
+def test_line_ups_are_made_once(spark):
+    """Orders are read for the units and their total alone."""
+    assert optimized(spark, "with_without_splits").count("Relation [o_orderkey") == 2
