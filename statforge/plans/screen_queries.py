@@ -87,8 +87,7 @@ def event_orders(spark, sf_dir):
 @query(f"""WITH {PLAYERS}, u AS (SELECT match_id, player_id, goals, 'skater' AS team FROM pm WHERE NOT is_goalie UNION ALL SELECT match_id, player_id, goals, 'goalie' FROM pm WHERE is_goalie)
 SELECT match_id, player_id, team, goals FROM u QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY goals DESC, player_id) <= 3""")
 def three_stars(spark, sf_dir):
-    p = player_matches(spark, sf_dir)
-    u = p.filter("NOT is_goalie").withColumn("team", F.lit("skater")).unionByName(p.filter("is_goalie").withColumn("team", F.lit("goalie")))
+    u = player_matches(spark, sf_dir).filter("is_goalie IS NOT NULL").withColumn("team", F.when(F.col("is_goalie"), "goalie").otherwise("skater"))
     k = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc("goals"), "player_id"))
     return u.withColumn("k", k).filter("k <= 3").select("match_id", "player_id", "team", "goals")
 

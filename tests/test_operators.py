@@ -223,5 +223,6 @@ def test_lines_are_dealt_by_rows(spark, monkeypatch, name):
 
 
 def test_line_ups_are_made_once(spark):
-    """Orders are read for the units and their total alone."""
+    """Stars of skaters and goalies come from one reading of the lines; orders are read for the units and their total alone."""
+    assert optimized(spark, "three_stars").count("Relation [") == 1
     assert optimized(spark, "with_without_splits").count("Relation [o_orderkey") == 2
