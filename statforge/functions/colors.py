@@ -62,10 +62,12 @@ def from_oklch(light: Column, chroma: Column, hue: Column) -> Column:
 
 
 def in_gamut(lch: Column) -> Column:
-    """Channels of a colour, its chroma lowered step by step until they fit; without any at last."""
-    tries = F.transform(F.sequence(F.lit(0), F.lit(STEPS)), lambda i: from_oklch(lch["l"], F.when(i < STEPS, lch["c"] * F.pow(F.lit(SHRINK), i)).otherwise(0.0), lch["h"]))
-    fits = lambda ts: F.filter(F.slice(ts, 1, STEPS), lambda t: F.forall(t, lambda x: x.between(-0.5, 255.5)))
-    return F.when(lch.isNotNull(), let(tries, lambda ts: F.coalesce(F.get(fits(ts), F.lit(0)), F.element_at(ts, -1))))
+    """Channels of a colour, its chroma lowered step by step until they fit; without any at last.
+    Steps after the first that fits are not worked out."""
+    at = lambda i: from_oklch(lch["l"], F.when(i < STEPS, lch["c"] * F.pow(F.lit(SHRINK), i)).otherwise(0.0), lch["h"])
+    fits = lambda t: F.coalesce(F.forall(t, lambda x: x.between(-0.5, 255.5)), F.lit(False))
+    tries = F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(None).cast("array<double>"), lambda found, i: F.when(fits(found), found).otherwise(at(i)))
+    return F.when(lch.isNotNull(), tries)
 
 
 def clashes(lch: Column) -> dict[str, Column]:

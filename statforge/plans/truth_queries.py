@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colors as C
 from ..operators.truth import PLAYER, TEAM, truth_diffs, truth_layer
-from ..sources.tables import read
+from ..sources.tables import dealt, read
 from .registry import query
 
 #: Read totals of an order (a match) and true ones, and the same for its lines (players).
@@ -67,6 +67,8 @@ def fails_sql(p):
     return f"(({gap} <= 30 AND {p}c >= 0.05) OR {p}l < 0.55 OR ({p}l > 0.93 AND {p}c < 0.045))", f"({gap} <= 30 AND {p}c >= 0.05)"
 
 
+#: Clubs whose colours a task works out; files of parts are small and few.
+CLUBS = 20_000
 A, B = "tc * j * cos(radians(th))", "tc * j * sin(radians(th))"
 OUT = [f"255 * CASE WHEN {x} <= 0.0031308 THEN ({x}) * 12.92 ELSE 1.055 * pow(greatest({x}, 0), 1 / 2.4) - 0.055 END" for x in times(C.LMS_TO_RGB, [f"pow({x}, 3)" for x in times(C.LAB_TO_LMS, ["tl", A, B])])]
 HEX = "'#' || printf('%02X%02X%02X', {0}, {1}, {2})"
@@ -91,5 +93,5 @@ def club_palette(spark, sf_dir):
     short = F.format_string("%x%x%x", *[F.floor(x / 16) for x in (r, g, b)])
     home = F.when(w == 0, F.lit(None)).when(w == 1, "#none").when(w == 5, short).otherwise(F.format_string("#%02x%02x%02x", *map(shade, (r, g, b))))
     away = F.when(k % 4 > 0, F.format_string(" %02X%02X%02X", *[k * m % 256 for m in (29, 67, 13)]))
-    clubs = read(spark, sf_dir, "part").select(k.alias("k"), "p_brand", home.alias("home"), away.alias("away"))
+    clubs = dealt(read(spark, sf_dir, "part"), "p_partkey", rows=CLUBS).select(k.alias("k"), "p_brand", home.alias("home"), away.alias("away"))
     return C.opponent_colors(clubs, "p_brand", "home", "away").select("k", "colors.base", "colors.soft", "colors.fg", "colors.provenance")

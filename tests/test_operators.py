@@ -226,3 +226,17 @@ def test_line_ups_are_made_once(spark):
     """Stars of skaters and goalies come from one reading of the lines; orders are read for the units and their total alone."""
     assert optimized(spark, "three_stars").count("Relation [") == 1
     assert optimized(spark, "with_without_splits").count("Relation [o_orderkey") == 2
+
+
+def test_palettes_are_dealt_and_fit_as_step_by_step(spark, monkeypatch):
+    """Clubs are dealt to many tasks; chroma falls no further than the first step that fits."""
+    from statforge.functions import colors as C
+    from statforge.plans import truth_queries
+
+    monkeypatch.setattr(truth_queries, "CLUBS", 20, raising=False)
+    assert registry.QUERIES["club_palette"](spark, SMALL).rdd.getNumPartitions() == 10
+    lch = spark.createDataFrame([(0.62, 0.01, 29.0), (0.62, 0.14, 200.0), (0.62, 0.4, 130.0), (0.99, 0.3, 29.0), (1.2, 0.1, 29.0), (None, 0.1, 29.0)], "l double, c double, h double")
+    steps = [C.from_oklch(F.col("l"), F.lit(0.0) if i == C.STEPS else F.col("c") * F.pow(F.lit(C.SHRINK), F.lit(i)), F.col("h")) for i in range(C.STEPS + 1)]
+    rows = lch.select(C.in_gamut(F.struct("l", "c", "h")).alias("got"), F.array(*steps).alias("steps")).collect()
+    for r in rows[:-1]:
+        assert r.got == next((s for s in r.steps if all(-0.5 <= x <= 255.5 for x in s)), r.steps[-1])
