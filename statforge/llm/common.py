@@ -59,6 +59,25 @@ def unpacked(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return rows.select(*[F.col(name).getField(c).alias(c) for c in columns])
 
 
+#: Bits of a bitmap of ``marked`` for each id, and most bits of one (32 MB).
+MARK_BITS, MOST_BITS = 16, 1 << 28
+
+
+def marked(rows: DataFrame, ids: DataFrame, key: str, name: str = "maybe") -> DataFrame:
+    """``rows`` with a boolean column ``name``: true wherever ``key`` is in the column ``key`` of
+    ``ids``, and by chance for about one in 16 of the others (more beyond 16 million ids). Every
+    task gets a bitmap of the ids' hashes, two bytes an id, so that a join with ``ids`` has to
+    move only the rows that it lets pass. ``ids`` should be staged, as they are counted."""
+    bits = min(MOST_BITS, 32768 * -(-MARK_BITS * max(1, ids.count()) // 32768))
+    at = F.pmod(F.xxhash64(key), F.lit(bits))
+    bucket, position = F.bitmap_bucket_number(at), F.bitmap_bit_position(at).cast("int")
+    maps = ids.groupBy(bucket.alias("_bucket")).agg(F.bitmap_construct_agg(position).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(position / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    hit = F.getbit(byte, position % 8) == 1
+    met = rows.withColumn("_bucket", bucket).join(F.broadcast(maps), "_bucket", "left")
+    return met.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias(name))
+
+
 def utf8_column(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenated UTF-8 bytes and row offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, staged, table, text_batches, unpacked
+from .common import marked, packed, staged, table, text_batches, unpacked
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -104,6 +104,20 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, SKETCH)
 
 
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is one of ``ids`` (staged). Only rows that may be are moved by the
+    join, as texts and signatures are wide."""
+    return marked(rows, ids, "doc_id").filter("maybe").drop("maybe").join(ids, "doc_id", "left_semi")
+
+
+def without_copies(rows: DataFrame, equal: DataFrame) -> DataFrame:
+    """The rows whose (doc_id, s1, s2) is none of ``equal`` (staged). Rows that may be are joined
+    and written, once for all uses; the others stay where they are read."""
+    held = marked(rows, equal, "doc_id")
+    tested = staged(held.filter("maybe").drop("maybe").join(equal, ["doc_id", "s1", "s2"], "left_anti").select(*rows.columns), "tested")
+    return held.filter("NOT maybe").drop("maybe").unionByName(tested)
+
+
 def firsts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """keys and ``first``, the smallest doc_id, of keys that several documents share.
     Written, so that joining it with a key of very many rows may be split."""
@@ -158,7 +172,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(short, pa.binary()), pa.array([len(s) for s in sets], pa.int64())], ["doc_id", "shingles", "short", "n"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, shingles binary, short binary, n long")
+    return among(rows, ids).mapInArrow(run, "doc_id long, shingles binary, short binary, n long")
 
 
 def common_at_most(x: np.ndarray, lost: int, others: list[np.ndarray], lost_others: np.ndarray) -> np.ndarray:
@@ -238,7 +252,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # equal sets
     shared = firsts(linked.select("doc_id", "s1", "s2"), ["s1", "s2"], "equal-sets")
     equal = staged(linked.select("doc_id", "s1", "s2").join(shared, ["s1", "s2"]).filter("doc_id > first").distinct(), "equal")
-    one = linked.join(equal, ["doc_id", "s1", "s2"], "left_anti")
+    one = without_copies(linked, equal)
     # a document of copies of one other alone follows it; one with further texts is a node linked with each
     more_texts = one.select("doc_id").join(equal, "doc_id", "left_semi")
     reps = equal.groupBy("doc_id").agg(F.min("first").alias("rep"), F.max("first").alias("last")).filter("rep = last")
@@ -247,7 +261,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # stars of the band keys: first each document's closest one, then those that still join components
     members = staged(star_members(one.select("doc_id", F.col("doc_id").alias("component"), "bands"), "members"), "members")
     ids = staged(members.select("doc_id").unionByName(members.select(F.col("first").alias("doc_id"))).distinct(), "ids")
-    signatures = staged(one.join(ids, "doc_id", "left_semi").select("doc_id", "signature", "bands"), "signatures")
+    signatures = staged(among(one.select("doc_id", "signature", "bands"), ids), "signatures")
     sets = staged(full_sets(docs, ids, k), "sets")
     closest = members.groupBy("doc_id", "first").agg(F.count("*").alias("n")).groupBy(F.col("doc_id").alias("a")).agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("b"))
     links = copied.unionByName(staged(confirmed(plausible(closest, signatures, percent), sets, percent), "links"))

@@ -6,8 +6,9 @@ import re
 import pyarrow as pa
 import pytest
 
+from statforge.llm.common import marked, staged
 from statforge.llm.components import components
-from statforge.llm.minhash_dedup import OP3_SQL, keep_one, least_matches, near_duplicates, op3_minhash_dedup
+from statforge.llm.minhash_dedup import OP3_SQL, among, keep_one, least_matches, near_duplicates, op3_minhash_dedup, without_copies
 from statforge.llm.shingles import shingle_sets
 
 from .cases import EDGE_TEXTS, SCHEMA, edge_documents
@@ -91,3 +92,19 @@ def test_shingles_of_few_words(k):
 def test_pruning_bounds():
     bounds = least_matches(80)
     assert list(bounds) == [32, 64, 96, 128, 160] and all(0 < m < 0.8 * n for n, m in bounds.items())
+
+
+def test_only_rows_that_may_match_move(spark):
+    """Wide rows are sifted by a bitmap before they are joined with ids, at any size."""
+    rows = spark.range(-20_000, 20_000).selectExpr("id * 7919 AS doc_id", "id AS s1", "-id AS s2", "repeat('x', 50) AS text")
+    ids = staged(rows.filter("s1 % 20 = 0").select("doc_id"), "test-ids")
+    held = marked(rows, ids, "doc_id")
+    assert held.filter("s1 % 20 = 0 AND NOT maybe").count() == 0
+    assert 0 < held.filter("s1 % 20 <> 0 AND maybe").count() < 0.1 * rows.count()
+    assert among(rows, ids).count() == ids.count() == 2000
+    equal = staged(rows.filter("s1 % 20 = 0").selectExpr("doc_id", "s1", "IF(s1 % 40 = 0, s2, s2 + 1) AS s2"), "test-equal")
+    got = without_copies(rows, equal)
+    assert got.columns == rows.columns and got.count() == 39_000 and got.filter("s1 % 40 = 0").count() == 0
+    assert marked(rows, ids.limit(0), "doc_id").filter("maybe").count() == 0
+    nulls = spark.createDataFrame([(None, "a"), (3, "b")], "doc_id long, text string")
+    assert [r.text for r in among(nulls, spark.createDataFrame([(3,)], "doc_id long")).collect()] == ["b"]
