@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import one_letter_keys, plain_tag
+from ..sources.scratch import kept
 from .aggregates import upper_median
 from .matching import greedy_assignment
 
@@ -108,11 +109,46 @@ def without_junk(rows: DataFrame, bucket: list[str]) -> DataFrame:
     return keyed.join(placed, [*bucket, "_head", "placed"], "left_anti").select(*rows.columns)
 
 
+#: Members a side up to which a group's pairs are made and taken in its row.
+LINE_UP = 64
+
+
+def _taken_in_row(t: DataFrame, p: DataFrame, group: str, most: int) -> DataFrame:
+    """group, id and slot of each member of ``t`` (group, m: id and tag): the pairs of a group
+    with ``p`` are sorted and taken within one row."""
+    named = lambda x: x["id"].isNotNull() & (x["tag"] != "")
+    rows = t.groupBy(group).agg(F.collect_list("m").alias("_t")).join(p.groupBy(group).agg(F.collect_list("m").alias("_p")).hint("merge"), group, "left")
+    pair = lambda x, y: F.struct(F.levenshtein(x["tag"], y["tag"], most).alias("d"), x["id"].alias("a"), y["id"].alias("b"))
+    pairs = F.flatten(F.transform(F.filter("_t", named), lambda x: F.transform(F.filter("_p", named), lambda y: pair(x, y))))
+    rows = rows.select(group, "_t", F.sort_array(F.filter(pairs, lambda x: x["d"] >= 0)).alias("_pairs"))  # -1: more than ``most``
+    used = lambda taken, x: F.exists(taken, lambda y: (y["a"] == x["a"]) | (y["b"] == x["b"]))
+    taken = F.aggregate("_pairs", F.slice("_pairs", 1, 0), lambda taken, x: F.when(used(taken, x), taken).otherwise(F.concat(taken, F.array(x))))
+    rows = rows.select(group, "_t", taken.alias("_taken"))
+    slot = lambda x: F.get(F.filter("_taken", lambda y: y["a"] == x["id"]), F.lit(0))["b"]
+    return rows.select(group, F.inline(F.transform("_t", lambda x: F.struct(x["id"].alias("id"), slot(x).alias("slot")))))
+
+
+def _taken_in_rounds(t: DataFrame, p: DataFrame, group: str, most: int) -> DataFrame:
+    """The same for groups of any size, by joins."""
+    left, right = (x.filter("m.tag <> ''").select(group, F.col("m.id").alias(c), F.col("m.tag").alias(f"_{c}")) for x, c in ((t, "a"), (p, "b")))
+    pairs = left.join(right, group).withColumn("score", -F.levenshtein("_a", "_b").cast("double")).filter(F.col("score") >= -most)
+    found = greedy_assignment(pairs.select(group, "a", "b", "score"), group).select(F.col(group), F.col("a").alias("id"), F.col("b").alias("slot"))
+    return t.select(group, F.col("m.id").alias("id")).join(found, [group, "id"], "left")
+
+
 def aligned_subjects(truth: DataFrame, predicted: DataFrame, group: str, most: int = 3) -> DataFrame:
     """Slots matched to the true subjects of a group (group, id, gamertag) by the smallest
-    edit distance up to ``most``, each once; a group is one line-up, so its pairs are few."""
-    t = truth.select(group, F.col("id").alias("a"), plain_tag(F.col("gamertag")).alias("_ta")).filter("_ta <> ''")
-    p = predicted.select(group, F.col("id").alias("b"), plain_tag(F.col("gamertag")).alias("_tb")).filter("_tb <> ''")
-    pairs = t.join(p, group).withColumn("score", -F.levenshtein("_ta", "_tb").cast("double")).filter(F.col("score") >= -most)
-    found = greedy_assignment(pairs.select(group, "a", "b", "score"), group).select(F.col(group), F.col("a").alias("id"), F.col("b").alias("slot"))
-    return truth.select(group, "id").join(found, [group, "id"], "left")
+    edit distance up to ``most``, each once. A group is one line-up, so its pairs are made and
+    taken in one row, and tables dealt by group are not dealt again; groups of more than
+    ``LINE_UP`` members a side are joined instead. No group (null): no slot."""
+    named = lambda x: x.select(group, F.struct("id", plain_tag(F.col("gamertag")).alias("tag")).alias("m"))
+    t, p = (named(x.filter(F.col(group).isNotNull())) for x in (truth, predicted))
+    many = lambda x: x.groupBy(group).agg(F.count("*").alias("n")).filter(F.col("n") > LINE_UP).select(group)
+    crowded = kept(many(t).unionByName(many(p)).distinct(), "crowded")
+    if crowded.isEmpty():
+        out = _taken_in_row(t, p, group, most)
+    else:
+        few, large = ([x.join(crowded, group, how) for x in (t, p)] for how in ("left_anti", "left_semi"))
+        out = _taken_in_row(*few, group, most).unionByName(_taken_in_rounds(*large, group, most))
+    alone = truth.filter(F.col(group).isNull()).select(group, "id", F.lit(None).cast(predicted.schema["id"].dataType).alias("slot"))
+    return out.unionByName(alone)

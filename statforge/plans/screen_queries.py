@@ -10,7 +10,7 @@ from ..functions.nulls import ratio
 from ..operators.bundles import deduplicated_in_order, subject_bundles
 from ..operators.classify import classified, fitted
 from ..operators.screens import aligned_subjects, away_side, density_radius, drain_decision, existing_events, filled_rows, recorded_at, without_junk
-from ..sources.tables import MATCHES, PLAYERS, matches, player_matches, read
+from ..sources.tables import MATCHES, PLAYERS, dealt, matches, player_matches, read
 from .registry import query
 
 PCT = "CASE WHEN ({b}) > 0 THEN CAST(round(CAST({a} AS DECIMAL(38,6)) * 100 / CAST(({b}) AS DECIMAL(38,6)), 2) AS DOUBLE) END"
@@ -215,7 +215,7 @@ def run_duplicates(spark, sf_dir):
 @query()
 def subject_alignment(spark, sf_dir):
     """True subjects of a match: its players; predicted slots: their names with a letter lost."""
-    x = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("id")).distinct()
+    x = dealt(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("match_id"), F.col("l_suppkey").alias("id")), "match_id").distinct()
     truth = x.withColumn("gamertag", F.concat(F.lit("tag"), F.col("id").cast("string")))
     slots = x.select("match_id", (F.col("id") + 1).alias("id"), F.concat(F.lit("tg"), F.col("id").cast("string")).alias("gamertag"))
     return aligned_subjects(truth, slots, "match_id")

@@ -185,3 +185,36 @@ def test_classifier(spark):
     held = [(got[i], s) for i, s, _, _ in rows if i >= 600]
     assert len(got) == 300 and all(0 <= g.probability <= 1 for g, _ in held)
     assert sum(g.screen == s for g, s in held if s) > 0.97 * sum(s is not None for _, s in held)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_alignment_of_any_group(spark):
+    """Line-ups, sides of one, a group of more than a line-up, and rows without group, id or name."""
+    r = random.Random(15)
+    name = lambda: r.choice([None, "", "--"]) if r.random() < 0.1 else "".join(r.choice("abC ") for _ in range(r.randint(2, 6)))
+    side = lambda first: [(g, None if r.random() < 0.05 else first + i, name()) for g in (None, *range(14)) for i in range(70 if g == 13 else r.choice([0, 1, 3, 9]))]
+    truth, slots = side(100), [*side(500), (3, 501, "abcab"), (3, 501, "bca")]
+    want = []
+    for g in {x[0] for x in truth}:
+        plain = lambda rows: [(i, "".join(c for c in n.lower() if c != " ")) for k, i, n in rows if k == g and None not in (g, i, n) and n.strip("- ")]  # noqa: B023, E731
+        pairs = [(-d, a, b) for a, s in plain(truth) for b, t in plain(slots) if (d := edits(s, t)) <= 3]
+        slot = {a: b for a, b, _ in greedy_pairs([(float(s), a, b) for s, a, b in pairs])}
+        want += [(g, i, slot.get(i)) for k, i, _ in truth if k == g]
+    frames = [spark.createDataFrame(x, "g long, id long, gamertag string") for x in (truth, slots)]
+    got = [tuple(x) for x in aligned_subjects(*frames, "g").select("g", "id", "slot").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(x[2] is not None for x in got) > 40
+
+
+def test_alignment_of_dealt_tables_deals_nothing_again(spark):
+    x = spark.range(400).selectExpr("id DIV 8 AS g", "id", "concat('tag', id) AS gamertag").repartition(6, "g")
+    out = aligned_subjects(x, x.withColumn("id", F.col("id") + 1000), "g")
+    assert "ENSURE_REQUIREMENTS" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.filter("slot = id + 1000").count() == 400
