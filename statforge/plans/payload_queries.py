@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.payloads import field_rows, keep_field, match_rows, member_rows, parsed_matches, player_rows
 from ..operators.walking import walked_fields
-from ..sources.tables import read
+from ..sources.tables import dealt, read
 from .registry import query
 
 
@@ -17,16 +17,18 @@ def text(c):
 
 def match_payloads(spark, sf_dir):
     """A payload for each order with lines: club 1 is ours, club 2 the opponent. Lines of
-    status F are players of ours, lines of status O of theirs."""
-    x = read(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("long"))
-    key = F.concat_ws("-", "l_linenumber", "l_suppkey", "l_partkey", "q")
-    player = F.map_concat(
-        F.create_map(F.lit("playername"), F.concat(F.lit("s"), text(F.col("l_suppkey"))), F.lit("position"), F.when(F.col("l_returnflag") == "R", "goalie").otherwise("center"), F.lit("skgoals"), text(F.col("q")), F.lit("skfow"), text(F.col("l_linenumber")), F.lit("skfol"), text(F.col("q") % 3)),
-        F.create_map(F.lit("skpassattempts"), text(F.col("q")), F.lit("skpasspct"), F.lit("50.00"), F.lit("glsaves"), text(F.col("q") + 1), F.lit("skhits"), F.lit(""), F.lit("toiseconds"), F.when(F.col("q") > 10, text(F.col("q") * 10))),
+    status F are players of ours, lines of status O of theirs. Lines are dealt by order and
+    gathered as numbers; players' fields are written in the row of their order."""
+    x = dealt(read(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("long")), "l_orderkey")
+    # rows of one key are one player, a goalie if all of them are
+    x = x.groupBy("l_orderkey", "l_linestatus", "l_linenumber", "l_suppkey", "l_partkey", "q").agg(F.bool_and(F.col("l_returnflag") == "R").alias("goalie"))
+    key = lambda r: F.concat_ws("-", *[F.coalesce(text(r[c]), F.lit("")) for c in ("l_linenumber", "l_suppkey", "l_partkey", "q")])
+    player = lambda r: F.map_concat(
+        F.create_map(F.lit("playername"), F.concat(F.lit("s"), text(r["l_suppkey"])), F.lit("position"), F.when(r["goalie"], "goalie").otherwise("center"), F.lit("skgoals"), text(r["q"]), F.lit("skfow"), text(r["l_linenumber"]), F.lit("skfol"), text(r["q"] % 3)),
+        F.create_map(F.lit("skpassattempts"), text(r["q"]), F.lit("skpasspct"), F.lit("50.00"), F.lit("glsaves"), text(r["q"] + 1), F.lit("skhits"), F.lit(""), F.lit("toiseconds"), F.when(r["q"] > 10, text(r["q"] * 10))),
     )
-    # rows of one key are one player
-    x = x.select("l_orderkey", "l_linestatus", "q", key.alias("key"), player.alias("player")).dropDuplicates(["l_orderkey", "l_linestatus", "key"])
-    side = lambda s: F.map_from_entries(F.collect_list(F.when(F.col("l_linestatus") == s, F.struct("key", "player"))))
+    side = lambda s: F.collect_list(F.when(F.col("l_linestatus") == s, F.struct("l_linenumber", "l_suppkey", "l_partkey", "q", "goalie")))
+    players = lambda c: F.map_from_entries(F.transform(c, lambda r: F.struct(key(r), player(r))))
     shots = lambda s: text(F.coalesce(F.sum(F.when(F.col("l_linestatus") == s, F.col("q"))), F.lit(0)))
     minutes = lambda s: text(F.sum(F.when(F.col("l_linestatus") == s, F.col("q") % 5)))
     g = x.groupBy("l_orderkey").agg(side("F").alias("f"), side("O").alias("o"), shots("F").alias("sf"), shots("O").alias("so"), minutes("F").alias("pf"), minutes("O").alias("po"))
@@ -39,12 +41,12 @@ def match_payloads(spark, sf_dir):
         club(n % 5, winnerByDnf=F.when(F.col("o_orderpriority") == "5-LOW", "1"), details=F.struct(F.concat(F.lit("club "), text(F.col("o_custkey"))).alias("name")), timeOnAttack=text(n % 6), passa=F.when(n % 7 > 0, text(n % 60)), passc=text(n % 30), ppg=F.when(n % 9 == 0, "none").otherwise(text(n % 2)), ppo=text(n % 8)).alias("2"),
     )
     aggregate = F.struct(F.struct(F.col("sf").alias("skshots"), F.col("pf").alias("skpim")).alias("1"), F.struct(F.col("so").alias("skshots"), F.col("po").alias("pim")).alias("2"))
-    payload = F.to_json(F.struct(F.concat(F.lit("m"), text(n)).alias("matchId"), text(F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).alias("timestamp"), clubs.alias("clubs"), aggregate.alias("aggregate"), F.struct(F.col("f").alias("1"), F.col("o").alias("2")).alias("players")))
+    payload = F.to_json(F.struct(F.concat(F.lit("m"), text(n)).alias("matchId"), text(F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))).alias("timestamp"), clubs.alias("clubs"), aggregate.alias("aggregate"), F.struct(players("f").alias("1"), players("o").alias("2")).alias("players")))
     return parsed_matches(o.select(payload.alias("payload")), F.lit("1"))
 
 
 LINES = """x AS (SELECT DISTINCT l_orderkey, l_linestatus, l_linenumber, l_suppkey, l_partkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem)"""
-#: Of rows that share a key one is kept, whichever: its return flag may be either.
+#: Rows that share a key are one player, a goalie if all of their return flags are R.
 FLAGS = "y AS (SELECT l_orderkey, l_linestatus, l_linenumber, l_suppkey, l_partkey, CAST(l_quantity AS BIGINT) AS q, count(DISTINCT l_returnflag) AS flags, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL)"
 
 
@@ -67,10 +69,8 @@ def payload_matches(spark, sf_dir):
 @query(f"""WITH {FLAGS} SELECT 'm' || l_orderkey AS match_id, CASE l_linestatus WHEN 'F' THEN 'for' ELSE 'against' END AS side, 's' || l_suppkey AS gamertag, q AS goals, CAST(0 AS BIGINT) AS hits, CAST(l_linenumber AS BIGINT) AS faceoff_wins, q % 3 AS faceoff_losses,
 q AS pass_attempts, CAST(floor(q * 0.5 + 0.5) AS BIGINT) AS pass_completions, CASE WHEN q > 10 THEN q * 10 END AS toi_seconds, CASE WHEN flags = 1 AND flag = 'R' THEN q + 1 END AS saves FROM y WHERE l_orderkey IN (SELECT o_orderkey FROM orders)""")
 def payload_players(spark, sf_dir):
-    flags = read(spark, sf_dir, "lineitem").withColumn("player_key", F.concat_ws("-", "l_linenumber", "l_suppkey", "l_partkey", F.col("l_quantity").cast("long")))
-    flags = flags.groupBy(F.concat(F.lit("m"), text(F.col("l_orderkey"))).alias("match_id"), F.when(F.col("l_linestatus") == "F", "for").otherwise("against").alias("side"), "player_key").agg(F.countDistinct("l_returnflag").alias("flags"))
-    rows = player_rows(match_payloads(spark, sf_dir)).join(flags, ["match_id", "side", "player_key"])
-    return rows.select("match_id", "side", "gamertag", "goals", "hits", "faceoff_wins", "faceoff_losses", "pass_attempts", "pass_completions", "toi_seconds", F.when(F.col("flags") == 1, F.col("saves")).alias("saves"))
+    rows = player_rows(match_payloads(spark, sf_dir))
+    return rows.select("match_id", "side", "gamertag", "goals", "hits", "faceoff_wins", "faceoff_losses", "pass_attempts", "pass_completions", "toi_seconds", "saves")
 
 
 @query("""WITH c AS (SELECT c_custkey AS k, c_name, CAST(c_custkey % 4 AS BIGINT) AS g, CAST(c_nationkey AS BIGINT) AS z FROM customer)

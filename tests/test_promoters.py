@@ -3,6 +3,7 @@ lists against one reading at a time."""
 
 import json
 import random
+import re
 from decimal import ROUND_HALF_UP, Decimal
 
 import pytest
@@ -178,3 +179,25 @@ def test_payloads_are_parsed_once(spark, name):
     """A filter on parts of a parsed payload does not parse it again for each part."""
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") <= 1
+
+
+def test_players_meet_no_table(spark, tmp_path):
+    """Exploded players are many times the size that is estimated, so they take part in no join; rows of one key are one
+    player, whose saves are null unless all of them are a goalie's, and keys with missing parts stay apart."""
+    import duckdb
+
+    lines = [(1, 5, 7, 1, "R"), (1, 5, 7, 1, "R"), (1, 5, 8, 2, "R"), (1, 5, 8, 2, "N"), (1, 6, 8, 3, "N"), (2, None, 5, 1, "R"), (2, 5, None, 1, "N"), (2, 5, 7, 4, None), (2, 5, 7, 4, "R"), (3, 5, 7, 1, "R")]
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double"
+    tables = {
+        "lineitem": spark.createDataFrame([(*r, s, 12.0) for r in lines for s in "FO"], kind),
+        "orders": spark.createDataFrame([(k, 4, "F", "1-URGENT") for k in (1, 2)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").withColumn("o_orderdate", F.lit("2024-01-02").cast("timestamp")),
+    }
+    for name, rows in tables.items():
+        rows.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = registry.QUERIES["payload_players"](spark, str(tmp_path))
+    con = duckdb.connect()
+    for name in tables:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.SQL['payload_players']})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and len(want) == 12
+    assert len(re.findall(r"\bJoin ", got._jdf.queryExecution().optimizedPlan().toString())) == 1
