@@ -13,6 +13,14 @@ def ratio(num: Column, den: Column, times: int = 100, digits: int = 2) -> Column
     return F.when(den > 0, F.round(num.cast(D) * times / den.cast(D), digits).cast("double"))
 
 
+def rounded(number: Column, digits: int) -> Column:
+    """A double times 10^digits rounded, halves away from zero, and divided again, as SQL engines do
+    it; F.round takes the shortest decimal of the number instead. Keeps the sign of a zero."""
+    times = float(10**digits)
+    scaled = F.abs(number) * times
+    return F.when(scaled < float("inf"), F.signum(number) * F.round(scaled) / times).otherwise(number)
+
+
 def strict_sum(column: Column) -> Column:
     """Null as soon as any input is null."""
     return F.when(F.count(column) == F.count(F.lit(1)), F.sum(column))

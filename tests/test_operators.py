@@ -240,3 +240,32 @@ def test_palettes_are_dealt_and_fit_as_step_by_step(spark, monkeypatch):
     rows = lch.select(C.in_gamut(F.struct("l", "c", "h")).alias("got"), F.array(*steps).alias("steps")).collect()
     for r in rows[:-1]:
         assert r.got == next((s for s in r.steps if all(-0.5 <= x <= 255.5 for x in s)), r.steps[-1])
+
+
+#: Customers of a large table whose slope or intercept is a half of its last digit: key and total of each order.
+HALVES = {
+    9873: [(3892, 100065.64), (3973, 496678.27), (5086, 328613.37), (16906, 96240.21), (19878, 248773.38), (59229, 152566.11), (98561, 10194.48), (99332, 462445.45), (142064, 428859.21)],
+    13040: [(16208, 343333.55), (53924, 96674.18), (78548, 58055.84), (86836, 67579.96), (119148, 462921.09)],
+    3425: [(83219, 73852.79), (115572, 195310.43), (120804, 486661.36), (121523, 169827.38), (129385, 446764.71), (131854, 24924.21), (156532, 251399.57), (179534, 313491.26)],
+}
+#: (key within 100, total) of customers with one place only, a level line, missing numbers, two places, a slope that is rounded to zero, slopes of 1.005, 8.575 and 2.675.
+ODD = [[(5, 100.0), (5, 200.0), (5, 300.0)], [(1, 100.0), (2, 100.0), (3, 100.0)], [(1, None), (2, None), (3, None)], [(1, 100.0), (2, None), (3, None)], [(1, 100.0), (2, 250.0), (3, None)], [(1, 0.001), (2, 0.0), (4, 0.0)], [(1, 1.0), (2, 2.0)], [(1, 1e300), (2, -1e307), (7, 1e307)], [(None, 1.0), (2, 2.0), (4, 3.5), (9, 7.25)], *[[(0, 0.0), (2, y), (4, 2 * y)] for y in (2.01, 17.15, 5.35)]]
+
+
+def test_axis_mapping_as_in_sql(spark, tmp_path):
+    """Lines of any order of rows are those of one reading in order, halves and customers without a line included."""
+    import duckdb
+
+    rows = [(k, c, v) for c, orders in HALVES.items() for k, v in orders]
+    rows += [(None if x is None else 1_000_000 + 1000 * c + 100 * i + x, -c, v) for c, orders in enumerate(ODD) for i, (x, v) in enumerate(orders)]
+    table = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double")
+    table.coalesce(1).sortWithinPartitions("o_orderkey").write.parquet(f"{tmp_path}/in_order")
+    for i in range(3):
+        part = table.filter((F.coalesce("o_orderkey", F.lit(0)) / 100).cast("long") % 3 == i).coalesce(1).sortWithinPartitions(F.desc("o_orderkey"))
+        part.write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/in_order/*.parquet'")
+    want = con.execute(registry.SQL["axis_mapping"]).fetchall()
+    got = registry.QUERIES["axis_mapping"](spark, str(tmp_path)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and len(want) == len(HALVES) + len(ODD) - 1
